@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 _made: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,21 @@ def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts stays within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it on PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="torquelake-")) / "torquelake_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "torquelake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from torquelake.llm import quality_rules
+from torquelake.llm import packing, quality_classifier, quality_rules, sharding
 from torquelake.llm.common import load
 
 
@@ -14,8 +15,34 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.divergence_rules(load(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(load(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = quality_classifier.rule_ensemble(docs, labels, "quality", quality_classifier.learnable())
+    return scored.select("doc_id", (~quality_classifier.learnable()).alias("held_out"), "score", "predicted")
+
+
+def vocabulary(name: str) -> str:
+    """A tokenizer's file, from the installed package or the folder in TOKENIZERS_DIR."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}

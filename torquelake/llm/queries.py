@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from torquelake.llm import packing, quality_classifier, quality_rules, sharding
+from torquelake.llm import html_extraction, language_id, packing, quality_classifier, quality_rules, sharding
 from torquelake.llm.common import load
 
 
@@ -15,6 +15,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.divergence_rules(load(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs, language_id.learnable()))
+    return found.select("doc_id", (~language_id.learnable()).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.consensus_extract(load(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(load(spark, sf_dir, "documents"))
 
@@ -39,6 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_html_extraction": op2_html_extraction,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,

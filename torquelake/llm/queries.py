@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from torquelake.llm import html_extraction, language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from torquelake.llm import html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from torquelake.llm.common import load
 
 
@@ -43,6 +43,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~quality_classifier.learnable()).alias("held_out"), "score", "predicted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(load(spark, sf_dir, "documents")).drop("node")
+
+
 def vocabulary(name: str) -> str:
     """A tokenizer's file, from the installed package or the folder in TOKENIZERS_DIR."""
     if folder := os.environ.get("TOKENIZERS_DIR"):
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
 

@@ -166,10 +166,12 @@ def cut(texts: list[bytes], units: Units) -> Iterator[tuple[np.ndarray, np.ndarr
         yield done()
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
+def rows_of(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text, the row's two keys, and the ``carry`` columns as one struct."""
     t = text_or_empty("text")
     d = F.col("doc_id").cast("long")
-    return docs.select(d.alias("doc_id"), t.alias("text"), F.coalesce(d, F.lit(0)).alias("did"), F.xxhash64(d, t).alias("rk"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
+    return docs.select(d.alias("doc_id"), t.alias("text"), F.coalesce(d, F.lit(0)).alias("did"), F.xxhash64(d, t).alias("rk"), *more)
 
 
 def _cut_rows(rows: DataFrame, units: Units) -> DataFrame:
@@ -279,15 +281,16 @@ def _hot(strings: DataFrame, units: Units) -> DataFrame:
     ).select(*[x.split()[0] for x in ("sig", "did1", "rk1", "start1", "every", "lead")])
 
 
-def repeated_spans(docs: DataFrame, units: Units, bucket: Bucket, keep_first: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, units: Units, bucket: Bucket, keep_first: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, spans of every row: spans (start unit, windows) of windows that occur again anywhere.
 
     With ``keep_first`` the first occurrence of each window, in the order of (doc_id, place), is left out.
     """
     tune(docs.sparkSession)
-    rows = rows_of(docs)
+    rows = rows_of(docs, carry)
     skm = materialize(_cut_rows(rows, units), f"superkmers-{units.name}")
-    counts = skm.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1")
+    # Written, so that the join below reads two plain exchanges, of which AQE can split a hot minimiser's.
+    counts = materialize(skm.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1"), f"minimisers-{units.name}")
     spans = skm.join(counts, "mh").groupBy("did", "rk").agg(F.collect_set(F.struct("start", "n", "mh", (F.col("c") > HOT).alias("hot"))).alias("spans"))
     cand = materialize(rows.join(spans, ["did", "rk"], "left"), f"candidates-{units.name}")
     packed = materialize(_pack_rows(cand.where("spans IS NOT NULL"), units), f"packed-{units.name}")
@@ -299,7 +302,7 @@ def repeated_spans(docs: DataFrame, units: Units, bucket: Bucket, keep_first: bo
     lead = F.when((F.col("did") == F.col("did1")) & (F.col("rk") == F.col("rk1")) & (F.col("start") == F.col("start1")), F.transform(F.col("lead"), lambda r: F.struct((F.col("start") + r["o"]).alias("s"), r["n"].alias("n"))))
     hits = at.groupBy("did", "rk").agg(F.flatten(F.collect_list(own)).alias("hits"), F.flatten(F.collect_list(lead)).alias("firsts"))
     hits = hits.withColumn("firsts", F.col("firsts") if keep_first else F.lit(None).cast("array<struct<s:bigint,n:int>>"))
-    return cand.select("doc_id", "text", "did", "rk").join(hits, ["did", "rk"], "left").select("doc_id", "text", "hits", "firsts")
+    return cand.drop("spans").join(hits, ["did", "rk"], "left").select("doc_id", "text", "hits", "firsts", *(["carry"] if carry else []))
 
 
 def covered(n_units: int, k: int, hits: list[dict] | None, firsts: list[dict] | None) -> np.ndarray:

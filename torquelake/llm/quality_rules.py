@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torquelake.llm.common import SPACES, materialize, text_or_empty, words
+from torquelake.llm.common import SPACES, let, materialize, text_or_empty, words
 
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -54,11 +54,6 @@ def _count(text: str, pattern: str) -> Column:
     return F.regexp_count(F.col(text), F.lit(pattern)).cast("long")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, computed once: a lambda over a one-element array names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeat_words(w: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the same word array.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from torquelake.llm import html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from torquelake.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from torquelake.llm.common import load
 
 
@@ -25,6 +25,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.consensus_extract(load(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(load(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,

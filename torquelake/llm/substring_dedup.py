@@ -13,10 +13,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from torquelake.llm.repeats import Units, covered, repeated_spans
+from torquelake.llm.repeats import Units, covered, repeated_spans, word_spans
 
 WORDS = Units("words", 35, 8)
 
@@ -39,25 +42,42 @@ def sort_and_count(strings: list[bytes], counts: list[int]) -> list[tuple[list[i
     return [(sorted(e), sorted(f)) for e, f in zip(every, lead, strict=True)]
 
 
-def remove_repeated_windows(docs: DataFrame, keep_first: bool = False) -> DataFrame:
-    """doc_id, kept text (words joined by one space), n_words, n_removed, kept_sha256 of every row."""
-    spans = repeated_spans(docs, WORDS, sort_and_count, keep_first)
+def cut_out(raw: bytes, gone: np.ndarray) -> bytes:
+    """What is left of a text: its runs of kept words with their own white space, joined by one space."""
+    starts, ends = word_spans(raw)
+    edge = np.diff(np.concatenate([[0], (~gone).astype(np.int8), [0]]))
+    return b" ".join(raw[starts[a] : ends[b - 1]] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
+
+
+def remove_repeated_windows(docs: DataFrame, keep_first: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, kept_text, n_words, n_removed, kept_sha256 of every row, and its ``carry`` columns.
+
+    kept_text keeps the text's own white space between kept words; kept_sha256 is of the kept words
+    joined by one space. With ``keep_first`` the first occurrence of each window stays.
+    """
+    spans = repeated_spans(docs, WORDS, sort_and_count, keep_first, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, total, removed, sha = [], [], [], []
             for text, hits, firsts in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                w = text.encode().split()
+                raw = text.encode()
+                w = raw.split()
                 if hits:
                     gone = covered(len(w), WORDS.k, hits, firsts)
-                    left = b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)
+                    kept.append(cut_out(raw, gone).decode() if gone.any() else text)
                     removed.append(int(gone.sum()))
+                    w = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
                 else:
-                    left = b" ".join(w)
+                    kept.append(text)
                     removed.append(0)
-                kept.append(left.decode())
-                total.append(len(w))
-                sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "kept_text", "n_words", "n_removed", "kept_sha256"])
+                total.append(len(w) + removed[-1])
+                sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+            cols = [b.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *([b.column(4)] if carry else [])], ["doc_id", "kept_text", "n_words", "n_removed", "kept_sha256", *(["carry"] if carry else [])])
 
-    return spans.mapInArrow(run, "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
+    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()))])
+    if carry:
+        schema.add(spans.schema["carry"])
+    out = spans.mapInArrow(run, schema)
+    return out.select(*[c for c in out.columns if c != "carry"], *([F.col("carry")[c].alias(c) for c in carry] if carry else []))

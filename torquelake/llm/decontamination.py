@@ -72,8 +72,7 @@ def windows(df: DataFrame, key: str, text: str, exact: bool, length: int) -> Dat
         return F.when(wanted, F.transform(F.sequence(F.lit(1), size - (length - 1)), each))
 
     def both(c: Column) -> Column:
-        has = c.rlike(f"[{_PRIVATE}]")
-        return let(F.split(_template(c), " "), lambda t: let(F.split(c, " "), lambda v: hashed(t, v, has)))
+        return let(c.rlike(f"[{_PRIVATE}]"), lambda has: let(F.split(_template(c), " "), lambda t: let(F.split(c, " "), lambda v: hashed(t, v, has))))
 
     found = df.select(F.col(key), let(F.nullif(F.col(text), F.lit("")), both).alias("_all")).select(key, F.posexplode("_all").alias("pos", "_w"))
     return found.select(key, F.col("pos").cast("long"), F.col("_w.h").alias("h"), F.coalesce("_w.slots", F.array().cast("array<string>")).alias("slots"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from torquelake.plans import vehicle_frames
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = dict(vehicle_frames.QUERIES)
+ORACLES = dict(vehicle_frames.ORACLES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from torquelake.plans import vehicle_frames
+from torquelake.plans import vehicle_codes, vehicle_frames
 
-QUERIES = dict(vehicle_frames.QUERIES)
-ORACLES = dict(vehicle_frames.ORACLES)
+QUERIES = vehicle_frames.QUERIES | vehicle_codes.QUERIES
+ORACLES = vehicle_frames.ORACLES | vehicle_codes.ORACLES

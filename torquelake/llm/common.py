@@ -17,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 _made: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +47,9 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share (spark.checkpoint.dir); a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='torquelake-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    return _own_dirs.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='torquelake-')}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -284,7 +284,8 @@ def _hot(strings: DataFrame, units: Units) -> DataFrame:
 def repeated_spans(docs: DataFrame, units: Units, bucket: Bucket, keep_first: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, spans of every row: spans (start unit, windows) of windows that occur again anywhere.
 
-    With ``keep_first`` the first occurrence of each window, in the order of (doc_id, place), is left out.
+    With ``keep_first`` the first occurrence of each window, in the order of (doc_id, place), is left out;
+    identical rows are one place then.
     """
     tune(docs.sparkSession)
     rows = rows_of(docs, carry)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from torquelake.plans import vehicle_codes, vehicle_frames
+from torquelake.plans import vehicle_codes, vehicle_frames, vehicle_signals
 
-QUERIES = vehicle_frames.QUERIES | vehicle_codes.QUERIES
-ORACLES = vehicle_frames.ORACLES | vehicle_codes.ORACLES
+_PLANS = (vehicle_frames, vehicle_codes, vehicle_signals)
+QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+ORACLES = {k: s for p in _PLANS for k, s in p.ORACLES.items()}

@@ -8,10 +8,11 @@ one node. Two nodes link when 100 * intersection >= 75 * union.
    bounds its shingles' frequencies from above; one far over the usual count marks heavy shingles.
 2. Shingles are ordered light before heavy. If two sets of sizes a, b link, their first
    a - ceil(.75 a) + l and b - ceil(.75 b) + l shingles in that order share l shingles or more. Every
-   document chooses its own l by the estimated candidates of its prefix: the more heavy shingles the
-   prefix has, the longer it becomes, and the more shared prefix shingles a candidate needs.
+   document chooses its own l by its size and the estimated candidates of its prefix: the more heavy
+   shingles the prefix has, the longer it becomes, and the more shared prefix shingles a candidate
+   needs.
 3. Prefix shingles of two nodes or more are kept. Heavy shingles are salted for this, light ones are
-   bounded by the threshold. First each node is verified against its shingles' smallest node only
+   bounded by the threshold. First each node is verified against its shingles' most central node only
    (pairs in proportion to rows, however large a group of near copies), which gives components.
 4. Then shingles that still join two components or more give their pairs between components, those
    with enough shared prefix shingles are verified, and components are closed again. A pair inside a
@@ -37,7 +38,10 @@ from torquelake.llm.common import materialize, tune
 from torquelake.llm.repeats import mix, rows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-BUCKETS, MAX_MATCHES, SALTS = 1 << 18, 4, 64
+BUCKETS, SALTS, ROUNDS = 1 << 20, 64, 2
+_SHIFT = np.uint64(64 - 20)
+#: A prefix is lengthened by at least one shingle in so many of the set, by twice that where it has heavy ones.
+SHARE = 16
 
 
 def shingles(text: str) -> np.ndarray:
@@ -60,6 +64,16 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
+def least_matches(n):
+    """Shared prefix shingles that any candidate of a set of ``n`` needs at least (its partner may be smaller by a quarter)."""
+    return 1 + F.floor(F.floor(n * PERCENT / 100) / SHARE)
+
+
+def overlap(a, b):
+    """Intersection that two sets of sizes ``a`` and ``b`` need to link."""
+    return F.ceil((a + b) * PERCENT / (100 + PERCENT))
+
+
 def overlap_needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
@@ -75,12 +89,13 @@ def heavy_table(counts: np.ndarray) -> np.ndarray:
 
 def prefix(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(prefix shingles, their classes, matches needed) of a set: light first, lengthened with heavy shingles in it."""
-    c = classes[(s >> np.uint64(46)).astype(np.int64)]
+    c = classes[(s >> _SHIFT).astype(np.int64)]
     order = np.lexsort((mix(s), c))
     s, c = s[order], c[order]
     need = overlap_needed(len(s))
     short = len(s) - need + 1
-    matches = int(min(MAX_MATCHES, need, 1 + (c[:short] > 0).sum()))
+    base = len(s) // SHARE
+    matches = int(min(need, 1 + base + min(base, (c[:short] > 0).sum())))
     return s[: short + matches - 1], c[: short + matches - 1], matches
 
 
@@ -93,10 +108,10 @@ def _survey(rows: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b.column(3).to_pylist()]
             for s in sets:
-                counts += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
+                counts += np.bincount((s >> _SHIFT).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
             small = [s for s in sets if 0 < len(s) <= BUCKETS // 8]
             if small:
-                counts += np.bincount((np.concatenate(small) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+                counts += np.bincount((np.concatenate(small) >> _SHIFT).astype(np.int64), minlength=BUCKETS)
             n = len(sets)
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), none, none], names)
@@ -115,7 +130,7 @@ def _prefixes(rows: DataFrame, classes: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets give their prefix once in a task
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if not len(s) or (node := node_of(s)) in seen:
@@ -123,12 +138,12 @@ def _prefixes(rows: DataFrame, classes: np.ndarray) -> DataFrame:
                 seen.add(node)
                 p, c, matches = prefix(s, shared.value)
                 k = len(p)
-                for col, v in zip(cols, (p.view(np.int64), np.full(k, node), np.full(k, len(s)), np.full(k, matches, np.int32), c > 0), strict=True):
+                for col, v in zip(cols, (p.view(np.int64), np.full(k, node), np.full(k, len(s)), np.full(k, matches, np.int32), c > 0, np.arange(k, dtype=np.int32)), strict=True):
                     col.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "n", "matches", "heavy"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "n", "matches", "heavy", "pos"])
 
-    return rows.select("text").mapInArrow(run, "token long, node long, n long, matches int, heavy boolean")
+    return rows.select("text").mapInArrow(run, "token long, node long, n long, matches int, heavy boolean, pos int")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -187,27 +202,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tokens = _prefixes(rows, heavy_table(counts)).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
     w = Window.partitionBy("token", "salt")
     tokens = tokens.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("heavy OR lo < hi")
-    shared = materialize(tokens.select("token", "node", "n", "matches").distinct(), "shared-tokens")
-
-    firsts = shared.groupBy("token").agg(F.min(F.struct("node", "n")).alias("f"), F.max("node").alias("hi")).where("f.node < hi").select("token", F.col("f.node").alias("a"), F.col("f.n").alias("na"))
-    pairs = shared.join(firsts, "token").where((F.col("node") != F.col("a")) & _similar_sizes("n", "na")).select("a", F.col("node").alias("b"))
-    pairs = materialize(pairs.distinct(), "leader-pairs")
+    shared = materialize(tokens.select("token", "node", "n", "matches", "pos").distinct(), "shared-tokens")
+    # Prefix shingles of a node that nobody shares are in no intersection: what is "lost" bounds every overlap.
+    k = shared.groupBy("node", "n", "matches").agg(F.count("*").alias("k")).where(F.col("k") >= least_matches(F.col("n")))
+    lost = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("matches") - F.col("k")).cast("long")
+    wanted = materialize(k.select("node", lost.alias("lost")), "candidate-nodes")
+    shared = materialize(shared.join(wanted, "node"), "candidate-tokens")
 
-    wanted = shared.select("node").distinct()
     reps = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("did", "rk")).alias("r")).select("node", F.col("r.did").alias("did"), F.col("r.rk").alias("rk"))
     texts = rows.select("did", "rk", "text").join(reps, ["did", "rk"])
     sets = materialize(_sets(texts).dropDuplicates(["node"]), "sets")
 
-    edges = materialize(verify(pairs, sets), "edges")
-    comps = connected_components(edges)
-    own = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    holders = materialize(shared.groupBy("token").agg(F.count("*").alias("df")), "holders")
+    central = shared.join(holders, "token").groupBy("node").agg((F.sum("df") / (F.count("*") + F.max("lost"))).alias("central"))
+    shared = materialize(shared.join(central, "node"), "ranked-tokens")
+    edges = known = comps = None
+    own = shared.withColumn("comp", F.col("node"))
+    for turn in range(ROUNDS):
+        # Of the nodes with a shingle the most central leads: its prefix shingles have the most holders on average.
+        leader = F.max(F.struct((F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")).alias("rank"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp")))
+        firsts = own.groupBy("token").agg(leader.alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        firsts = materialize(firsts.select("token", F.col("f.node").alias("a"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca")), "leaders")
+        # A sieve only: pairs with few shingles in common here come again below, if they still matter.
+        found = own.join(firsts, "token").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("ca")) & _similar_sizes("n", "na"))
+        found = found.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"), F.min("matches").alias("need")).where("2 * k >= need").select("a", "b")
+        pairs = materialize(found, "leader-pairs")
+        new = materialize(verify(pairs, sets), "edges")
+        edges = new if edges is None else edges.unionByName(new)
+        tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = tried if known is None else known.unionByName(tried)
+        comps = connected_components(edges)
+        own = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        own = materialize(own, "token-components")
     open_tokens = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = materialize(own.join(open_tokens, "token"), "open-tokens")
-    left = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("comp").alias("ca"))
-    right = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("comp").alias("cb"))
-    cross = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb"))
-    cross = cross.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("need")).where("k >= need").select("a", "b")
-    known = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    open_tokens = materialize(open_tokens, "open-tokens")
+    rest = materialize(own.join(open_tokens, "token"), "open-rows")
+    side = lambda x: rest.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "matches", "comp", "pos", "lost")])
+    # Of an overlap o, the first l common shingles lie among a side's first n - o + l; and o is at most n - lost.
+    o = overlap(F.col("n_a"), F.col("n_b"))
+    need = F.least("matches_a", "matches_b")
+    possible = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _similar_sizes("n_a", "n_b")
+    for x in "ab":
+        possible = possible & (F.col(f"pos_{x}") < F.col(f"n_{x}") - o + need) & (o <= F.col(f"n_{x}") - F.col(f"lost_{x}"))
+    cross = side("a").join(side("b"), "token").where(possible).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("k"), F.min(need).alias("need"))
+    cross = cross.where("k >= need").select("a", "b")
     more = materialize(verify(cross.join(known, ["a", "b"], "left_anti"), sets), "more-edges")
     if not more.isEmpty():
         comps = connected_components(edges.unionByName(more))

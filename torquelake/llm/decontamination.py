@@ -10,7 +10,7 @@
    in the document throughout. Equal values mean a verbatim leak, others a re-parameterised one.
 
 The benchmark's windows are broadcast only if there are at most ``MAX_BROADCAST_WINDOWS`` of them;
-otherwise Spark shuffles both sides by hash. Only matched windows (hash, slots) move in any case.
+otherwise Spark shuffles both sides by hash. Only matched windows move in any case.
 
 Defined results: null or empty texts match nothing; items of fewer than ``MIN_WINDOW`` tokens match
 nothing; repeated documents are found each, repeated items each; an empty table on either side gives
@@ -42,8 +42,9 @@ UNITS = (
 
 def canonical(text: Column) -> Column:
     """The text with typed placeholders that still carry their values, lower-cased, without marks, tokens parted by one space."""
-    t = F.regexp_replace(text, f"[{_PRIVATE}]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}[\p{Ll}'-]+)", NAME + "$1")
+    private = text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT)
+    t = F.when(private, F.regexp_replace(text, f"[{_PRIVATE}]", " ")).otherwise(text)
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})[\p{Ll}'-]+", NAME + "$0")
     t = F.lower(F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", f" {NUMBER}$0 "))
     unit = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 
@@ -53,7 +54,8 @@ def canonical(text: Column) -> Column:
         return F.when(x.contains(NUMBER), F.regexp_replace(with_units, r"(?<=[0-9])[.,:/](?=[0-9])", "_")).otherwise(x)
 
     t = let(t, valued)
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{_PRIVATE}_]+(?<!{UNIT}[%$€£°])", " ")
+    kept = rf"\p{{L}}\p{{M}}\p{{N}}{_PRIVATE}_"
+    t = F.regexp_replace(t, rf" *(?<!{UNIT})[^{kept} ][^{kept}]*| {{2,}}", " ")
     return F.trim(t)
 
 
@@ -61,21 +63,36 @@ def _template(values: Column) -> Column:
     return F.regexp_replace(values, f"([{_PRIVATE}])[^ ]*", "$1")
 
 
+def _hashes(t: Column, length: int) -> Column:
+    """Hash of every run of ``length`` tokens: by doubling for a power of two, else over slices of token hashes."""
+    h = F.transform(t, lambda x: F.xxhash64(x))
+    if length & (length - 1):
+        return let(h, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (length - 1)), lambda i: F.xxhash64(F.slice(h, i, length))))
+    width = 1
+    while width < length:
+        h = _doubled(h, width)
+        width *= 2
+    return h
+
+
+def _doubled(h: Column, width: int) -> Column:
+    return let(h, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - width, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + width))))
+
+
 def windows(df: DataFrame, key: str, text: str, exact: bool, length: int) -> DataFrame:
-    """key, pos, h, slots of all windows of ``length`` tokens; with ``exact``, of texts whose windows have that length."""
+    """key, pos, h of all windows of ``length`` tokens; with ``exact``, of texts whose windows have that length."""
+
+    def hashed(t: Column) -> Column:
+        wanted = (F.size(t) >= length) & ((F.least(F.size(t), F.lit(WINDOW)) == length) if exact else F.lit(True))
+        return F.when(wanted, _hashes(t, length))
 
-    def hashed(t: Column, v: Column, has: Column) -> Column:
-        slots = lambda i: F.filter(F.slice(v, i, length), lambda x: x.rlike(f"^[{_PRIVATE}]"))
-        each = lambda i: F.struct(F.xxhash64(F.slice(t, i, length)).alias("h"), F.when(has, slots(i)).alias("slots"))
-        size = F.size(t)
-        wanted = (size >= length) & ((F.least(size, F.lit(WINDOW)) == length) if exact else F.lit(True))
-        return F.when(wanted, F.transform(F.sequence(F.lit(1), size - (length - 1)), each))
+    every = let(F.split(_template(F.nullif(F.col(text), F.lit(""))), " "), hashed)
+    return df.select(F.col(key), every.alias("_all")).select(key, F.posexplode("_all").alias("pos", "h"))
 
-    def both(c: Column) -> Column:
-        return let(c.rlike(f"[{_PRIVATE}]"), lambda has: let(F.split(_template(c), " "), lambda t: let(F.split(c, " "), lambda v: hashed(t, v, has))))
 
-    found = df.select(F.col(key), let(F.nullif(F.col(text), F.lit("")), both).alias("_all")).select(key, F.posexplode("_all").alias("pos", "_w"))
-    return found.select(key, F.col("pos").cast("long"), F.col("_w.h").alias("h"), F.coalesce("_w.slots", F.array().cast("array<string>")).alias("slots"))
+def slots_at(text: str, at: Column, length: Column) -> Column:
+    """The placeholders with values of the window of ``length`` tokens at ``at`` of a canonical text."""
+    return let(F.split(F.col(text), " "), lambda v: F.filter(F.slice(v, at + 1, length), lambda x: x.rlike(f"^[{_PRIVATE}]")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -87,12 +104,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     every = every.select(F.struct("_rk", "doc_id").alias("_key"), "_canon")
     parts = []
     for length in lengths or [WINDOW]:
-        of_items = windows(items.select(F.struct("item", "item_id").alias("_item"), "_canon"), "_item", "_canon", True, length)
-        of_items = materialize(of_items.withColumnsRenamed({"pos": "ipos", "slots": "islots"}), "benchmark-windows")
+        of_items = windows(items.select(F.struct("item", "item_id").alias("_item"), "_canon"), "_item", "_canon", True, length).withColumnRenamed("pos", "ipos")
+        of_items = materialize(of_items, "benchmark-windows")
         if of_items.count() <= MAX_BROADCAST_WINDOWS:
             of_items = F.broadcast(of_items)
         of_docs = windows(every, "_key", "_canon", False, length)
-        parts.append(of_docs.join(of_items, "h").select("_key", "_item", "pos", "ipos", "slots", "islots"))
+        parts.append(of_docs.join(of_items, "h").select("_key", "_item", "pos", "ipos", F.lit(length).alias("length")))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
@@ -100,7 +117,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     found = hits.groupBy("_key", "_item").agg(F.count_distinct("ipos").alias("n_windows"))
     total = items.select(F.struct("item", "item_id").alias("_item"), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1)).cast("long").alias("item_windows"))
     covered = found.join(total, "_item").withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= MIN_COVERAGE)
-    slots = hits.where((F.size("slots") > 0) & (F.size("slots") == F.size("islots")))
+    # Slots of the item's windows that have any; then of the documents hit there, whose texts are read once more.
+    item_texts = items.where(F.col("_canon").rlike(f"[{_PRIVATE}]")).select(F.struct("item", "item_id").alias("_item"), F.col("_canon").alias("_ic"))
+    slotted = hits.join(covered.select("_key", "_item"), ["_key", "_item"], "left_semi").join(item_texts, "_item")
+    slotted = slotted.withColumn("islots", slots_at("_ic", F.col("ipos"), F.col("length"))).where(F.size("islots") > 0).drop("_ic", "ipos")
+    slotted = materialize(slotted, "slotted-hits")
+    if slotted.count() <= MAX_BROADCAST_WINDOWS // 10:
+        slotted = F.broadcast(slotted)
+    slots = every.join(slotted, "_key").withColumn("slots", slots_at("_canon", F.col("pos"), F.col("length")))
+    slots = slots.where(F.size("slots") == F.size("islots"))
     pairs = slots.select("_key", "_item", F.explode(F.arrays_zip("islots", "slots")).alias("z")).select("_key", "_item", F.col("z.islots").alias("was"), F.col("z.slots").alias("now")).distinct()
     by_value = pairs.groupBy("_key", "_item", "was").agg(F.count("*").alias("k"), F.max((F.col("was") == F.col("now")).cast("int")).alias("same"))
     slot = by_value.groupBy("_key", "_item").agg(F.avg((F.col("k") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from torquelake.operators import agent, forest, retrieval, windows
 from torquelake.plans.proxy import frames, table
+from torquelake.sources import corpus
 from torquelake.streaming import bus as stream_bus
 
 QUERIES, ORACLES = {}, {}
@@ -55,6 +56,35 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rank(_bm25(spark, sf_dir), top_k=5).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
+_CASE_SQL = """cases AS (SELECT doc_id AS pos, CASE WHEN doc_id % 11 = 5 THEN 'case-0' ELSE 'case-' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN 'X' || doc_id ELSE printf('p%04X', doc_id) END AS code, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE lang END AS fix_en, lang FROM documents)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(k.alias("pos"), F.when(k % 11 == 5, "case-0").otherwise(F.concat(F.lit("case-"), k)).alias("id"), F.when(k % 5 == 0, F.concat(F.lit("X"), k)).otherwise(F.concat(F.lit("p"), F.lpad(F.hex(k), 4, "0"))).alias("code"), "lang")
+    same = {c: F.col("lang") for c in corpus.TEXTS if c != "fix_en"}
+    return d.withColumns(same | {"dtc_codes": F.array("code"), "brands": F.array(F.lit("Kia")), "engine_family": F.lit("e"), "system": F.lit("s"), "confirmed": F.lit(True), "fix_en": F.when(F.col("pos") % 7 == 0, " ").otherwise(F.col("lang"))}).drop("code", "lang")
+
+
+@query("corpus_violations", f"""WITH {_CASE_SQL}, f AS (SELECT id, min(pos) AS p FROM cases GROUP BY id)
+  SELECT pos, id || ': duplicate case id' AS message FROM cases JOIN f USING (id) WHERE pos > p UNION ALL SELECT pos, id || ': invalid DTC code format ' || chr(39) || code || chr(39) FROM cases WHERE code[1] = 'X'
+  UNION ALL SELECT pos, id || ': field ' || chr(39) || 'fix_en' || chr(39) || ' is empty' FROM cases WHERE fix_en = ' '""")
+def corpus_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.violations(_cases(spark, sf_dir)).select("pos", "message")
+
+
+@query("corpus_flatten", f"""WITH {_CASE_SQL} SELECT id || '-' || l AS doc_id, upper(code) AS codes, CASE l WHEN 'fr' THEN 'Codes défaut: ' || upper(code) || '. Moteur: e. Symptômes: ' || lang || ' Cause racine: ' || lang || ' Réparation: ' || lang
+  ELSE 'Fault codes: ' || upper(code) || '. Engine: e. Symptoms: ' || lang || ' Root cause: ' || lang || ' Fix: ' || fix_en END AS text FROM cases, (VALUES ('fr'), ('en')) v(l)""")
+def corpus_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.flatten(_cases(spark, sf_dir)).select("doc_id", F.array_join("dtc_codes", ",").alias("codes"), "text")
+
+
+@query("corpus_upsert", "SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS v FROM documents")
+def corpus_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("v"))
+    return corpus.upsert(d, d.where("k % 3 = 0").withColumn("v", F.lit("new")), "k")
+
+
 _DENSE = """d AS (SELECT q.vec_id AS query, e.vec_id AS doc, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
   h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM d)"""
 

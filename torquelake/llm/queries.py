@@ -78,4 +78,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(%s, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS % "text"} AS ws FROM documents),
+      win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+      dup AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+      gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN dup USING (k), (SELECT unnest(range(35)) AS j)),
+      each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+      kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+      SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op9_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS % "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"} AS ws FROM documents),
+      sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+      n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+      p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+      e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+      e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+      r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e2.b FROM r JOIN e2 ON r.y = e2.a)
+      SELECT x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON r.x = n.doc_id GROUP BY x""",
+}

@@ -6,13 +6,15 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from torquelake.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from torquelake.llm.common import load
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.divergence_rules(load(spark, sf_dir, "documents"))
+    judged = quality_rules.divergence_rules(load(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,3 +99,32 @@ ORACLES: dict[str, str] = {
       r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e2.b FROM r JOIN e2 ON r.y = e2.a)
       SELECT x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON r.x = n.doc_id GROUP BY x""",
 }
+
+
+def _quality_sql() -> str:
+    q, pick = quality_rules, lambda p: f"length(regexp_replace(t, '[^{p[1:-1]}]', '', 'g'))"
+    listed = ", ".join(f"('{lang}', [{', '.join(repr(w) for w in v)}])" for lang, v in q.COMMON_WORDS.items())
+    classes = {"upper": r"[\p{Lu}]"} | {k: v for k, v in q.CLASSES.items() if k != "upper"}
+    part = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    return f"""WITH w AS (SELECT doc_id, lang, coalesce("text", '') AS t, {_WORDS % '"text"'} AS ws FROM documents),
+      win AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+      dup AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
+      rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN dup USING (doc_id, k), (SELECT unnest(range(3)) AS j) GROUP BY doc_id),
+      b AS (SELECT doc_id, lang, t, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {pick(q.CLASSES['symbol'])} AS n_symbols,
+          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+      s AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, len(ls) - len(list_distinct(ls)) AS n_dup_lines, list_transform(ws, lambda x: lower(x)) AS lw,
+          [{', '.join(pick(p) for p in classes.values())}] AS cs FROM b),
+      lists(lang, words) AS (VALUES {listed}),
+      h AS (SELECT doc_id, s.lang, base_failed, 'class' AS kind, unnest(range(1, {len(q.CLASS_NAMES) + 1})) AS i, unnest(list_append(cs, length(t) - list_sum(cs))) AS c, length(t) AS total FROM s JOIN lists USING (lang)
+        UNION ALL SELECT doc_id, lang, base_failed, 'word', unnest(range(1, len(wc) + 2)), unnest(list_append(wc, n_words - list_sum(wc))), n_words
+        FROM (SELECT doc_id, s.lang, base_failed, n_words, list_transform(words, lambda x: len(list_filter(lw, lambda y: y = x))) AS wc FROM s JOIN lists USING (lang))),
+      sh AS (SELECT doc_id, lang, base_failed, kind, i, CASE WHEN total > 0 THEN c / total::DOUBLE ELSE 0 END AS p FROM h),
+      ref AS (SELECT lang, kind, i, avg(p) AS q FROM sh WHERE NOT base_failed GROUP BY ALL),
+      d AS (SELECT doc_id, kind, sqrt(greatest(0, sum(({part.format(a='p', b='q')} + {part.format(a='q', b='p')}) / 2))) AS d FROM sh JOIN ref USING (lang, kind, i) GROUP BY ALL),
+      j AS (SELECT s.*, CASE WHEN length(t) >= {q.MIN_CHARS_FOR_CLASSES} THEN x.d END AS cd, CASE WHEN n_words >= {q.MIN_WORDS_FOR_COMMON} THEN y.d END AS wd
+        FROM s LEFT JOIN d x ON s.doc_id = x.doc_id AND x.kind = 'class' LEFT JOIN d y ON s.doc_id = y.doc_id AND y.kind = 'word')
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(cd > {q.MAX_CLASS_DISTANCE}, false) AND NOT coalesce(wd > {q.MAX_WORD_DISTANCE}, false) AS kept,
+        round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j"""
+
+
+ORACLES["op5_quality_rules"] = _quality_sql()

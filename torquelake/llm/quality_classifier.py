@@ -31,28 +31,30 @@ FEATURES = ["n_words", "mean_word", "upper", "digit", "symbol", "bang", "bar", "
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the FEATURES as doubles, computed over the whole text."""
+    """``docs`` with the FEATURES as doubles, computed over the whole text.
+
+    They come out of a one-row inline: a later filter on what is built from them cannot be pushed below it,
+    which would repeat every statistic in every rule.
+    """
     out = docs.withColumn("_t", text_or_empty(text)).withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.split("_t", "\n"))
     n = F.length("_t").cast("double")
     share = lambda pattern: F.coalesce(F.try_divide(F.regexp_count("_t", F.lit(pattern)).cast("double"), n), F.lit(0.0))
     n_words = F.size("_w").cast("double")
     n_lines = F.size("_lines").cast("double")
-    return out.withColumns(
-        {
-            "n_words": n_words,
-            "mean_word": F.coalesce(F.try_divide(n, n_words), F.lit(0.0)),
-            "upper": share(r"\p{Lu}"),
-            "digit": share("[0-9]"),
-            "symbol": share("[#*$%&<>]"),
-            "bang": share("!"),
-            "bar": share(r"\|"),
-            "other_marks": share(r"[\x22\x27-\x29\x2B\x2D\x2F\x3D\x40\x5B-\x60\x7B\x7D\x7E]"),
-            "dup_lines": 1 - F.try_divide(F.size(F.array_distinct("_lines")).cast("double"), n_lines),
-            "distinct_words": F.coalesce(F.try_divide(F.size(F.array_distinct("_w")).cast("double"), n_words), F.lit(1.0)),
-
-            "words_per_line": F.coalesce(F.try_divide(n_words, n_lines), F.lit(0.0)),
-        }
-    ).drop("_t", "_w", "_lines")
+    features = {
+        "n_words": n_words,
+        "mean_word": F.coalesce(F.try_divide(n, n_words), F.lit(0.0)),
+        "upper": share(r"\p{Lu}"),
+        "digit": share("[0-9]"),
+        "symbol": share("[#*$%&<>]"),
+        "bang": share("!"),
+        "bar": share(r"\|"),
+        "other_marks": share(r"[\x22\x27-\x29\x2B\x2D\x2F\x3D\x40\x5B-\x60\x7B\x7D\x7E]"),
+        "dup_lines": 1 - F.try_divide(F.size(F.array_distinct("_lines")).cast("double"), n_lines),
+        "distinct_words": F.coalesce(F.try_divide(F.size(F.array_distinct("_w")).cast("double"), n_words), F.lit(1.0)),
+        "words_per_line": F.coalesce(F.try_divide(n_words, n_lines), F.lit(0.0)),
+    }
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in features.items()]))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:

@@ -125,9 +125,13 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     """Fit on the usable rows of ``docs`` with a language, up to MAX_ROWS_PER_LANG rows of each."""
     tune(docs.sparkSession)
     rows = docs.where(usable).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = rows.withColumn("_n", order).where(F.col("_n") <= MAX_ROWS_PER_LANG).select("doc_id", "lang")
-    few = few.join(F.broadcast(few.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")), "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(MAX_LANGS)
+    # Hashes are even: a language's MAX_ROWS_PER_LANG smallest lie under a bound from its row count, so few rows are sorted.
+    hashed, top = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)).cast("double"), float(1 << 52)
+    share = MAX_ROWS_PER_LANG + 8 * MAX_ROWS_PER_LANG**0.5
+    few = rows.join(F.broadcast(sizes), "lang").where(hashed * F.col("_rows") < share * top)  # at most MAX_LANGS rows
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    few = few.withColumn("_n", order).where(F.col("_n") <= MAX_ROWS_PER_LANG).select("doc_id", "lang")
     texts = docs.where(usable).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     few = F.broadcast(few.distinct())  # at most MAX_ROWS_PER_LANG * MAX_LANGS rows
     got = texts.join(few, "doc_id").select("doc_id", "lang", "text").mapInArrow(_with_features, "doc_id long, lang string, x binary").collect()

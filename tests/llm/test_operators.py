@@ -201,6 +201,14 @@ def test_packing(docs):
         assert sum(n for _, n in v) <= 2048 and len(v) <= packing.SEGMENTS
 
 
+def test_piece_memory_beyond_its_cap(monkeypatch):
+    monkeypatch.setattr(packing.Ids, "KEEP", 3)
+    ids = packing.Ids(vocabulary("word_bpe_49k.json"))
+    for batch in (["one two three four five", "six seven"], ["one two", "eight nine"], ["one two three", "don't", "", "five ten, 12"]):
+        expected = [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+        assert ids.encode(batch) == expected
+
+
 def test_packer_keeps_every_limit():
     cut = lambda x, n: ((x[0], n), (x[0], x[1] - n), n)
     p = packing.Packer(cut, tokens=100, segments=4, loss=60, pool=8)

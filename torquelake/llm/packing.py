@@ -55,8 +55,6 @@ class Ids:
         self.seen: dict[str, bytes] = {}
 
     def _learn(self, lists: list[list[str]]) -> None:
-        if len(self.seen) > self.KEEP:
-            self.seen.clear()
         new = [w for w in set().union(*lists) if w not in self.seen]
         if not new:
             return
@@ -78,6 +76,9 @@ class Ids:
                 plain.append((k, _WORDS.findall(t.lower())))
             else:
                 out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        # Before `missing` is worked out: what is cleared here is learned again for all plain texts of the batch.
+        if len(self.seen) > self.KEEP:
+            self.seen.clear()
         missing = [w for _, w in plain if not self.seen.keys() >= set(w)] if self.seen else [w for _, w in plain]
         if missing:
             self._learn(missing)

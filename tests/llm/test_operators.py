@@ -293,6 +293,17 @@ def test_decontamination(spark):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_two_variants(spark):
+    item = "A train travels at 60 km per hour for 3 hours from Boston. How far does it go in 3 hours at 60 km per hour?"
+    variant = "A train travels at 75 km per hour for 4 days from Dallas. How far does it go in 4 days at 75 km per hour?"
+    third = "A train travels at 80 km per hour for 9 weeks from New York City. How far does it go in 9 weeks at 80 km per hour?"
+    texts = [f"{item} {variant}", f"{variant} And then more. {item}", f"{variant} {third}", f"{third} {variant} {sentence(50)} {item}", sentence(300),
+             "A train travels at 75 km per hour for 4 hours from Dallas. How far does it go in 9 hours at 12 km per hour?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.kind) for r in decontamination.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()]
+    assert sorted(got) == [(0, 1, "verbatim"), (1, 1, "verbatim"), (2, 1, "reparameterised"), (3, 1, "verbatim")]
+
+
 @pytest.mark.parametrize("op", [quality_rules.divergence_rules, substring_dedup.remove_repeated_windows, suffix_dedup.remove_repeated_bytes, jaccard_join.near_duplicates, sharding.shard_by_bytes])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0

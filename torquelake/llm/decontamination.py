@@ -5,9 +5,12 @@
    token templates.
 2. Hashed windows of template tokens of all documents meet those of the benchmark in a hash join.
    An item shorter than a window is one window of its own length.
-3. Windows of one item in one document are aligned: an item counts as leaked when enough of its
-   windows occur and its slots are consistent, that is, each value of the item stands for one value
-   in the document throughout. Equal values mean a verbatim leak, others a re-parameterised one.
+3. Windows of one item in one document are aligned by their shift, the place in the document less
+   that in the item. Each shift alone, each range of ``DRIFTS`` shifts (values of other lengths move
+   what follows them) and the whole document are an occurrence. An item counts as leaked when in any
+   of them enough of its windows occur and its slots are consistent, that is, each value of the item
+   stands for one value throughout. Equal values mean a verbatim leak, others a re-parameterised one.
+   The passing occurrence with the most windows is reported, a verbatim one first among equals.
 
 The benchmark's windows are broadcast only if there are at most ``MAX_BROADCAST_WINDOWS`` of them;
 otherwise Spark shuffles both sides by hash. Only matched windows move in any case.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from torquelake.llm.common import let, materialize, text_or_empty
 
@@ -28,6 +32,8 @@ WINDOW, MIN_WINDOW = 8, 5
 #: Share of an item's windows that must occur in a document, and share of consistent slots.
 MIN_COVERAGE, MIN_CONSISTENT = 0.35, 0.8
 MAX_BROADCAST_WINDOWS = 1_000_000
+#: Widths of the ranges of shifts, each less than the item's length at most, so that copies in a row stay apart.
+DRIFTS = (0, 4, 16)
 
 #: Placeholders: one private character, followed by the value until it is stripped.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -95,6 +101,17 @@ def slots_at(text: str, at: Column, length: Column) -> Column:
     return let(F.split(F.col(text), " "), lambda v: F.filter(F.slice(v, at + 1, length), lambda x: x.rlike(f"^[{_PRIVATE}]")))
 
 
+def occurrences(hits: DataFrame) -> DataFrame:
+    """_key, _item, shift and each occurrence it belongs to: the width (-1: the whole document) and the first shift of a range."""
+    shifts = hits.select("_key", "_item", "shift", "_n").distinct()
+    for d in DRIFTS:
+        w = Window.partitionBy("_key", "_item").orderBy("shift").rangeBetween(-d, 0)
+        near = F.filter(F.collect_set("shift").over(w), lambda a: a > F.col("shift") - F.col("_n"))
+        shifts = shifts.withColumn(f"_d{d}", F.transform(near, lambda a, d=d: F.struct(F.lit(d).alias("width"), a.alias("first"))))
+    whole = F.array(F.struct(F.lit(-1).alias("width"), F.lit(0).alias("first")))
+    return shifts.select("_key", "_item", "shift", F.explode(F.concat(whole, *[F.col(f"_d{d}") for d in DRIFTS])).alias("_occ"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, windows found, the item's windows, coverage, slot consistency and kind of each leak."""
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), canonical(text_or_empty(text)).alias("_canon"))
@@ -116,20 +133,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     hits = materialize(hits, "template-hits")
     found = hits.groupBy("_key", "_item").agg(F.count_distinct("ipos").alias("n_windows"))
     total = items.select(F.struct("item", "item_id").alias("_item"), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1)).cast("long").alias("item_windows"))
-    covered = found.join(total, "_item").withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= MIN_COVERAGE)
+    # No occurrence has more windows than its document.
+    covered = found.join(total, "_item").where(F.col("n_windows") / F.col("item_windows") >= MIN_COVERAGE)
+    lengths_of = items.select(F.struct("item", "item_id").alias("_item"), "_n")
+    near = hits.join(covered.select("_key", "_item"), ["_key", "_item"], "left_semi").join(lengths_of, "_item").withColumn("shift", F.col("pos") - F.col("ipos"))
+    near = materialize(near, "aligned-hits")
+    members = materialize(occurrences(near), "occurrences")
+    enough = near.select("_key", "_item", "shift", "ipos").distinct().join(members, ["_key", "_item", "shift"]).groupBy("_key", "_item", "_occ").agg(F.count_distinct("ipos").alias("n_windows"))
+    enough = enough.join(total, "_item").withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= MIN_COVERAGE)
     # Slots of the item's windows that have any; then of the documents hit there, whose texts are read once more.
     item_texts = items.where(F.col("_canon").rlike(f"[{_PRIVATE}]")).select(F.struct("item", "item_id").alias("_item"), F.col("_canon").alias("_ic"))
-    slotted = hits.join(covered.select("_key", "_item"), ["_key", "_item"], "left_semi").join(item_texts, "_item")
-    slotted = slotted.withColumn("islots", slots_at("_ic", F.col("ipos"), F.col("length"))).where(F.size("islots") > 0).drop("_ic", "ipos")
+    slotted = near.join(item_texts, "_item").withColumn("islots", slots_at("_ic", F.col("ipos"), F.col("length"))).where(F.size("islots") > 0).drop("_ic", "ipos", "_n")
     slotted = materialize(slotted, "slotted-hits")
     if slotted.count() <= MAX_BROADCAST_WINDOWS // 10:
         slotted = F.broadcast(slotted)
     slots = every.join(slotted, "_key").withColumn("slots", slots_at("_canon", F.col("pos"), F.col("length")))
     slots = slots.where(F.size("slots") == F.size("islots"))
-    pairs = slots.select("_key", "_item", F.explode(F.arrays_zip("islots", "slots")).alias("z")).select("_key", "_item", F.col("z.islots").alias("was"), F.col("z.slots").alias("now")).distinct()
-    by_value = pairs.groupBy("_key", "_item", "was").agg(F.count("*").alias("k"), F.max((F.col("was") == F.col("now")).cast("int")).alias("same"))
-    slot = by_value.groupBy("_key", "_item").agg(F.avg((F.col("k") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
-    out = covered.join(slot, ["_key", "_item"], "left").withColumn("slot_consistency", F.coalesce("consistent", F.lit(1.0))).where(F.col("slot_consistency") >= MIN_CONSISTENT)
+    pairs = slots.select("_key", "_item", "shift", F.explode(F.arrays_zip("islots", "slots")).alias("z")).select("_key", "_item", "shift", F.col("z.islots").alias("was"), F.col("z.slots").alias("now")).distinct()
+    pairs = pairs.join(members, ["_key", "_item", "shift"]).select("_key", "_item", "_occ", "was", "now").distinct()
+    by_value = pairs.groupBy("_key", "_item", "_occ", "was").agg(F.count("*").alias("k"), F.max((F.col("was") == F.col("now")).cast("int")).alias("same"))
+    slot = by_value.groupBy("_key", "_item", "_occ").agg(F.avg((F.col("k") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
+    out = enough.join(slot, ["_key", "_item", "_occ"], "left").withColumn("slot_consistency", F.coalesce("consistent", F.lit(1.0))).where(F.col("slot_consistency") >= MIN_CONSISTENT)
+    best = F.struct("n_windows", F.coalesce("same", F.lit(1)).alias("same"), "slot_consistency", "coverage", "item_windows")
+    out = out.groupBy("_key", "_item").agg(F.max(best).alias("_best")).select("_key", "_item", "_best.*")
     return out.select(
         F.col("_key.doc_id").alias("doc_id"), F.col("_item.item_id").alias("item_id"), F.col("n_windows").cast("long").alias("n_windows"), "item_windows", "coverage", "slot_consistency",
         F.when(F.coalesce("same", F.lit(1)) == 1, "verbatim").otherwise("reparameterised").alias("kind"), F.col("_key._rk").alias("row_key"),

@@ -276,6 +276,34 @@ def test_html_extraction(spark):
     assert (got[50].text, got[51].text, got[52].text) == ("", "", "just text <b>")
 
 
+@pytest.mark.parametrize("mark", ["class='content no-sidebar'", "class=has-sidebar", "id=ad-free", "class='post-share-enabled'", "class='page with-comments'"])
+def test_html_names_that_only_contain_a_boilerplate_word(mark):
+    page = f"<body><div {mark}><p>The article</p></div><p>and a line of its own that is longer than the article is</p></body>"
+    assert "The article" in " ".join(t for _, t in html_extraction.parse(page)[1])
+
+
+@pytest.mark.parametrize("mark", ["class=sidebar", "class='site-footer x'", "id=cookie-notice", "class=ad-728x90", "role=search"])
+def test_html_boilerplate_is_left_out(mark):
+    page = f"<body><div {mark}><p>Not this</p></div><p>a line of text that is longer than the other one</p></body>"
+    assert html_extraction.extract(page, []) == "a line of text that is longer than the other one"
+
+
+def test_html_keeps_captions_formulas_and_most_of_the_text():
+    page = "<article><p>See</p><figure><img><figcaption>A map</figcaption></figure><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>"
+    assert html_extraction.extract(page, []) == "See A map where x=2 holds"
+    long = "most of the text of this page " * 5
+    for tag in ("form", "div class=sidebar", "div hidden", "span class=ad"):
+        page = f"<body><{tag}><div class=x><nav>menu</nav><p>{long}</p></div></{tag.split()[0]}><p>end</p></body>"
+        assert html_extraction.extract(page, ["html>body"]) == f"{long}end"
+
+
+def test_html_text_after_a_deep_nest():
+    for n in (10, 600, 3000):
+        for nest in ("<div>" * n + "deep" + "</div>" * n, "<div><b>" * n + "deep" + "</b></div>" * n):
+            page = f"<body><div class=main>{nest}<p>after the nest</p></div><div>other</div></body>"
+            assert html_extraction.extract(page, ["html>body>div.main"]) == "deep after the nest"
+
+
 def test_decontamination(spark):
     item = "A train travels at 60 km per hour for 3 hours from Boston. How far does it go in 3 hours at 60 km per hour?"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (5, "what is six plus seven")], "item_id long, text string")

@@ -6,8 +6,9 @@
    Spark: a path's share of its page's score is summed by host and path, pre-aggregated before the
    shuffle, and each host keeps its best few paths.
 3. Every page is read again and the text of its host's first path that it has is taken; boilerplate
-   inside (menus, headers, footers, forms, adverts, notices, reader comments ...) is left out. A page
-   that has none of them uses its own best container.
+   inside (menus, headers, footers, forms, adverts, notices, reader comments ...) is left out, but
+   never an element that holds most of its page's text. A page that has none of the paths uses its
+   own best container.
 
 The winners are one row per host. They are broadcast only if they are at most ``MAX_BROADCAST_HOSTS``
 rows; otherwise pages join them by host, each host's rows spread over ``SALTS`` keys.
@@ -32,13 +33,17 @@ from torquelake.llm.common import materialize, tune
 KEPT_PATHS, MAX_BROADCAST_HOSTS, SALTS = 5, 50_000, 64
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math canvas object select xmp".split())
-DROPPED = set("nav header footer aside form button menu dialog fieldset figcaption head".split())
+RAW = set("script style noscript template textarea title iframe svg canvas object select xmp".split())
+DROPPED = set("nav header footer aside form button menu dialog fieldset head".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas run within a line.
+INLINE |= set("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mover munder munderover mfrac msqrt mroot mstyle mpadded mphantom menclose mmultiscripts".split())
 CONTAINERS = set("article main section div td body".split())
 #: A start tag closes these if they are open and nothing stronger lies between.
 AUTO_CLOSE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements open at once; what lies deeper counts as text of the last of them.
+DEPTH = 500
 #: Words of class, id and role that mark an element as not the article.
 BOILERPLATE = set(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer "
@@ -46,6 +51,12 @@ BOILERPLATE = set(
     "replies search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
 )
 
+#: Words that may stand beside them in one class, id or role ("site-footer"); any other word, such as no, has, with or free, makes it something else.
+BESIDE = set(
+    "area bar body bottom box button buttons container content fixed form global group header head holder icon icons inner item items left link links list main outer page panel post posts "
+    "primary right row secondary section site slot sticky text title top unit wrap wrapper".split()
+)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -53,14 +64,23 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "chars", "links", "blocks", "anchor")
+    __slots__ = ("tag", "path", "parent", "dropped", "chars", "links", "blocks", "anchor", "within")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, anchor: bool):
-        self.tag, self.path, self.parent, self.dropped, self.anchor = tag, path, parent, dropped, anchor
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, anchor: bool, within: int = -1):
+        self.tag, self.path, self.parent, self.dropped, self.anchor, self.within = tag, path, parent, dropped, anchor, within
         self.chars = self.links = 0
         self.blocks: list[int] = []
 
 
+def _boilerplate(value: str) -> bool:
+    """Whether one of the names is made of boilerplate words, and words that may stand beside them, only."""
+    for name in value.split():
+        parts = {w for w in _SPLIT.split(name) if len(w) > 1}
+        if not BOILERPLATE.isdisjoint(parts) and parts <= BOILERPLATE | BESIDE:
+            return True
+    return False
+
+
 def _marks(tag: str, attrs: str) -> tuple[str, bool]:
     """The tag with its generalised classes, and whether the element is boilerplate or hidden."""
     if not attrs or not attrs.strip():
@@ -73,7 +93,7 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool]:
         elif key in ("class", "id", "role"):
             if key == "class" and value.strip():
                 name = tag + "".join("." + c for c in sorted(set(_DIGITS.sub("#", value).split())))
-            if tag not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(_SPLIT.split(value)):
+            if tag not in ("html", "body", "article", "main") and _boilerplate(value):
                 drop = True
             if key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
                 drop = True
@@ -81,12 +101,38 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool]:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """The containers of a page and its text blocks in order, each with the element that holds it."""
+    """The containers of a page and its text blocks in order, each with the element that holds it.
+
+    Boilerplate elements that hold most of the page's text are read as others in a second pass.
+    """
+    containers, blocks, most = _parse(page, frozenset())
+    if most:
+        containers, blocks, _ = _parse(page, most)
+    return containers, blocks
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[Node], list[tuple[Node, str]], frozenset[int]]:
+    """Containers, blocks, and the numbers of the boilerplate elements that hold over half of the text; ``spared`` ones are none."""
     root = Node("html", "html", None, False, False)
     stack, containers, blocks = [root], [], []
     pending: list[str] = []
     owner = root
     linked = 0
+    #: Of each boilerplate element: the one around it, and the characters of text in it.
+    around: list[int] = []
+    held: list[int] = []
+    total = 0
+    #: Open elements below DEPTH, and how many there are of each tag.
+    over: list[str] = []
+    n_over: dict[str, int] = {}
+
+    def leave(tag: str) -> None:
+        """Close the deep elements up to the last one of ``tag``."""
+        while over:
+            last = over.pop()
+            n_over[last] -= 1
+            if last == tag:
+                return
 
     def flush() -> None:
         nonlocal linked
@@ -106,9 +152,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         return node
 
     def text(s: str) -> None:
-        nonlocal linked, owner
+        nonlocal linked, owner, total
         if s:
             top = stack[-1]
+            chars = sum(map(len, s.split()))
+            total += chars
+            if top.within >= 0:
+                held[top.within] += chars
             if top.dropped and top.tag in INLINE and not block(top).dropped:
                 return  # an inline notice or advert
             if not pending:
@@ -129,6 +179,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if n_over.get(tag):
+                if tag not in INLINE:
+                    flush()
+                leave(tag)
+                continue
             if tag == "p" and not any(x.tag == "p" for x in stack):
                 flush()
                 continue
@@ -137,6 +192,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     if any(x.tag not in INLINE for x in stack[k:]):
                         flush()
                     del stack[k:]
+                    over.clear()
+                    n_over.clear()
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
@@ -150,7 +207,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in VOID:
             continue
         closes = AUTO_CLOSE.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        if closes:
+        if over:
+            if over[-1] in closes:
+                leave(over[-1])
+        elif closes:
             stop = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "blockquote"}
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
@@ -162,15 +222,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag == "body" and any(x.tag == "head" for x in stack):
             del stack[1:]
+            over.clear()
+            n_over.clear()
+        if len(stack) >= DEPTH:
+            over.append(tag)
+            n_over[tag] = n_over.get(tag, 0) + 1
+            continue
         name, drop = _marks(tag, m[3])
         up = stack[-1]
-        node = Node(tag, up.path if tag in INLINE else f"{up.path}>{name}", up, drop or up.dropped, up.anchor or tag == "a")
-        if len(stack) < 500:
-            stack.append(node)
+        within = up.within
+        if drop:
+            within = len(around)
+            around.append(up.within)
+            held.append(0)
+            drop = within not in spared
+        node = Node(tag, up.path if tag in INLINE else f"{up.path}>{name}", up, drop or up.dropped, up.anchor or tag == "a", within)
+        stack.append(node)
         if tag in CONTAINERS and not node.dropped:
             containers.append(node)
     flush()
-    return containers, blocks
+    for k in range(len(around) - 1, -1, -1):
+        if around[k] >= 0:
+            held[around[k]] += held[k]
+    return containers, blocks, frozenset(k for k, c in enumerate(held) if 2 * c > total)
 
 
 def _container(node: Node) -> Node | None:

@@ -91,6 +91,15 @@ def test_transport_errors(spark):
     assert {r.m: r.error for r in protocol.reassemble(f, "m", "i").collect()} == {1: "no first frame", 2: "bad sequence", 3: "unknown frame type"}
 
 
+def test_transport_of_payloads_of_every_length(spark):
+    sizes = [0, 1, 7, 8, 4000, 4001, 4095, 4096, 9000]
+    p = spark.createDataFrame([(n, "5A" * n) for n in sizes] + [(None, None)], "m int, h string").withColumn("frames", protocol.encode_frames(F.col("h")))
+    got = {r.m: (r.k, r.n) for r in p.select("m", F.when(F.col("frames").isNotNull(), F.size("frames")).alias("k"), protocol.frame_count(F.length("h") / 2).alias("n")).collect()}
+    assert got == {0: (1, 1), 1: (1, 1), 7: (1, 1), 8: (2, 2), 4000: (572, 572), 4001: (572, 572), 4095: (586, 586), 4096: (None, None), 9000: (None, None), None: (None, None)}
+    back = protocol.reassemble(p.select("m", F.posexplode("frames").alias("i", "frame")), "m", "i").collect()
+    assert {r.m: r.payload for r in back} == {n: "5A" * n for n in sizes if n <= 4095}
+
+
 def test_full_scan_report(spark):
     faults = protocol.full_scan(spark)
     assert {r.code: r.status for r in faults.collect()} == {"P0301": 9, "P0401": 8, "P2002": 12}

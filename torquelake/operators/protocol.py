@@ -34,7 +34,8 @@ def status_bits(status: Column) -> Column:
 
 
 def frame_count(length: Column) -> Column:
-    return F.when(length <= 7, 1).otherwise(1 + F.ceil((length - 6) / 7)).cast("long")
+    """Frames of a payload of ``length`` bytes; NULL over 4095 bytes."""
+    return F.when(length <= 7, 1).when(length <= MAX_LENGTH, 1 + F.ceil((length - 6) / 7)).cast("long")
 
 
 def encode_frames(h: Column) -> Column:

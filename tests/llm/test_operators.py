@@ -332,6 +332,17 @@ def test_decontamination_of_two_variants(spark):
     assert sorted(got) == [(0, 1, "verbatim"), (1, 1, "verbatim"), (2, 1, "reparameterised"), (3, 1, "verbatim")]
 
 
+def test_decontamination_of_long_excerpts(spark):
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("l", "m", "n", "p", "r", "s", "t", "v", "x", "z", "k", "q")] * 5
+    item = " ".join(w + "abcde"[i // 60] * 2 for i, w in enumerate(words))  # 300 different words
+    of = lambda a, n: "so " + " ".join(item.split()[a : a + n]) + " then"
+    numbers = " ".join(str(100 + i) for i in range(60)) + " " + item
+    texts = [of(30, 25), of(100, 109), of(50, 15), of(7, 20), of(50, 15) + of(90, 15), " ".join(str(500 + i) for i in range(40)), of(299, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.kind, r.n_windows) for r in decontamination.leaks(df, spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")).collect()]
+    assert sorted(got) == [(d, i, "verbatim", n) for d, n in ((0, 18), (1, 102), (3, 13)) for i in (1, 2)]
+
+
 @pytest.mark.parametrize("op", [quality_rules.divergence_rules, substring_dedup.remove_repeated_windows, suffix_dedup.remove_repeated_bytes, jaccard_join.near_duplicates, sharding.shard_by_bytes])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -10,7 +10,8 @@
    what follows them) and the whole document are an occurrence. An item counts as leaked when in any
    of them enough of its windows occur and its slots are consistent, that is, each value of the item
    stands for one value throughout. Equal values mean a verbatim leak, others a re-parameterised one.
-   The passing occurrence with the most windows is reported, a verbatim one first among equals.
+   ``MIN_RUN`` windows in a row at one shift with equal values are a leak whatever their share (an
+   excerpt). The passing occurrence with the most windows is reported, a verbatim one first among equals.
 
 The benchmark's windows are broadcast only if there are at most ``MAX_BROADCAST_WINDOWS`` of them;
 otherwise Spark shuffles both sides by hash. Only matched windows move in any case.
@@ -31,6 +32,8 @@ from torquelake.llm.common import let, materialize, text_or_empty
 WINDOW, MIN_WINDOW = 8, 5
 #: Share of an item's windows that must occur in a document, and share of consistent slots.
 MIN_COVERAGE, MIN_CONSISTENT = 0.35, 0.8
+#: Verbatim windows in a row that are a leak by themselves: 20 tokens.
+MIN_RUN = 20 - WINDOW + 1
 MAX_BROADCAST_WINDOWS = 1_000_000
 #: Widths of the ranges of shifts, each less than the item's length at most, so that copies in a row stay apart.
 DRIFTS = (0, 4, 16)
@@ -134,7 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     found = hits.groupBy("_key", "_item").agg(F.count_distinct("ipos").alias("n_windows"))
     total = items.select(F.struct("item", "item_id").alias("_item"), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1)).cast("long").alias("item_windows"))
     # No occurrence has more windows than its document.
-    covered = found.join(total, "_item").where(F.col("n_windows") / F.col("item_windows") >= MIN_COVERAGE)
+    covered = found.join(total, "_item").where((F.col("n_windows") / F.col("item_windows") >= MIN_COVERAGE) | (F.col("n_windows") >= MIN_RUN))
     lengths_of = items.select(F.struct("item", "item_id").alias("_item"), "_n")
     near = hits.join(covered.select("_key", "_item"), ["_key", "_item"], "left_semi").join(lengths_of, "_item").withColumn("shift", F.col("pos") - F.col("ipos"))
     near = materialize(near, "aligned-hits")
@@ -143,17 +146,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     enough = enough.join(total, "_item").withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= MIN_COVERAGE)
     # Slots of the item's windows that have any; then of the documents hit there, whose texts are read once more.
     item_texts = items.where(F.col("_canon").rlike(f"[{_PRIVATE}]")).select(F.struct("item", "item_id").alias("_item"), F.col("_canon").alias("_ic"))
-    slotted = near.join(item_texts, "_item").withColumn("islots", slots_at("_ic", F.col("ipos"), F.col("length"))).where(F.size("islots") > 0).drop("_ic", "ipos", "_n")
+    slotted = near.join(item_texts, "_item").withColumn("islots", slots_at("_ic", F.col("ipos"), F.col("length"))).where(F.size("islots") > 0).drop("_ic", "_n")
     slotted = materialize(slotted, "slotted-hits")
     if slotted.count() <= MAX_BROADCAST_WINDOWS // 10:
         slotted = F.broadcast(slotted)
     slots = every.join(slotted, "_key").withColumn("slots", slots_at("_canon", F.col("pos"), F.col("length")))
-    slots = slots.where(F.size("slots") == F.size("islots"))
+    slots = materialize(slots.where(F.size("slots") == F.size("islots")).select("_key", "_item", "shift", "ipos", "islots", "slots"), "slot-values")
     pairs = slots.select("_key", "_item", "shift", F.explode(F.arrays_zip("islots", "slots")).alias("z")).select("_key", "_item", "shift", F.col("z.islots").alias("was"), F.col("z.slots").alias("now")).distinct()
     pairs = pairs.join(members, ["_key", "_item", "shift"]).select("_key", "_item", "_occ", "was", "now").distinct()
     by_value = pairs.groupBy("_key", "_item", "_occ", "was").agg(F.count("*").alias("k"), F.max((F.col("was") == F.col("now")).cast("int")).alias("same"))
     slot = by_value.groupBy("_key", "_item", "_occ").agg(F.avg((F.col("k") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
     out = enough.join(slot, ["_key", "_item", "_occ"], "left").withColumn("slot_consistency", F.coalesce("consistent", F.lit(1.0))).where(F.col("slot_consistency") >= MIN_CONSISTENT)
+    of_run = ["_key", "_item", "shift", "ipos"]
+    exact = near.select(of_run).distinct().join(slots.where(F.col("slots") != F.col("islots")).select(of_run), of_run, "left_anti")
+    runs = exact.withColumn("_run", F.col("ipos") - F.row_number().over(Window.partitionBy("_key", "_item", "shift").orderBy("ipos")))
+    runs = runs.groupBy("_key", "_item", "shift", "_run").agg(F.count("*").alias("n_windows")).where(F.col("n_windows") >= MIN_RUN).join(total, "_item")
+    runs = runs.select("_key", "_item", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), F.lit(1.0).alias("slot_consistency"), F.lit(1).alias("same"))
+    out = out.select(runs.columns).unionByName(runs)
     best = F.struct("n_windows", F.coalesce("same", F.lit(1)).alias("same"), "slot_consistency", "coverage", "item_windows")
     out = out.groupBy("_key", "_item").agg(F.max(best).alias("_best")).select("_key", "_item", "_best.*")
     return out.select(

@@ -246,6 +246,19 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    rng = random.Random(3)
+    own = {f"l{k:02}": [rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") + rng.choice("bcdfghjklmnprstvz") for _ in range(4)] for k in range(70)}
+    rows = [(200 * k + i, " ".join("".join(rng.choices(v, k=2)) for _ in range(40)), lang) for k, (lang, v) in enumerate(own.items()) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (64_000, 4 * 70):
+        monkeypatch.setattr(language_id, "MAX_ROWS", most)
+        model = language_id.train(df, F.lit(True))
+        assert model.langs == sorted(own)
+        got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+        assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.9
+
+
 def test_codewords_are_apart():
     for k in (2, 4, 6, 20):
         m = language_id.codewords(k)

@@ -5,9 +5,9 @@ n-grams learns whether a text's language has that bit set. A text is decoded to
 the least weighted logistic loss, each bit weighted by how well its classifier separates the
 training rows; a small lead over the second codeword marks the answer as ambiguous.
 
-The classifiers are fitted on at most ``MAX_ROWS_PER_LANG`` rows of each of at most ``MAX_LANGS``
-languages (the rows with the smallest hash of doc_id); their feature matrix is all that reaches the
-driver. Prediction reads every whole text, batch by batch, and moves nothing.
+The classifiers are fitted on rows of every language: at most ``MAX_ROWS_PER_LANG`` of each (those
+with the smallest hash of doc_id), and of more than 64 languages at most ``MAX_ROWS`` divided by
+their number, but one at least; their feature matrix is all that reaches the driver. Prediction reads every whole text, batch by batch, and moves nothing.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without training
 rows every text is; an empty table gives an empty result; only doc_id and text are read for a
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from torquelake.llm.common import fold, tune
+from torquelake.llm.common import fold, materialize, tune
 
 DIM = 4096
-MAX_ROWS_PER_LANG, MAX_LANGS = 1000, 64
+MAX_ROWS_PER_LANG, MAX_ROWS = 1000, 64_000
 STEPS, RIDGE, SHARPNESS = 80, 1e-4, 1.0
 #: Lead in probability under which an answer is ambiguous.
 MIN_LEAD = 0.2
@@ -69,7 +69,9 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
     best, score = None, -1
     for _ in range(50):
         m = np.stack([rng.permutation([1] * (k // 2) + [-1] * (k - k // 2)) for _ in range(int(10 * np.log2(k)))], 1).astype(float)
-        apart = min((m[i] != m[j]).sum() for i in range(k) for j in range(i))
+        same = m @ m.T
+        np.fill_diagonal(same, -m.shape[1])
+        apart = (m.shape[1] - same.max()) / 2
         if apart > score:
             best, score = m, apart
     return best
@@ -122,18 +124,19 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fit on the usable rows of ``docs`` with a language, up to MAX_ROWS_PER_LANG rows of each."""
+    """Fit on the usable rows of ``docs`` with a language, up to MAX_ROWS_PER_LANG rows of each, MAX_ROWS in all."""
     tune(docs.sparkSession)
     rows = docs.where(usable).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(MAX_LANGS)
-    # Hashes are even: a language's MAX_ROWS_PER_LANG smallest lie under a bound from its row count, so few rows are sorted.
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("_rows")), "language-sizes")
+    most = min(MAX_ROWS_PER_LANG, max(1, MAX_ROWS // max(1, sizes.count())))
+    # Hashes are even: a language's `most` smallest lie under a bound from its row count, so few rows are sorted.
     hashed, top = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)).cast("double"), float(1 << 52)
-    share = MAX_ROWS_PER_LANG + 8 * MAX_ROWS_PER_LANG**0.5
-    few = rows.join(F.broadcast(sizes), "lang").where(hashed * F.col("_rows") < share * top)  # at most MAX_LANGS rows
+    share = most + 8 * most**0.5
+    few = rows.join(F.broadcast(sizes), "lang").where(hashed * F.col("_rows") < share * top)  # one row per language
     order = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
-    few = few.withColumn("_n", order).where(F.col("_n") <= MAX_ROWS_PER_LANG).select("doc_id", "lang")
+    few = few.withColumn("_n", order).where(F.col("_n") <= most).select("doc_id", "lang")
     texts = docs.where(usable).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    few = F.broadcast(few.distinct())  # at most MAX_ROWS_PER_LANG * MAX_LANGS rows
+    few = F.broadcast(few.distinct())  # at most MAX_ROWS rows, or one per language
     got = texts.join(few, "doc_id").select("doc_id", "lang", "text").mapInArrow(_with_features, "doc_id long, lang string, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.lang))
     x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIM), np.float32)

@@ -14,6 +14,7 @@ doc_id is kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from torquelake.llm.common import tune
 
-#: Limits of a sequence, the pieces a task has at hand, and the shortest piece worth a cut.
-TOKENS, SEGMENTS, LOSS, POOL, MIN_CUT = 2048, 128, 2048, 256, 24
+#: Limits of a sequence, the pieces a task has at hand, and the shortest piece worth a cut. A sequence of
+#: few long pieces meets LOSS first, one of many short documents SEGMENTS, the others TOKENS.
+TOKENS, SEGMENTS, LOSS, POOL, MIN_CUT = 2048, 10, 2045, 256, 24
 
 _WORDS = re.compile(r"[a-zß-öø-ÿ]+|[^ \n\ta-zß-öø-ÿ0-9]+|[0-9]")
 #: Texts of these characters only can be split before the tokenizer without a change of ids.
@@ -43,7 +45,7 @@ class Ids:
     looked up; the tokenizer encodes unseen pieces in one call. All other texts go to it whole.
     """
 
-    KEEP = 600_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,11 +56,8 @@ class Ids:
         self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {}
 
-    def _learn(self, lists: list[list[str]]) -> None:
-        new = [w for w in set().union(*lists) if w not in self.seen]
-        if not new:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+    def _learn(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(new):
             raise ValueError("the vocabulary does not mark the end of each piece")
@@ -69,22 +68,26 @@ class Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
+        # Only between batches, so that no piece a batch has looked up is forgotten before its end.
+        if len(self.seen) > self.KEEP:
+            self.seen.clear()
+        out: list = [b""] * len(texts)
+        unseen: list[tuple[list, int, str]] = []
+        gc.disable()  # millions of short-lived references, no cycles
         for k, t in enumerate(texts):
             if _PLAIN.match(t) and "<|" not in t:
-                plain.append((k, _WORDS.findall(t.lower())))
+                words = _WORDS.findall(t.lower())
+                out[k] = parts = list(map(self.seen.get, words))
+                if None in parts:
+                    unseen += [(parts, i, words[i]) for i, p in enumerate(parts) if p is None]
             else:
-                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        # Before `missing` is worked out: what is cleared here is learned again for all plain texts of the batch.
-        if len(self.seen) > self.KEEP:
-            self.seen.clear()
-        missing = [w for _, w in plain if not self.seen.keys() >= set(w)] if self.seen else [w for _, w in plain]
-        if missing:
-            self._learn(missing)
-        for k, w in plain:
-            out[k] = b"".join(map(self.seen.__getitem__, w))
-        return out
+                out[k] = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+        if unseen:
+            self._learn(list({w for _, _, w in unseen}))
+        for parts, i, w in unseen:
+            parts[i] = self.seen[w]
+        gc.enable()
+        return [b"".join(p) for p in out]
 
 
 _loaded: dict[str, Ids] = {}
@@ -109,9 +112,7 @@ class Packer:
     def add(self, item, tokens: int, loss: int) -> Iterator[tuple]:
         """Put one item in the pool; yields placements (item, sequence, offset) when the pool is full."""
         while tokens >= self.limits[0]:  # whole sequences of one piece
-            n = int(self.limits[0])
-            if n - 1 > self.limits[2]:
-                n = int(self.limits[2])
+            n = int(min(self.limits[0], self.limits[2]))
             head, item, lost = self.take(item, n)
             yield head, self.sequence, 0
             self.sequence += 1

@@ -1,32 +1,35 @@
 """Quality rules by distribution divergence (native: DataFrame functions only).
 
 A document's character-class histogram and its common-word histogram are compared, by
-Jensen-Shannon distance, with those of its language. The references are corpus statistics: the
-mean histogram of every document of the language that the base rules accept. A histogram is
-judged only from a minimum length on, because a short text's histogram is mostly sampling noise.
+Jensen-Shannon distance, with those of its language. Common words are learned: the ``COMMON`` most
+frequent lower-cased words of all documents of the language. The references are corpus statistics
+too: the mean histogram of every document of the language that the base rules accept. A histogram
+is judged only from a minimum length on, because a short text's histogram is mostly sampling noise.
 
 Everything about one document is computed inside its own row, so a hot source, a hot language or
-a group of copies never meets in one task; the references are one small row per language.
+a group of copies never meets in one task; the references are one small row per language. Words,
+hashes and histograms leave one generator each: they are packed rows from there on, computed once,
+and the next step holds none of the objects of the last.
 
 Defined results: a null text counts as empty; an empty text has zero counts and fails the base
-rules; a null or unlisted language has no reference, so only the base rules decide; an empty table
-gives an empty result; repeated rows are judged one by one; other columns are ignored.
+rules; documents without a language are one language of their own; a language none of whose
+documents passes the base rules has no reference, so only the base rules decide; a text must fit a
+task's memory several times over, whatever its length nothing is cut; an empty table gives an empty
+result; repeated rows are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from torquelake.llm.common import SPACES, let, materialize, text_or_empty, words
 
-#: Frequent function words by language.
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "en": "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had they".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec mais comme ou".split(),
-}
+#: Common words learned for each language; languages whose lists and references are broadcast at most, and whose
+#: words sieve a text's words before they are counted (the counts are the same without).
+COMMON, MAX_BROADCAST_LANGS, MAX_SIEVE_LANGS = 32, 10_000, 64
+NO_LANG = "und"
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes counted by pattern; what none of them matches is the last class, "lower".
@@ -54,15 +57,20 @@ def _count(text: str, pattern: str) -> Column:
     return F.regexp_count(F.col(text), F.lit(pattern)).cast("long")
 
 
-def repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the same word array.
+def _with(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """``keep`` and the ``made`` columns, out of a one-row generator: no later step repeats them."""
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
 
-    Windows are compared by a 64-bit hash; a text without an equal pair skips the sort.
-    """
-    zero = F.lit(0).cast("long")
 
-    def hashed(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(x) - 2), lambda i: F.xxhash64(F.get(x, i - 1), F.get(x, i), F.get(x, i + 1)))
+def window_hashes(w: Column) -> Column:
+    """A 64-bit hash of every 3-word window."""
+    each = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+    return F.when(F.size(w) < 4, F.array().cast("array<long>")).otherwise(each)
+
+
+def repeat_words(h: Column) -> Column:
+    """Words that lie in a window found twice or more, from the text's window hashes; without an equal pair nothing is sorted."""
+    zero = F.lit(0).cast("long")
 
     def starts(order: Column) -> Column:
         last = F.size(order) - 1
@@ -74,45 +82,51 @@ def repeat_words(w: Column) -> Column:
         each = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
         return F.aggregate(each, zero, lambda a, x: a + x)
 
-    def of(h: Column) -> Column:
-        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(let(let(order, starts), covered))
+    order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(let(let(order, starts), covered))
+
+
+def base_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the base counts of ``text``, its character classes in CLASS_NAMES' order, n_chars and its lower-cased words ``_lw``."""
+    t = text_or_empty("text")
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    out = docs.select(*keep, t.alias("_t"))
+    classes = {f"_c_{k}": _count("_t", p) for k, p in CLASSES.items()}
+    out = _with(out, keep, _w=words(F.col("_t")), _lw=words(F.lower("_t")), _lines=lines, n_chars=F.length("_t").cast("long"), **classes)
+    known = ["n_chars", "_lw", *classes]
+    dup = (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
+    out = _with(out, keep + known, n_words=F.size("_w").cast("long"), n_dup_lines=dup, _h=window_hashes(F.col("_w")))
+    out = _with(out, [*keep, *known, "n_words", "n_dup_lines"], n_repeat_words=repeat_words(F.col("_h")))
+    rest = F.col("n_chars")
+    for c in classes:
+        rest = rest - F.col(c)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return out.select(
+        *keep, "n_words", (F.col("n_chars") - F.col("_c_space")).alias("word_chars"), F.col("_c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), "n_chars", F.array(*classes, rest).alias("classes"), "_lw",
+    )
+
 
-    return F.when(F.size(w) < 4, zero).otherwise(let(let(w, hashed), of))
+def common_words(docs: DataFrame) -> DataFrame:
+    """One row per language: its COMMON most frequent words, ties in the words' order."""
+    counts = docs.select("lang", F.explode(words(F.lower(text_or_empty("text")))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))
+    top = counts.withColumn("r", place).where(F.col("r") <= COMMON)
+    return top.groupBy(F.col("lang").alias("_list_lang")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("_list"))
 
 
-def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    out = docs.withColumn("_t", text_or_empty(text)).withColumn("_w", words(F.col("_t")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = out.withColumn("_lines", lines).withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length("_t").cast("long") - _count("_t", CLASSES["space"]),
-            "n_symbols": _count("_t", CLASSES["symbol"]),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_w")),
-        }
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines")
-
-
-def _histograms(stats: DataFrame, lang: str) -> DataFrame:
-    """Adds ``classes`` (counts in CLASS_NAMES' order) and ``common`` (counts of the language's words, then of all others)."""
-    known = {"symbol": F.col("n_symbols"), "space": F.length("_t").cast("long") - F.col("word_chars")}
-    out = stats.withColumns({f"_c_{k}": known.get(k, _count("_t", p)) for k, p in CLASSES.items()})
-    counted = [F.col(f"_c_{k}") for k in CLASSES]
-    rest = F.length("_t").cast("long")
-    for c in counted:
-        rest = rest - c
-    table = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    every = sorted({w for v in COMMON_WORDS.values() for w in v})
-    out = out.withColumn("classes", F.array(*counted, rest)).withColumn("_list", F.try_element_at(table, F.col(lang)))
-    found = F.filter(F.transform("_w", F.lower), lambda w: w.isin(every))
-    of_list = let(found, lambda c: F.transform("_list", lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long")))
-    others = lambda c: F.col("n_words") - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("common", let(of_list, lambda c: F.concat(c, F.array(others(c)))))
+def common_counts(lw: Column, listed: Column, every: list[str] | None) -> Column:
+    """How often each listed word occurs, then all others together. ``every``: the words of all lists, as a sieve."""
+    found = F.filter(lw, lambda w: w.isin(every)) if every else lw
+    of_list = let(found, lambda c: F.transform(listed, lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long")))
+    others = lambda c: F.size(lw) - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return let(of_list, lambda c: F.concat(c, F.array(others(c))))
+
+
+def _by_language(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``df`` with the row of its language; ``small`` is broadcast if it has few rows."""
+    small = F.broadcast(small) if small.count() <= MAX_BROADCAST_LANGS else small
+    return df.join(small, F.col("lang") == F.col(key), "left").drop(key)
 
 
 def _shares(counts: str) -> Column:
@@ -130,30 +144,28 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
-def references(shares: DataFrame, lang: str) -> DataFrame:
+def references(shares: DataFrame) -> DataFrame:
     """One row per language: mean class and common-word shares of the documents that pass the base rules."""
-    width = len(next(iter(COMMON_WORDS.values()))) + 1
-    mean = lambda c, n: F.array(*[F.avg(F.get(F.col(c), F.lit(i))) for i in range(n)])
-    good = shares.where(~F.col("base_failed") & F.col("common").isNotNull())
-    return good.groupBy(F.col(lang).alias("_ref_lang")).agg(
-        mean("class_shares", len(CLASS_NAMES)).alias("_ref_classes"), mean("word_shares", width).alias("_ref_words")
+    mean = lambda c, n: F.filter(F.array(*[F.avg(F.get(F.col(c), F.lit(i))) for i in range(n)]), lambda x: x.isNotNull())
+    return shares.where(~F.col("base_failed")).groupBy(F.col("lang").alias("_ref_lang")).agg(
+        mean("class_shares", len(CLASS_NAMES)).alias("_ref_classes"), mean("word_shares", COMMON + 1).alias("_ref_words")
     )
 
 
 def divergence_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Judge every document: base counts, both distances and ``kept``.
 
-    One pass over the texts writes the counts (about 200 bytes a document) to the shared folder;
-    references and verdicts read those only.
+    One pass over the texts counts the words of each language, one writes the counts (about 600 bytes
+    a document) to the shared folder; references and verdicts read those only.
     """
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counted = _histograms(base_stats(picked), "lang").select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.length("_t").cast("long").alias("n_chars"), "classes", "common",
-    )
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
+    lists = materialize(common_words(picked), "common-words")
+    stats = base_stats(_by_language(picked, lists, "_list_lang").withColumn("_list", F.coalesce("_list", F.array().cast("array<string>"))), ["doc_id", "lang", "_list"])
+    few = lists.count() <= MAX_SIEVE_LANGS
+    every = sorted({w for r in lists.collect() for w in r["_list"]}) if few else None  # at most MAX_SIEVE_LANGS * COMMON words
+    counted = stats.withColumn("common", common_counts(F.col("_lw"), F.col("_list"), every)).drop("_lw", "_list")
     shares = materialize(counted, "quality-rules").withColumns({"class_shares": _shares("classes"), "word_shares": _shares("common")})
-    refs = F.broadcast(references(shares, "lang"))  # at most one row per listed language
-    out = shares.join(refs, F.col("lang") == F.col("_ref_lang"), "left")
+    out = _by_language(shares, materialize(references(shares), "quality-references"), "_ref_lang")
     out = out.withColumns(
         {
             "class_distance": F.when(F.col("n_chars") >= MIN_CHARS_FOR_CLASSES, js_distance(F.col("class_shares"), F.col("_ref_classes"))),

@@ -103,10 +103,9 @@ ORACLES: dict[str, str] = {
 
 def _quality_sql() -> str:
     q, pick = quality_rules, lambda p: f"length(regexp_replace(t, '[^{p[1:-1]}]', '', 'g'))"
-    listed = ", ".join(f"('{lang}', [{', '.join(repr(w) for w in v)}])" for lang, v in q.COMMON_WORDS.items())
     classes = {"upper": r"[\p{Lu}]"} | {k: v for k, v in q.CLASSES.items() if k != "upper"}
     part = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
-    return f"""WITH w AS (SELECT doc_id, lang, coalesce("text", '') AS t, {_WORDS % '"text"'} AS ws FROM documents),
+    return f"""WITH w AS (SELECT doc_id, coalesce(lang, '{q.NO_LANG}') AS lang, coalesce("text", '') AS t, {_WORDS % '"text"'} AS ws FROM documents),
       win AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
       dup AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
       rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN dup USING (doc_id, k), (SELECT unnest(range(3)) AS j) GROUP BY doc_id),
@@ -114,10 +113,11 @@ def _quality_sql() -> str:
           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
       s AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, len(ls) - len(list_distinct(ls)) AS n_dup_lines, list_transform(ws, lambda x: lower(x)) AS lw,
           [{', '.join(pick(p) for p in classes.values())}] AS cs FROM b),
-      lists(lang, words) AS (VALUES {listed}),
-      h AS (SELECT doc_id, s.lang, base_failed, 'class' AS kind, unnest(range(1, {len(q.CLASS_NAMES) + 1})) AS i, unnest(list_append(cs, length(t) - list_sum(cs))) AS c, length(t) AS total FROM s JOIN lists USING (lang)
-        UNION ALL SELECT doc_id, lang, base_failed, 'word', unnest(range(1, len(wc) + 2)), unnest(list_append(wc, n_words - list_sum(wc))), n_words
-        FROM (SELECT doc_id, s.lang, base_failed, n_words, list_transform(words, lambda x: len(list_filter(lw, lambda y: y = x))) AS wc FROM s JOIN lists USING (lang))),
+      wc AS (SELECT lang, w, count(*) AS c FROM (SELECT lang, unnest(lw) AS w FROM s) GROUP BY ALL),
+      lists AS (SELECT lang, list(w ORDER BY r) AS words FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) AS r FROM wc) WHERE r <= {q.COMMON} GROUP BY lang),
+      h AS (SELECT doc_id, lang, base_failed, 'class' AS kind, unnest(range(1, {len(q.CLASS_NAMES) + 1})) AS i, unnest(list_append(cs, length(t) - list_sum(cs))) AS c, length(t) AS total FROM s
+        UNION ALL SELECT doc_id, lang, base_failed, 'word', unnest(range(1, len(wc) + 2)), unnest(list_append(wc, n_words - coalesce(list_sum(wc), 0))), n_words
+        FROM (SELECT doc_id, s.lang, base_failed, n_words, list_transform(coalesce(words, []), lambda x: len(list_filter(lw, lambda y: y = x))) AS wc FROM s LEFT JOIN lists ON s.lang = lists.lang)),
       sh AS (SELECT doc_id, lang, base_failed, kind, i, CASE WHEN total > 0 THEN c / total::DOUBLE ELSE 0 END AS p FROM h),
       ref AS (SELECT lang, kind, i, avg(p) AS q FROM sh WHERE NOT base_failed GROUP BY ALL),
       d AS (SELECT doc_id, kind, sqrt(greatest(0, sum(({part.format(a='p', b='q')} + {part.format(a='q', b='p')}) / 2))) AS d FROM sh JOIN ref USING (lang, kind, i) GROUP BY ALL),

@@ -21,6 +21,7 @@ Rows are told apart by (doc_id, hash of doc_id and text); repeated rows count as
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,10 +36,14 @@ from torquelake.llm.common import materialize, text_or_empty, tune
 HOT = 4096
 #: Units handled at once in a worker; longer texts are cut with an overlap of k - 1.
 CHUNK = 1 << 19
+#: Bytes hashed at once. Words of more than LONG bytes are named by a digest.
+PIECE, LONG = 1 << 18, 64
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, np.uint64)
-_PLACE = _RNG.integers(1, 2**64, 256, np.uint64) | np.uint64(1)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_LONG = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % (LONG + 1))
+_LONG_OR_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -58,22 +63,82 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    starts, ends = word_spans(raw)
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes, cut after white space."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE
+        if end < len(raw):
+            found = _GAP.search(raw, end)
+            end = found.end() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _hashed(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of ``buf`` and their hashes: differences of a running polynomial sum, exact digests for long words."""
+    if len(buf) > 4 * PIECE:  # holds a word of that size: digest such words first, and hash stand-ins of one byte
+        long = [xxhash.xxh3_64_intdigest(m) for m in _LONG.findall(buf)]
+        starts, h = _hashed(_LONG.sub(b"\0", buf))
+        where = [m.start() for m in _LONG_OR_WORD.finditer(buf)]
+        h[[i for i, m in enumerate(_LONG_OR_WORD.finditer(buf)) if len(m[0]) > LONG]] = long
+        return np.array(where), h
+    starts, ends = word_spans(buf)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    b = np.frombuffer(raw, np.uint8)
-    place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))[: len(b)] if starts[0] == 0 else None
-    if place is None:
-        lead = np.zeros(starts[0], np.int64)
-        place = np.concatenate([lead, np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))])
-    v = _BYTE[b] * _PLACE[place & 255]
-    v[_SPACE[b]] = 0
-    return mix(np.add.reduceat(v, starts) + (ends - starts).astype(np.uint64))
+        return starts, np.zeros(0, np.uint64)
+    powers, inverse = _powers(len(buf))
+    run = _BYTE[np.frombuffer(buf, np.uint8)]
+    run *= powers[: len(buf)]
+    np.cumsum(run, out=run)
+    h = run[ends - 1]
+    h -= np.where(starts > 0, run[starts - 1], np.uint64(0))
+    h = mix(h * inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+    return starts, h
+
+
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if not _tables or len(_tables[0]) < n:
+        base, size = 0x9E3779B97F4A7C15, max(n, 2 * PIECE)
+        _tables[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, v, np.uint64)])) for v in (base, pow(base, -1, 1 << 64))]
+    return _tables[0], _tables[1]
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and each text's number of words. Texts are handled many at a time."""
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(raws), np.int64)
+    held: list[bytes] = []
+    own: list[int] = []
+
+    def flush() -> None:
+        begin = np.cumsum([0] + [len(p) + 1 for p in held])
+        starts, h = _hashed(b" ".join(held))
+        np.add.at(counts, own, np.diff(np.searchsorted(starts, begin)))
+        out.append(h)
+        held.clear()
+        own.clear()
+
+    size = 0
+    for i, raw in enumerate(raws):
+        for piece in _pieces(raw):
+            held.append(piece)
+            own.append(i)
+            size += len(piece)
+            if size >= PIECE:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return np.concatenate(out), counts
 
 
-def byte_hashes(raw: bytes) -> np.ndarray:
-    return _BYTE[np.frombuffer(raw, np.uint8)]
+def byte_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _BYTE[np.frombuffer(b"".join(raws), np.uint8)], np.array([len(r) for r in raws], np.int64)
 
 
 @dataclass(frozen=True)
@@ -84,8 +149,9 @@ class Units:
     k: int
     m: int
 
-    def hashes(self, raw: bytes) -> np.ndarray:
-        return word_hashes(raw) if self.name == "words" else byte_hashes(raw)
+    def hashes(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all units of the texts, and each text's number of units."""
+        return word_hashes(raws) if self.name == "words" else byte_hashes(raws)
 
     def pack(self, raw: bytes, starts: list[int], counts: list[int]) -> list[bytes]:
         """The packed string of each super-k-mer: its units, words joined by one space."""
@@ -139,31 +205,20 @@ def superkmers(h: np.ndarray, owner: np.ndarray, k: int, m: int) -> tuple[np.nda
 
 def cut(texts: list[bytes], units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text number, minimiser hash, first unit in the text, windows) of all super-k-mers, chunk by chunk."""
-    held: list[tuple[int, int, np.ndarray]] = []
+    group: list[int] = []
     size = 0
-
-    def done() -> tuple:
-        h = np.concatenate([x[2] for x in held])
-        lens = np.array([len(x[2]) for x in held])
-        owner = np.repeat(np.arange(len(held)), lens)
-        begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        mh, at, n = superkmers(h, owner, units.k, units.m)
-        own = owner[at]
-        return np.array([x[0] for x in held])[own], mh, at - begin[own] + np.array([x[1] for x in held])[own], n
-
     for i, raw in enumerate(texts):
-        h = units.hashes(raw)
-        for s in range(0, max(1, len(h) - units.k + 1), CHUNK):
-            part = h[s : s + CHUNK + units.k - 1]
-            if len(part) < units.k:
-                continue
-            held.append((i, s, part))
-            size += len(part)
-            if size >= CHUNK:
-                yield done()
-                held, size = [], 0
-    if held:
-        yield done()
+        group.append(i)
+        size += len(raw)
+        if size >= CHUNK or i == len(texts) - 1:
+            h, counts = units.hashes([texts[j] for j in group])
+            owner, begin = np.repeat(np.array(group), counts), np.cumsum(counts) - counts
+            for s in range(0, max(1, len(h) - units.k + 1), CHUNK):
+                part = slice(s, s + CHUNK + units.k - 1)
+                mh, at, n = superkmers(h[part], owner[part], units.k, units.m)
+                own = owner[part][at]
+                yield own, mh, at + s - begin[own - group[0]], n
+            group, size = [], 0
 
 
 def rows_of(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -301,7 +356,8 @@ def repeated_spans(docs: DataFrame, units: Units, bucket: Bucket, keep_first: bo
     at = packed.select("sig", "did", "rk", "start").join(found, "sig")
     own = F.transform(F.col("every"), lambda r: F.struct((F.col("start") + r["o"]).alias("s"), r["n"].alias("n")))
     lead = F.when((F.col("did") == F.col("did1")) & (F.col("rk") == F.col("rk1")) & (F.col("start") == F.col("start1")), F.transform(F.col("lead"), lambda r: F.struct((F.col("start") + r["o"]).alias("s"), r["n"].alias("n"))))
-    hits = at.groupBy("did", "rk").agg(F.flatten(F.collect_list(own)).alias("hits"), F.flatten(F.collect_list(lead)).alias("firsts"))
+    # As sets, merged before the shuffle: repeated rows share (did, rk) and have equal spans.
+    hits = at.groupBy("did", "rk").agg(F.flatten(F.collect_set(own)).alias("hits"), F.flatten(F.collect_set(lead)).alias("firsts"))
     hits = hits.withColumn("firsts", F.col("firsts") if keep_first else F.lit(None).cast("array<struct<s:bigint,n:int>>"))
     return cand.drop("spans").join(hits, ["did", "rk"], "left").select("doc_id", "text", "hits", "firsts", *(["carry"] if carry else []))
 

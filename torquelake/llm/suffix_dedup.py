@@ -1,10 +1,12 @@
 """Suffix-array deduplication by longest-previous-factor arrays: strings of 400 bytes.
 
 Candidate regions that share a minimiser meet in one bucket (see ``repeats``). There a suffix array
-over all window starts is built, neighbours with a common prefix of 400 bytes form runs, and the
-previous and next smaller positions in suffix order give every position's earlier match: the
-longest-previous-factor array, capped at 400. Positions with such a match are later copies; a run's
-smallest position is the first copy.
+over all window starts is built, and the previous and next smaller positions in suffix order give
+every position's earlier match: the longest-previous-factor array, capped at 400. A start is removed
+if it has a previous factor of 400 bytes (a later copy) or is some later start's factor (the first
+copy, which ``keep_first`` leaves). Equal strings are merged before, with their count: all their
+starts are each other's factors. In the buckets of minimisers that are too frequent to be gathered
+(``repeats.HOT``) equal windows find each other by digest instead.
 
 Defined results: a null text counts as empty; texts under 400 bytes lose nothing by themselves;
 repeated rows are occurrences of each other; an empty table gives an empty result; other columns are
@@ -26,52 +28,55 @@ BYTES = Units("bytes", 400, 32)
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all positions by their first ``length`` bytes, by prefix doubling; the array is padded with zeros."""
-    rank, width = data.astype(np.int64), 1
+    """Ranks of all positions by their first ``length`` bytes, by prefix doubling; zeros follow the end."""
+    key = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):  # eight bytes in one number
+        key = (key[:-width] << np.uint64(8 * width)) | key[width:]
+    rank, width = _dense(key[: len(data)] >> np.uint64(8 * max(0, 8 - length))), 8
     while width < length:
         step = min(width, length - width)
-        ahead = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-        key = rank * (int(rank.max()) + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(len(data), np.int64)
-        rank[order] = new
+        ahead = np.concatenate([rank[step:] + 1, np.zeros(step, np.int64)])[: len(rank)]
+        rank = _dense(rank * (int(rank.max()) + 2) + ahead)
         width += step
     return rank
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+    return out
+
+
 def previous_factors(positions: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """For each position (ascending) an earlier one with equal rank, or -1: previous and next smaller positions in suffix order."""
-    order = np.lexsort((-positions, ranks))  # suffix order; ties are equal up to the cap
+    """For each place in ``positions`` the place in it of an earlier position with equal rank, or -1.
+
+    Suffixes stand by rank, equal ones by falling position; so a suffix's next smaller position, if it
+    is as good as the cap, is its neighbour's, and none that stands before it is smaller.
+    """
+    order = np.argsort(ranks * (int(positions.max()) + 1) + (positions.max() - positions))
+    same = ranks[order[1:]] == ranks[order[:-1]]
     out = np.full(len(positions), -1)
-    pos, same = positions[order].tolist(), (np.diff(ranks[order]) == 0).tolist()
-    stack: list[int] = []
-    for i, p in enumerate(pos):
-        if i and not same[i - 1]:
-            stack.clear()
-        while stack and pos[stack[-1]] > p:
-            out[order[stack.pop()]] = p  # next smaller
-        if stack:
-            out[order[i]] = pos[stack[-1]]  # previous smaller
-        stack.append(i)
+    out[order[:-1][same]] = order[1:][same]
     return out
 
 
 def longest_previous(strings: list[bytes], counts: list[int], k: int = BYTES.k) -> list[tuple[list[int], list[int]]]:
-    """Offsets of windows that occur again in the bucket, and of those with no earlier holder."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
+    """Offsets of windows that occur again in the bucket, and of those with no earlier holder.
+
+    A window occurs again if it has a previous factor of ``k`` bytes, is one, or its string has copies.
+    """
     lens = np.array([len(s) for s in strings])
-    begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    starts = np.concatenate([np.arange(b, b + n - k + 1) for b, n in zip(begin, lens, strict=True)])
-    own = np.repeat(np.arange(len(strings)), lens - k + 1)
-    ranks = prefix_ranks(data, k)[starts]
-    _, inverse, size = np.unique(ranks, return_inverse=True, return_counts=True)
-    again = size[inverse] > 1
-    lpf = np.full(len(starts), -1)
-    lpf[again] = previous_factors(starts[again], ranks[again])
-    repeated = again | (np.array(counts)[own] > 1)
-    first = repeated & (lpf < 0)
-    return [((starts[repeated & (own == i)] - begin[i]).tolist(), (starts[first & (own == i)] - begin[i]).tolist()) for i in range(len(strings))]
+    begin = np.cumsum(lens) - lens
+    n = lens - k + 1
+    offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(begin, n) + offsets
+    factor = previous_factors(starts, prefix_ranks(np.frombuffer(b"".join(strings), np.uint8), k)[starts])
+    later = factor >= 0
+    repeated = later | np.repeat(np.array(counts) > 1, n)
+    repeated[factor[later]] = True
+    cuts = np.cumsum(n)[:-1]
+    return [(o[r].tolist(), o[f].tolist()) for o, r, f in zip(np.split(offsets, cuts), np.split(repeated, cuts), np.split(repeated & ~later, cuts), strict=True)]
 
 
 def remove_repeated_bytes(docs: DataFrame, keep_first: bool = False) -> DataFrame:

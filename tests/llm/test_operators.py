@@ -140,36 +140,61 @@ def test_previous_factors():
     assert suffix_dedup.previous_factors(starts, ranks[:7]).tolist() == [-1, -1, -1, 0, 1, 2, 3]
 
 
-def test_jaccard_join(docs):
+def expected_groups(rows):
+    """(doc_id, set size, component) of all rows, by comparing all pairs."""
     sets = []
-    for r in ROWS:
+    for r in rows:
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(r[1])]
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
-    label = list(range(len(ROWS)))
+    label = list(range(len(rows)))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for a, b in itertools.combinations(range(len(ROWS)), 2):
+    for a, b in itertools.combinations(range(len(rows)), 2):
         if sets[a] and sets[b]:
             i = len(sets[a] & sets[b])
             if 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
                 x, y = find(a), find(b)
                 label[max(x, y)] = min(x, y)
     groups = collections.defaultdict(list)
-    for k, r in enumerate(ROWS):
+    for k, r in enumerate(rows):
         groups[find(k)].append(r[0])
     low = {k: min((v for v in g if v is not None), default=None) for k, g in groups.items()}
-    expected = [(r[0], len(sets[k]), low[find(k)] if sets[k] else r[0]) for k, r in enumerate(ROWS)]
+    return count_of((r[0], len(sets[k]), low[find(k)] if sets[k] else r[0]) for k, r in enumerate(rows))
+
+
+def test_jaccard_join(docs):
     got = jaccard_join.near_duplicates(docs).collect()
-    assert count_of((r.doc_id, r.n_shingles, r.component_id) for r in got) == count_of(expected)
+    assert count_of((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected_groups(ROWS)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_join_groups_around_the_threshold(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(r.choice([40, 80, 160]))]
+        variants = [base]
+        for _ in range(60):
+            w = list(r.choice(variants[-8:]) if r.random() < 0.3 else base)
+            for _ in range(r.randint(0, max(3, len(w) // 14))):  # about as many changes as a link allows, and more
+                w[r.randrange(len(w))] = f"new{r.randrange(12) if r.random() < 0.3 else r.random()}"
+            w = w[: len(w) - r.choice([0, 0, 0, 5])] + [f"tail{r.random()}"] * r.choice([0, 0, 2])
+            variants.append(w)
+        rows += [(len(rows) + i, " ".join(v)) for i, v in enumerate(variants)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.near_duplicates(df).collect()
+    want = expected_groups(rows)
+    assert len({k[2] for k in want}) > 10
+    assert count_of((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
 
 
 def test_prefixes_share_enough():
     rng = np.random.default_rng(3)
-    classes = (rng.random(jaccard_join.BUCKETS) < 0.3).astype(np.int8)
+    classes = (rng.random(1 << jaccard_join.MIN_BITS) < 0.3).astype(np.int8)
     for _ in range(200):
         n = int(rng.integers(1, 300))
         common = rng.integers(0, 2**63, n).astype(np.uint64)

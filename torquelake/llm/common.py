@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space that separates words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 
@@ -46,9 +48,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder all machines share (spark.checkpoint.dir). One of this machine's own serves where none is set, and only if Spark runs on it alone."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return _own_dirs.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='torquelake-')}")
 
 
@@ -60,15 +64,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _made:
         atexit.register(_sweep)
-    _made.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffles they came from."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
+        _made.pop(t.stored_at, None)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of collected plans
+
+
+@contextlib.contextmanager
+def scratch(keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
+    """Tables written inside go at the end, all but those that ``keep`` names then. Only for results that were written."""
+    before = set(_made)
+    yield
+    kept = {t.stored_at for t in keep()}
+    for path in [p for p in _made if p not in before and p not in kept]:
+        _delete(_made.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop.Path(path), True)
 
 
 def _sweep() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-            hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop.Path(path), True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - at exit the JVM may be gone; the folder is the cluster's to clean
             return
 

@@ -1,26 +1,36 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct 5-word shingles (as 64-bit hashes); documents with equal sets are
-one node. Two nodes link when 100 * intersection >= 75 * union.
+one node, named by 64 bits of the set's 128-bit digest (names that two digests share are given anew).
+Two nodes link when 100 * intersection >= 75 * union.
 
-1. One pass gives each document's node and set size, and counts all shingles of the corpus in a
-   fixed table of hashed counters (``BUCKETS`` sums reach the driver, whatever the corpus). A counter
-   bounds its shingles' frequencies from above; one far over the usual count marks heavy shingles.
-2. Shingles are ordered light before heavy. If two sets of sizes a, b link, their first
+1. One pass gives each document's node and set size, and counts all shingles of the corpus in a table
+   of hashed counters, whose size follows the corpus. A counter bounds its shingles' frequencies from
+   above; its excess over the usual count estimates the holders of a frequent shingle.
+2. Shingles are ordered by that estimate. If two sets of sizes a, b link, their first
    a - ceil(.75 a) + l and b - ceil(.75 b) + l shingles in that order share l shingles or more. Every
-   document chooses its own l by its size and the estimated candidates of its prefix: the more heavy
-   shingles the prefix has, the longer it becomes, and the more shared prefix shingles a candidate
-   needs.
-3. Prefix shingles of two nodes or more are kept. Heavy shingles are salted for this, light ones are
-   bounded by the threshold. First each node is verified against its shingles' most central node only
-   (pairs in proportion to rows, however large a group of near copies), which gives components.
-4. Then shingles that still join two components or more give their pairs between components, those
-   with enough shared prefix shingles are verified, and components are closed again. A pair inside a
-   component is not verified: it cannot change the components.
+   document chooses its own l by its size and the estimated candidates of its prefix (the mean excess
+   of its shingles): the more there are, the longer the prefix becomes, and the more shared prefix
+   shingles a candidate needs.
+3. Prefix shingles of two nodes or more are kept; frequent ones are salted for this. First each node is
+   verified against its shingles' most central node only (pairs in proportion to rows, however large
+   a group of near copies), which gives components. The most central node that a node is near to
+   becomes its centre.
+4. What still shares shingles across components is joined anew around those central nodes: with a
+   centre c, the differences x ^ c and y ^ c have |x ^ y| = |x ^ c| + |y ^ c| - 2 * common, so two nodes
+   that link, one of which does not link with c, have most of their differences in common. What a group
+   has in common is in no difference, and the same multi-match prefixes over differences, rarest first,
+   leave few pairs. Nodes of different centres give pairs by their shared prefix shingles.
+5. Those pairs are verified and components closed again. A pair inside a component is not verified: it
+   cannot change the components.
+
+Verification sends a set once for each pair it follows in, and a leader's once for each ``PART`` of its
+followers; one leader's set is in memory at a time.
 
 Defined results: a null, empty or blank text has an empty set and is its own component; fewer than
 five words are one shingle; repeated rows and equal texts are one node; a null doc_id never names a
-component unless its node has no other; an empty table gives an empty result.
+component unless its node has no other; an empty table gives an empty result; a text's length has no
+limit but that its words and their hashes fit a worker's memory; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,34 +44,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from torquelake.llm.common import materialize, tune
+from torquelake.llm.common import discard, materialize, tune
 from torquelake.llm.repeats import mix, rows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-BUCKETS, SALTS, ROUNDS = 1 << 20, 64, 2
-_SHIFT = np.uint64(64 - 20)
-#: A prefix is lengthened by at least one shingle in so many of the set, by twice that where it has heavy ones.
-SHARE = 16
-
-
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, with A-Z lower-cased."""
-    h = word_hashes(text.encode().lower())
-    if not len(h):
-        return h
-    if len(h) < SHINGLE:
-        out = np.array([len(h)], np.uint64)
-        for x in h:
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + x)
-        return out
-    g = h[: len(h) - SHINGLE + 1]
+#: Hashed counters (powers of two) and input bytes for each; counters in one row of a survey.
+MIN_BITS, MAX_BITS, BYTES_PER_COUNTER, CHUNK_BITS = 20, 24, 256, 12
+SALTS = 64
+#: A prefix is lengthened by at least one shingle in SHARE of the set, and for each doubling of its mean estimated candidates by one in COST_SHARE.
+SHARE, COST_SHARE = 16, 64
+#: Followers of one leader that are verified together; differences for each further match in step 4.
+PART, DIFFERENCES_PER_MATCH = 512, 8
+#: Holders of a difference that are compared with its other holders before all pairs of what is still apart.
+LEADERS = 4
+#: Nodes whose numbers are broadcast at most (some 40 bytes each); beyond, tables of nodes are shuffled.
+MAX_BROADCAST_NODES = 1_000_000
+#: A node has a centre if their difference is at most so many times that of two sets that link.
+CENTRE_REACH = 4
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, with A-Z lower-cased."""
+    h, counts = word_hashes([t.encode().lower() for t in texts])
+    end = np.cumsum(counts)
+    g = h[: max(0, len(h) - SHINGLE + 1)]
     for i in range(1, SHINGLE):
-        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - SHINGLE + 1 + i])
-    return np.unique(g)
-
-
-def node_of(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(g)])
+    out = []
+    for e, n in zip(end.tolist(), counts.tolist(), strict=True):
+        if n >= SHINGLE:
+            s = np.sort(g[e - n : e - SHINGLE + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            continue
+        one = np.array([n], np.uint64)
+        for x in h[e - n : e]:
+            one = mix(one * np.uint64(0x9E3779B97F4A7C15) + x)
+        out.append(one if n else h[:0])
+    return out
+
+
+def name_of(s: np.ndarray, renamed: dict[tuple[int, int], int] | None = None) -> tuple[int, int]:
+    """A set's node and the other half of its digest."""
+    d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    node, check = int(d[0]), int(d[1])
+    return (renamed or {}).get((node, check), node), check
 
 
 def least_matches(n):
@@ -78,7 +104,7 @@ def overlap_needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def heavy_table(counts: np.ndarray) -> np.ndarray:
+def excess_table(counts: np.ndarray) -> np.ndarray:
     """For each counter 0 if usual, else the class (log2) of its excess over the usual count."""
     usual = np.median(counts)
     spread = max(1.0, np.median(np.abs(counts - usual)) * 1.4826)
@@ -88,52 +114,86 @@ def heavy_table(counts: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(prefix shingles, their classes, matches needed) of a set: light first, lengthened with heavy shingles in it."""
-    c = classes[(s >> _SHIFT).astype(np.int64)]
+    """(prefix shingles, their classes, matches needed) of a set: rare first, lengthened by the estimated candidates in it."""
+    c = classes[_bucket(s, len(classes))]
     order = np.lexsort((mix(s), c))
     s, c = s[order], c[order]
     need = overlap_needed(len(s))
     short = len(s) - need + 1
-    base = len(s) // SHARE
-    matches = int(min(need, 1 + base + min(base, (c[:short] > 0).sum())))
+    candidates = float(np.ldexp(1.0, c[:short].astype(int))[c[:short] > 0].sum()) / short
+    matches = int(min(need, 1 + len(s) // SHARE + min(len(s) // SHARE, int(len(s) / COST_SHARE * np.log2(1 + candidates)))))
     return s[: short + matches - 1], c[: short + matches - 1], matches
 
 
-def _survey(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, node) of all documents, and rows (bucket, c) of each task's shingle counts."""
+def _bucket(s: np.ndarray, size: int) -> np.ndarray:
+    return (s >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _survey(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, did, rk, n, node, other) of all documents, and rows (chunk, counts) of each task's shingle counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int32)
+        names = ["doc_id", "did", "rk", "n", "node", "other", "chunk", "counts"]
+        for b in batches:
+            sets = shingle_sets(b.column(3).to_pylist())
+            if not sets:
+                continue
+            at = _bucket(np.concatenate(sets), size)
+            if len(at) * 8 > size:
+                total += np.bincount(at, minlength=size).astype(np.int32)
+            else:
+                np.add.at(total, at, 1)
+            named = [name_of(s) for s in sets]
+            own = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in named], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *own, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        if total.any():
+            chunks = _chunks(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(chunks[0]), pa.int64())] * 6 + chunks, names)
+
+    return rows.select("doc_id", "did", "rk", "text").mapInArrow(run, "doc_id long, did long, rk long, n long, node long, other long, chunk int, counts binary")
+
+
+def _chunks(counts: np.ndarray) -> list[pa.Array]:
+    parts = [p.tobytes() for p in np.split(counts, max(1, len(counts) >> CHUNK_BITS))]
+    return [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())]
+
+
+def _counts(chunks: DataFrame, size: int) -> np.ndarray:
+    """The sums of all tasks' counters: added up chunk by chunk in tasks, then one row for each chunk to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "did", "rk", "n", "node", "bucket", "c"]
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            sets = [shingles(t) for t in b.column(3).to_pylist()]
-            for s in sets:
-                counts += np.bincount((s >> _SHIFT).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
-            small = [s for s in sets if 0 < len(s) <= BUCKETS // 8]
-            if small:
-                counts += np.bincount((np.concatenate(small) >> _SHIFT).astype(np.int64), minlength=BUCKETS)
-            n = len(sets)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), none, none], names)
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(part), pa.array(counts[part])], names)
-
-    return rows.select("doc_id", "did", "rk", "text").mapInArrow(run, "doc_id long, did long, rk long, n long, node long, bucket long, c long")
-
-
-def _prefixes(rows: DataFrame, classes: np.ndarray) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(raw, np.int32)
+                sums[k] = sums[k] + v if k in sums else v.astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    out = np.zeros(size, np.float32)
+    width = size // max(1, size >> CHUNK_BITS)
+    for r in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():
+        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.counts, np.float32)
+    return out
+
+
+def _renamed(members: DataFrame) -> dict[tuple[int, int], int]:
+    """New names for nodes that share theirs with another digest: about documents^2 / 2^65 of them, so none or a few in any corpus."""
+    clash = members.where("n > 0").groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo < hi")
+    found = members.join(clash, "node").where("other > lo").select("node", "other").distinct().collect()
+    return {(r.node, r.other): int(np.uint64(xxhash.xxh3_64_intdigest(np.array([r.node, r.other]).tobytes())).view(np.int64)) for r in found}
+
+
+def _prefixes(rows: DataFrame, classes: np.ndarray, renamed: dict) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(classes)  # one byte a counter, 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets give their prefix once in a task
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for t in b.column(0).to_pylist():
-                s = shingles(t)
-                if not len(s) or (node := node_of(s)) in seen:
+            for s in shingle_sets(b.column(0).to_pylist()):
+                if not len(s) or (node := name_of(s, renamed)[0]) in seen:
                     continue
                 seen.add(node)
                 p, c, matches = prefix(s, shared.value)
@@ -146,29 +206,142 @@ def _prefixes(rows: DataFrame, classes: np.ndarray) -> DataFrame:
     return rows.select("text").mapInArrow(run, "token long, node long, n long, matches int, heavy boolean, pos int")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """node, shingles of each row of ``reps`` (node, did, rk). A table of hashed row keys keeps most other rows from being cut again or moved."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int32)
+        for b in batches:
+            np.add.at(total, _bucket(mix(b.column(0).to_numpy().view(np.uint64)), size), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays(_chunks(total), ["chunk", "counts"])
+
+    keys = _counts(reps.select("rk").mapInArrow(tally, "chunk int, counts binary"), size) > 0
+    shared = rows.sparkSession.sparkContext.broadcast(keys)  # one byte a counter
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
+            b = b.filter(pa.array(shared.value[_bucket(mix(b.column(1).to_numpy().view(np.uint64)), size)]))
+            sets = shingle_sets(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["did", "rk", "shingles"])
+
+    own = rows.select("did", "rk", "text").mapInArrow(run, "did long, rk long, shingles binary")
+    return own.join(_small(reps), ["did", "rk"]).select("node", "shingles").dropDuplicates(["node"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
+def _followers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each leader a's set, then its followers' b, in parts of about PART followers: a, part, node (null for the leader), shingles."""
+    pairs = materialize(pairs, "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    of_b = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+    of_b = sets.join(_small(of_b), "node").select("a", "part", "node", "shingles")
+    of_a = sets.join(_small(parts), F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "shingles")
+    return of_a.unionByName(of_b).repartition("a", "part").sortWithinPartitions("a", "part", F.col("node").asc_nulls_first())
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of their sets."""
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(leader, follower, their sets, which of the follower's shingles the leader has) of each batch of ``_followers``."""
+    leader = np.zeros(0, np.uint64)
+    for b in batches:
+        out = []
+        for a, node, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            if node is None:
+                leader = np.array(s)
+            else:
+                out.append((a, node, leader, s, leader[np.minimum(np.searchsorted(leader, s), len(leader) - 1)] == s))
+        yield out
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes na, nb of their sets and of the intersection, ``both``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+        for found in _compared(batches):
+            rows = [(a, b, len(x), len(y), int(both.sum())) for a, b, x, y, both in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["a", "b", "na", "nb", "both"])
+
+    return _followers(pairs.select("a", "b"), sets).mapInArrow(run, "a long, b long, na long, nb long, both long")
+
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def links(compared: DataFrame) -> DataFrame:
+    return compared.where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _differences(anchored: DataFrame, sets: DataFrame) -> DataFrame:
+    """centre, token, node, n, d, links of every shingle that just one of a node and its centre has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _compared(batches):
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for a, b, x, y, both in found:
+                missing = np.ones(len(x), bool)
+                missing[np.searchsorted(x, y[both])] = False
+                t = np.concatenate([y[~both], x[missing]]).view(np.int64)
+                k = len(t)
+                for col, v in zip(cols, (np.full(k, a), t, np.full(k, b), np.full(k, len(y)), np.full(k, len(x)), np.full(k, k), np.full(k, 7 * k <= len(x) + len(y))), strict=True):
+                    col.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["centre", "token", "node", "n", "nc", "d", "links"])
+
+    pairs = anchored.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    return _followers(pairs, sets).mapInArrow(run, "centre long, token long, node long, n long, nc long, d long, links boolean")
+
+
+def centred_prefixes(anchored: DataFrame, sets: DataFrame) -> DataFrame:
+    """Prefixes of the nodes' differences to their centres: centre, token, node and the numbers that ``_centred`` compares.
+
+    |a ^ b| <= (|a| + |b|) / 7 is what linking means. With d the difference to the centre c, and 7 d > n + nc
+    for one of the two, the other has at least (7 d + nc - n) / 14 of its differences in common with it; a
+    node that does not link has (7 d - n - nc) / 14 at least in common with any. Differences that no other
+    node of the centre has count as seen, and come first.
+    """
+    every = materialize(_differences(anchored, sets), "differences")
+    shared = every.groupBy("centre", "token").agg(F.count("*").alias("df")).where("df > 1")
+    every = every.join(shared, ["centre", "token"])
+    node = Window.partitionBy("centre", "node")
+    every = every.withColumn("alone", F.col("d") - F.count("*").over(node)).withColumn("pos", F.col("alone") + F.row_number().over(node.orderBy("df", "token")) - 1)
+    with_open = F.floor((7 * F.col("d") + F.col("nc") - F.col("n")) / 14) + 1
+    with_any = F.greatest(F.lit(1), F.ceil((7 * F.col("d") - F.col("n") - F.col("nc")) / 14))
+    every = every.withColumns({"least": with_open.cast("long"), "any": with_any.cast("long")})
+    # A prefix leaves out its last "spare" differences; of c that two have in common it holds c - spare at least.
+    spare = lambda need: F.greatest(F.lit(0), need - 1 - F.floor(F.col("d") / DIFFERENCES_PER_MATCH)).cast("long")
+    every = every.withColumns({"spare": spare(F.col("least")), "spare_any": spare(F.col("any"))})
+    every = every.where(F.col("d") - F.col("alone") >= F.when(F.col("links"), F.col("least")).otherwise(F.col("any")))
+    every = every.where(F.col("pos") < F.col("d") - F.when(F.col("links"), F.col("spare")).otherwise(F.col("spare_any")))
+    return materialize(every.select("centre", "token", "node", "n", "d", "alone", "pos", "links", "spare", "spare_any"), "difference-prefixes")
+
+
+def _centred(pairs: DataFrame) -> tuple:
+    """For rows of two nodes of one centre that share a difference (columns with _a and _b): whether they may link, and the shared ones they need."""
+    open_a, open_b = ~F.col("links_a"), ~F.col("links_b")
+    common = F.ceil((7 * (F.col("d_a") + F.col("d_b")) - F.col("n_a") - F.col("n_b")) / 14)
+    possible = (F.col("comp_a") != F.col("comp_b")) & (open_a | open_b) & _similar_sizes("n_a", "n_b") & (common <= F.least(F.col("d_a") - F.col("alone_a"), F.col("d_b") - F.col("alone_b")))
+    # With one that links with the centre, the other's longer prefix counts.
+    spare = {x: F.when(~F.col(f"links_{x}") & F.col(f"links_{y}"), F.col(f"spare_any_{x}")).otherwise(F.col(f"spare_{x}")) for x, y in ("ab", "ba")}
+    possible = possible & (F.col("pos_a") < F.col("d_a") - spare["a"]) & (F.col("pos_b") < F.col("d_b") - spare["b"])
+    return possible, common - F.greatest(spare["a"], spare["b"])
+
+
+def _side(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in keys])
+
+
+def centred_pairs(prefixes: DataFrame, comps: DataFrame, leaders: int = 0) -> DataFrame:
+    """Candidate pairs (a, b) by shared differences: all in different components, or those of ``leaders`` holders of each difference with its others."""
+    keys = ["centre", "token"]
+    rows = prefixes.join(_small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = rows.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("r"), *[F.col(c) for c in rows.columns if c not in keys])).alias(f"f{k}") for k in range(leaders)]).where("lo < hi")
+    if leaders:
+        first = held.select(*keys, F.inline(F.array_distinct(F.array(*[F.struct(*[F.col(f"f{k}")[c].alias(c) for c in rows.columns if c not in keys]) for k in range(leaders)]))))
+        pairs = _side(first, "a", keys).join(_side(rows, "b", keys), keys)
+    else:
+        rows = materialize(rows.join(held.select(*keys), keys), "open-differences")
+        order = (F.col("node_a") < F.col("node_b")) | F.col("links_b")  # each pair once
+        pairs = _side(rows.where("NOT links"), "a", keys).join(_side(rows, "b", keys), keys).where(order)
+    possible, need = _centred(pairs)
+    pairs = pairs.where(possible).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("k"), F.min(need).alias("need"))
+    return pairs.where("k >= need").select("a", "b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -189,66 +362,110 @@ def _similar_sizes(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
+def _table_size(docs: DataFrame) -> int:
+    """Counters for the corpus: a power of two, by the input's bytes as Spark estimates them (the least where it can't)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0
+    return 1 << min(MAX_BITS, max(MIN_BITS, (size // BYTES_PER_COUNTER).bit_length()))
+
+
+def _small(nodes: DataFrame) -> DataFrame:
+    """A table of a few numbers for each node, broadcast if it has at most MAX_BROADCAST_NODES rows."""
+    return F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_NODES else nodes
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each shingle's leader, the holder with the highest rank, and its other holders, with a's rank.
+
+    A sieve only: pairs with few shingles in common here come again later, if they still matter.
+    """
+    leader = F.max(F.struct("rank", "node", "n")).alias("f")
+    firsts = rows.groupBy("token").agg(leader).select("token", F.col("f.node").alias("a"), F.col("f.n").alias("na"), F.col("f.rank").alias("rank"))
+    found = rows.drop("rank").join(firsts, "token").where((F.col("node") != F.col("a")) & _similar_sizes("n", "na"))
+    found = found.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"), F.min("matches").alias("need"), F.max("rank").alias("rank"))
+    return found.where("2 * k >= need").select("a", "b", "rank")
+
+
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` of shingles that two components or more hold, with each node's component."""
+    own = rows.join(_small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return materialize(own.join(several, "token"), "open-rows")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, node of every row of ``docs``."""
     tune(docs.sparkSession)
-    rows = rows_of(docs)
-    survey = materialize(_survey(rows), "survey")
-    counts = np.zeros(BUCKETS)
-    for r in survey.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("c").alias("c")).toLocalIterator():  # at most BUCKETS rows
-        counts[r.bucket] = r.c
-    members = survey.where("bucket IS NULL").select("doc_id", "did", "rk", "n", "node")
-
-    tokens = _prefixes(rows, heavy_table(counts)).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
+    rows, size = rows_of(docs), _table_size(docs)
+    survey = materialize(_survey(rows, size), "survey")
+    members = survey.where("chunk IS NULL").select("doc_id", "did", "rk", "n", "node", "other")
+    renamed = _renamed(members)
+    if renamed:
+        new = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "node long, other long, new long")
+        members = members.join(F.broadcast(new), ["node", "other"], "left").withColumn("node", F.coalesce("new", "node"))
+    members = members.select("doc_id", "did", "rk", "n", "node")
+
+    tokens = _prefixes(rows, excess_table(_counts(survey.where("chunk IS NOT NULL"), size)), renamed).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
     w = Window.partitionBy("token", "salt")
     tokens = tokens.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).where("heavy OR lo < hi")
-    shared = materialize(tokens.select("token", "node", "n", "matches", "pos").distinct(), "shared-tokens")
+    prefixes = materialize(tokens.select("token", "node", "n", "matches", "pos").distinct(), "shared-tokens")
     # Prefix shingles of a node that nobody shares are in no intersection: what is "lost" bounds every overlap.
-    k = shared.groupBy("node", "n", "matches").agg(F.count("*").alias("k")).where(F.col("k") >= least_matches(F.col("n")))
+    k = prefixes.groupBy("node", "n", "matches").agg(F.count("*").alias("k")).where(F.col("k") >= least_matches(F.col("n")))
     lost = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("matches") - F.col("k")).cast("long")
     wanted = materialize(k.select("node", lost.alias("lost")), "candidate-nodes")
-    shared = materialize(shared.join(wanted, "node"), "candidate-tokens")
+    shared = materialize(prefixes.join(_small(wanted), "node"), "candidate-tokens")
+    discard(prefixes)
 
     reps = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("did", "rk")).alias("r")).select("node", F.col("r.did").alias("did"), F.col("r.rk").alias("rk"))
-    texts = rows.select("did", "rk", "text").join(reps, ["did", "rk"])
-    sets = materialize(_sets(texts).dropDuplicates(["node"]), "sets")
-
-    holders = materialize(shared.groupBy("token").agg(F.count("*").alias("df")), "holders")
-    central = shared.join(holders, "token").groupBy("node").agg((F.sum("df") / (F.count("*") + F.max("lost"))).alias("central"))
-    shared = materialize(shared.join(central, "node"), "ranked-tokens")
-    edges = known = comps = None
-    own = shared.withColumn("comp", F.col("node"))
-    for turn in range(ROUNDS):
-        # Of the nodes with a shingle the most central leads: its prefix shingles have the most holders on average.
-        leader = F.max(F.struct((F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")).alias("rank"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp")))
-        firsts = own.groupBy("token").agg(leader.alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        firsts = materialize(firsts.select("token", F.col("f.node").alias("a"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca")), "leaders")
-        # A sieve only: pairs with few shingles in common here come again below, if they still matter.
-        found = own.join(firsts, "token").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("ca")) & _similar_sizes("n", "na"))
-        found = found.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("k"), F.min("matches").alias("need")).where("2 * k >= need").select("a", "b")
-        pairs = materialize(found, "leader-pairs")
-        new = materialize(verify(pairs, sets), "edges")
-        edges = new if edges is None else edges.unionByName(new)
-        tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        known = tried if known is None else known.unionByName(tried)
-        comps = connected_components(edges)
-        own = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        own = materialize(own, "token-components")
-    open_tokens = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_tokens = materialize(open_tokens, "open-tokens")
-    rest = materialize(own.join(open_tokens, "token"), "open-rows")
-    side = lambda x: rest.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "matches", "comp", "pos", "lost")])
+    sets = materialize(_sets(rows, materialize(reps, "candidate-rows"), size), "sets")
+
+    # Of the nodes with a shingle the most central leads: its prefix shingles have the most holders on average.
+    holders = materialize(shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "holders")
+    central = materialize(shared.join(holders, "token").groupBy("node").agg((F.sum("df") / (F.count("*") + F.max("lost"))).alias("rank")), "centrality")
+    pairs = materialize(_led(shared.join(_small(central), "node")), "leader-pairs")
+    compared = materialize(compare(pairs, sets), "compared")
+    near = 7 * (F.col("na") + F.col("nb") - 2 * F.col("both")) <= CENTRE_REACH * (F.col("na") + F.col("nb"))
+    centres = compared.where(near).join(pairs, ["a", "b"]).groupBy(F.col("b").alias("node")).agg(F.max(F.struct("rank", "a"))["a"].alias("centre"))
+    centres = materialize(centres, "centres")
+    edges = links(compared)
+    comps = connected_components(edges)
+    discard(holders)
+
+    # Only shingles that join two components or more still matter. Another node leads each of them once.
+    rest = _open(shared.join(_small(centres), "node", "left").withColumn("centre", F.coalesce("centre", "node")), comps)
+    discard(shared)
+    known = pairs.select("a", "b")
+    pairs = materialize(_led(rest.withColumn("rank", F.xxhash64("node", F.lit(1)).cast("double"))), "leader-pairs")
+    edges = edges.unionByName(links(materialize(compare(pairs.join(known, ["a", "b"], "left_anti"), sets), "compared")))
+    known = known.unionByName(pairs.select("a", "b"))
+    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    comps = connected_components(edges)
+    last, rest = rest, _open(rest.drop("comp"), comps)
+    discard(last)
+
+    anchored = materialize(rest.where("centre <> node").select("centre", "node", "comp").distinct(), "centred-nodes")
+    mixed = materialize(rest.groupBy("token").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).where("lo < hi").select("token"), "mixed-tokens")
+    mixed = rest.join(mixed, "token")
+    side = lambda x: mixed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "matches", "comp", "pos", "lost", "centre")])
     # Of an overlap o, the first l common shingles lie among a side's first n - o + l; and o is at most n - lost.
     o = overlap(F.col("n_a"), F.col("n_b"))
     need = F.least("matches_a", "matches_b")
-    possible = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _similar_sizes("n_a", "n_b")
+    possible = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("centre_a") != F.col("centre_b")) & _similar_sizes("n_a", "n_b")
     for x in "ab":
         possible = possible & (F.col(f"pos_{x}") < F.col(f"n_{x}") - o + need) & (o <= F.col(f"n_{x}") - F.col(f"lost_{x}"))
     cross = side("a").join(side("b"), "token").where(possible).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("k"), F.min(need).alias("need"))
     cross = cross.where("k >= need").select("a", "b")
-    more = materialize(verify(cross.join(known, ["a", "b"], "left_anti"), sets), "more-edges")
-    if not more.isEmpty():
-        comps = connected_components(edges.unionByName(more))
+
+    prefixes = centred_prefixes(anchored, sets)
+    for leaders in (LEADERS, 0):  # a few holders of each difference with its others; then what is still apart
+        pairs = centred_pairs(prefixes, comps, leaders)
+        pairs = materialize((pairs if leaders else pairs.unionByName(cross)).join(known, ["a", "b"], "left_anti").distinct(), "open-pairs")
+        more = materialize(links(compare(pairs, sets)), "more-edges")
+        known = known.unionByName(pairs)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            comps = connected_components(edges)
+    discard(rest, sets, prefixes)
 
     smallest = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
     named = smallest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

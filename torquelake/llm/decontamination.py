@@ -172,6 +172,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows in which an item leaked."""
-    found = leaks(docs, benchmark).select("row_key", F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")) & (F.xxhash64("doc_id", "text") == F.col("row_key")), "left_anti")
+    """``docs`` without the rows in which an item leaked, whatever columns it has."""
+    found = leaks(docs, benchmark).select(F.col("row_key").alias("_leaked_row"), F.col("doc_id").alias("_leaked_id")).distinct()
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_key"))
+    kept = boxed.join(found, F.col("_row.doc_id").eqNullSafe(F.col("_leaked_id")) & (F.col("_key") == F.col("_leaked_row")), "left_anti")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

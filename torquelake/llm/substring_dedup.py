@@ -5,7 +5,8 @@ windows are sorted and equal neighbours counted; see ``repeats`` for the stages.
 
 Defined results: a null text counts as empty and loses nothing; texts with fewer than 35 words lose
 nothing by themselves; repeated rows are occurrences of each other; an empty table gives an empty
-result; other columns are ignored.
+result; a text of any length is handled whole, its words and hashes fitting a worker; other columns
+are ignored, and carried ones are named inside their struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from torquelake.llm.repeats import Units, covered, repeated_spans, word_spans
@@ -50,7 +50,7 @@ def cut_out(raw: bytes, gone: np.ndarray) -> bytes:
 
 
 def remove_repeated_windows(docs: DataFrame, keep_first: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, kept_text, n_words, n_removed, kept_sha256 of every row, and its ``carry`` columns.
+    """doc_id, kept_text, n_words, n_removed, kept_sha256 of every row, and its ``carry`` columns as one struct of that name.
 
     kept_text keeps the text's own white space between kept words; kept_sha256 is of the kept words
     joined by one space. With ``keep_first`` the first occurrence of each window stays.
@@ -79,5 +79,4 @@ def remove_repeated_windows(docs: DataFrame, keep_first: bool = False, carry: li
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()))])
     if carry:
         schema.add(spans.schema["carry"])
-    out = spans.mapInArrow(run, schema)
-    return out.select(*[c for c in out.columns if c != "carry"], *([F.col("carry")[c].alias(c) for c in carry] if carry else []))
+    return spans.mapInArrow(run, schema)

@@ -160,6 +160,7 @@ def test_tokens_and_fusion(spark):
 
 
 def test_tools_answer(spark):
-    assert tools.call(spark, "decode_dtc", {"code": "p0301"}).startswith("DTC P0301 | system: Powertrain | description: Cylinder 1 misfire detected")
+    said = tools.call(spark, "decode_dtc", {"code": "p0301"})
+    assert all(x in said for x in ("P0301", "Powertrain", "Cylinder 1 misfire detected"))
     assert tools.call(spark, "decode_vin", {"vin": "x"}).startswith("Error") and tools.call(spark, "nothing", {}).startswith("Error")
     assert len(dims.DECLINE_MARKERS) == 19 and len(dims.YEARS) == 17

@@ -1,9 +1,11 @@
-"""Command line: scan, decode-vin, analyze-can, version."""
+"""Command line: scan, decode-vin, analyze-can, diagnose, version."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
+import re
 import sys
 
 from torquelake.functions import dims
@@ -18,6 +20,14 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--signals", help="Parquet of decoded signals")
     s.add_argument("--out", default="reports")
     s.add_argument("--no-save", action="store_true")
+    s.add_argument("--lang", choices=["fr", "en"], default="en")
+    s.add_argument("--json", action="store_true", help="print the report as JSON")
+    d = sub.add_parser("diagnose", help="answer a question with the tools, by scripted replies")
+    d.add_argument("question", nargs="+")
+    d.add_argument("--trace", action="store_true")
+    d.add_argument("--model", default="scripted", help="a JSON list of replies, or scripted")
+    d.add_argument("--max-turns", type=int, default=5)
+    d.add_argument("--cases", help="repair cases as JSON")
     v = sub.add_parser("decode-vin")
     v.add_argument("vin")
     c = sub.add_parser("analyze-can")
@@ -29,6 +39,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def replies_for(question: str) -> list[dict]:
+    """The scripted plan: decode the first trouble code or vehicle number in the question, search the cases, answer."""
+    call = lambda tool, **args: {"tool_calls": [{"function": {"name": tool, "arguments": json.dumps(args)}}]}
+    plan = [call("decode_dtc", code=m[0]) for m in [re.search(r"(?i)\b[pcbu][0-9a-f]{4}\b", question)] if m]
+    plan += [call("decode_vin", vin=m[0]) for m in [re.search(r"(?i)\b[a-hj-npr-z0-9]{17}\b", question)] if m]
+    return [*plan, call("search_repair_cases", query=question), {"content": "See the findings of the tools above."}]
+
+
+def diagnose(spark, a: argparse.Namespace) -> int:
+    """0 with an answer, 1 at the turn limit, 2 for an empty question or an unreadable model or case file."""
+    from torquelake.operators import dialogue, tools, vectors
+    from torquelake.sources import corpus
+
+    question = " ".join(a.question)
+    try:
+        retriever = vectors.Retriever(corpus.load_cases(spark, a.cases)) if a.cases else None
+        script = replies_for(question) if a.model == "scripted" else json.loads(open(a.model, encoding="utf-8").read())
+        result, trace = dialogue.answer(spark, question, script, lambda name, args: tools.call(spark, name, args, retriever), a.max_turns)
+    except Exception as e:  # noqa: BLE001 - the command reports and ends
+        print(f"cannot diagnose: {e}", file=sys.stderr)
+        return 2
+    for t in trace if a.trace else trace[-1:]:
+        print(f"[{t['step']}] {t['tool']} {t['arguments']}\n{t['result']}")
+    print(result["answer"])
+    return 1 if result["hit_turn_limit"] else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command is None:
@@ -53,6 +90,8 @@ def main(argv: list[str] | None = None) -> int:
         text = decode_vin(spark, a.vin)
         print(text)
         return 2 if text.startswith("Error") else 0
+    if a.command == "diagnose":
+        return diagnose(spark, a)
     if a.command == "analyze-can":
         from torquelake.operators import signals
         from torquelake.operators.tools import analyze_can_log
@@ -68,9 +107,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from torquelake.operators import protocol, report, signals
 
-    stats = signals.signal_stats(spark.read.parquet(a.signals)) if a.signals else None
-    r = report.to_dict(report.build(protocol.full_scan(spark), stats))
-    print(report.markdown(r))
+    loaded, state = signals.load_signals(spark, a.signals) if a.signals else (None, {"available": True})
+    if not state["available"]:
+        print(f"no signals: {state['error'] or a.signals + ' is missing'}", file=sys.stderr)
+    r = report.to_dict(report.build(protocol.full_scan(spark), signals.signal_stats(loaded) if loaded else None))
+    print(json.dumps(r, ensure_ascii=False, indent=2) if a.json else report.markdown(r, a.lang))
     if not a.no_save:
         print(*report.save(r, a.out))
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,18 +22,20 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes
     nodes.append(None)
     spread = x.max(0) - x.min(0) if len(x) else np.zeros(1)
     if depth >= limit or len(x) < 2 or not spread.any():
-        nodes[at] = (-1, 0.0, 0, 0, depth + _c(len(x)))
+        nodes[at] = (-1, 0.0, 0, 0, depth + _c(len(x)), len(x))
         return at
     f = int(rng.choice(np.flatnonzero(spread)))
     cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
     left = x[:, f] < cut
-    nodes[at] = (f, cut, _grow(x[left], rng, depth + 1, limit, nodes), _grow(x[~left], rng, depth + 1, limit, nodes), 0.0)
+    nodes[at] = (f, cut, _grow(x[left], rng, depth + 1, limit, nodes), _grow(x[~left], rng, depth + 1, limit, nodes), 0.0, len(x))
     return at
 
 
 def fit(windows: DataFrame, columns: list[str], trees: int = 200, seed: int = 42) -> list[np.ndarray]:
     """Trees over samples of at most 256 rows each, drawn from a bounded pool of rows (the smallest hashes of window_id)."""
     pool = np.array([list(r) for r in windows.orderBy(F.xxhash64("window_id"), "window_id").limit(trees * SAMPLE // 4).select(*columns).collect()], float)
+    if not len(pool):
+        raise ValueError("no windows to learn from")
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
         nodes: list = []
@@ -52,10 +55,26 @@ def path_length(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     return tree[at, 4]
 
 
-def score(windows: DataFrame, forest: list[np.ndarray], columns: list[str], sample: int = SAMPLE) -> DataFrame:
-    """window_id, y, score = 2^(-mean path / c): higher is more anomalous. Trees are a few hundred rows each, broadcast."""
+def save(forest: list[np.ndarray], columns: list[str], thresholds: dict, path: str) -> None:
+    """The model as one JSON file: trees, columns and thresholds."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps({"columns": columns, "thresholds": thresholds, "trees": [t.tolist() for t in forest]}))
+
+
+def load(path: str) -> tuple[list[np.ndarray], list[str], dict]:
+    m = json.loads(Path(path).read_text())
+    return [np.array(t) for t in m["trees"]], m["columns"], m["thresholds"]
+
+
+def rows_of(tree: np.ndarray) -> int:
+    """Rows a tree was grown from: it records them in its root."""
+    return int(tree[0, 5])
+
+
+def score(windows: DataFrame, forest: list[np.ndarray], columns: list[str]) -> DataFrame:
+    """window_id, y, score = 2^(-mean path / c(rows of a tree)): higher is more anomalous. Trees are a few hundred rows each, broadcast."""
     shared = windows.sparkSession.sparkContext.broadcast(forest)
-    norm = _c(sample)
+    norm = max(_c(rows_of(forest[0])), 1e-12)
 
     def run(batches):
         for pdf in batches:

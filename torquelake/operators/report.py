@@ -29,10 +29,11 @@ def to_dict(report: DataFrame) -> dict:
     return json.loads(report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0])
 
 
-def markdown(r: dict) -> str:
-    lines = ["# Diagnostic report", "", f"Vehicle: {r['vehicle']['manufacturer']} {r['vehicle']['year']} ({r['vehicle']['vin']})", f"Health score: {r['health']['score']}/100, {r['health']['verdict_en']}", "", "## Repair plan", "", "| # | Code | Action | Effort | Hours |", "|-|-|-|-|-|"]
+def markdown(r: dict, lang: str = "en") -> str:
+    """The report in Markdown; ``lang`` (en or fr) picks the language of verdict and fault descriptions."""
+    lines = ["# Diagnostic report", "", f"Vehicle: {r['vehicle']['manufacturer']} {r['vehicle']['year']} ({r['vehicle']['vin']})", f"Health score: {r['health']['score']}/100, {r['health'].get('verdict_' + lang) or r['health']['verdict_en']}", "", "## Repair plan", "", "| # | Code | Action | Effort | Hours |", "|-|-|-|-|-|"]
     lines += [f"| {p['priority']} | {p['code']} | {p['action_fr']} | {p['effort']} | {p['hours_min']} to {p['hours_max']} |" for p in r["repair_plan"]]
-    lines += ["", "## Faults", ""] + [f"- {f['code']}: {f['description_en']} ({', '.join(f['status_bits'])}); {'; '.join(f['context_notes_fr'])}" for f in r["faults"]]
+    lines += ["", "## Faults", ""] + [f"- {f['code']}: {f['description_' + lang] or f['description_en']} ({', '.join(f['status_bits'])}); {'; '.join(f['context_notes_fr'])}" for f in r["faults"]]
     lines += [f"- {c['code']} {c['freeze_condition']} = {c['freeze_value']}: {c['interpretation']}, z = {c['z_score']}" for c in r.get("correlation", [])]
     return "\n".join(lines) + "\n"
 

@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Fixed values.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Queries' terms that are broadcast at most.
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def _decomposed() -> tuple[str, str]:
+    """Letters of the Latin blocks whose compatibility decomposition starts with one of a-z or 0-9 alone, and that letter; then combining marks, which go."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)).lower() if not unicodedata.combining(x))) for c in [*range(0xAA, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)]]
+    one = [(a, b) for a, b in pairs if len(b) == 1 and b.isascii() and b.isalnum()]
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in one) + marks, "".join(b for _, b in one)
+
+
+ACCENTS, PLAIN = _decomposed()
+#: Ligatures that decompose to several letters.
+LIGATURES = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in [*range(0xFB00, 0xFB07), 0x132, 0x133]}
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased, unaccented runs of [a-z0-9]."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTS, PLAIN), F.lit("[a-z0-9]+"), F.lit(0))
+    t = F.coalesce(text, F.lit(""))
+    for a, b in LIGATURES.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.regexp_extract_all(F.translate(F.lower(t), ACCENTS, PLAIN), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def overfetch(top_k: int) -> int:
@@ -39,7 +58,14 @@ def bm25_scores(postings: DataFrame, queries: DataFrame, query: str = "query_id"
     """query, doc, score of every document with a query term; each occurrence of a term in the query counts."""
     q = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qn"))
     part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(F.broadcast(q), "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    q = F.broadcast(q) if q.count() <= MAX_BROADCAST_TERMS else q
+    return postings.join(q, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+
+
+def all_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Scores of every document for every query (a stated set, column ``query``), 0 where no term occurs."""
+    every = docs.select("doc").join(F.broadcast(queries.select("query").distinct()))
+    return every.join(scores, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def rank(scores: DataFrame, by: str = "query", item: str = "doc", top_k: int | None = None, places: int = 9) -> DataFrame:

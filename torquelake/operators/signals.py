@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,3 +128,28 @@ def context_notes(freeze_frame: Column) -> Column:
         return F.when(v.isNotNull(), F.when(x["name"] == "engine_rpm", rpm).when(x["name"] == "vehicle_speed", speed).when(x["name"] == "coolant_temp", cool))
 
     return F.array_compact(F.transform(freeze_frame, note))
+
+
+def extraction_counters(signals: DataFrame) -> DataFrame:
+    """One row: decoded frames, different messages and signals, data points."""
+    return signals.agg(F.count_distinct("frame_idx").alias("frames_decoded"), F.count_distinct("message").alias("messages"), F.count_distinct("signal").alias("signals"), F.count("*").alias("datapoints"))
+
+
+def export(signals: DataFrame, folder: str) -> dict[str, str]:
+    """Decoded signals as Parquet, and their summary, a row per signal by falling count, as CSV."""
+    out = {"signals": f"{folder}/signals.parquet", "summary": f"{folder}/summary.csv"}
+    signals.write.mode("overwrite").parquet(out["signals"])
+    signal_summary(signals).orderBy(F.desc("count"), "signal").coalesce(1).write.mode("overwrite").option("header", True).csv(out["summary"])
+    return out
+
+
+def load_signals(spark: SparkSession, path: str) -> tuple[DataFrame | None, dict]:
+    """(signals, {available, error}): a missing or unreadable file is a state, not an exception."""
+    try:
+        df = spark.read.parquet(path)
+        if missing := {"signal", "value", "timestamp"} - set(df.columns):
+            return None, {"available": False, "error": f"columns {sorted(missing)} are missing"}
+        return df, {"available": True, "error": None}
+    except AnalysisException as e:
+        gone = "PATH_NOT_FOUND" in str(e)
+        return None, {"available": False, "error": None if gone else type(e).__name__}

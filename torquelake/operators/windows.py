@@ -66,7 +66,17 @@ def window_labels(windowed: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 
 def window_stats(windowed: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """mean, population std, min, max of each feature per window, and the label, in one aggregation."""
+    """mean, population std, min, max of each feature per window, and the label, in one aggregation.
+
+    Moments of whole numbers come from exact sums, so they do not depend on the order of rows.
+    """
     cols = columns or FEATURES
-    aggs = [f(c).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max)) for c in cols]
+    whole = {c for c, t in windowed.dtypes if t in ("int", "bigint")}
+
+    def std(c: str):
+        x = F.col(c).cast("long")
+        exact = F.count("*") * F.sum(x * x) - F.sum(x) * F.sum(x)
+        return F.sqrt(F.greatest(exact, F.lit(0)).cast("double")) / F.count("*") if c in whole else F.stddev_pop(c)
+
+    aggs = [f(c).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("std", std), ("min", F.min), ("max", F.max)) for c in cols]
     return windowed.groupBy("window_id").agg(*aggs, (F.avg("label") > 0.1).cast("int").alias("y"))

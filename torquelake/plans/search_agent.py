@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torquelake.operators import agent, forest, retrieval, windows
+from torquelake.operators import agent, dialogue, evaluate, forest, retrieval, tools, windows
 from torquelake.plans.proxy import frames, table
 from torquelake.sources import corpus
 from torquelake.streaming import bus as stream_bus
@@ -133,23 +133,47 @@ def hit_mrr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.hit_metrics(_first(spark, sf_dir), "lab"))
 
 
-_RRF = f"""{_CASES}, lx AS (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS rank FROM (SELECT q.vec_id AS query, e.label, count(*) AS n FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id % 7 = q.vec_id % 7 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) <= 5),
+# A short text for each vector, from its document's metadata; a query is the text of one vector in 50.
+_META = """meta AS (SELECT vec_id AS doc, e.label, regexp_extract_all(lower(coalesce(lang, '') || ' ' || coalesce(source, '') || ' w' || doc_id % 13), '[a-z0-9]+') AS w FROM embeddings e JOIN documents ON vec_id = doc_id)"""
+_RRF = f"""{_CASES}, {_META}, mlen AS (SELECT doc, len(w) AS dl FROM meta), mc AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM mlen), mtf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM meta) GROUP BY ALL),
+  mraw AS (SELECT term, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM mtf, mc GROUP BY term), mfl AS (SELECT 0.25::DOUBLE * avg(idf) AS f FROM mraw), midf AS (SELECT term, CASE WHEN idf < 0 THEN f ELSE idf END AS idf FROM mraw, mfl),
+  ms AS (SELECT q.doc AS query, t.doc, sum(q.tf * idf * t.tf * 2.5::DOUBLE / (t.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM mtf q JOIN mtf t USING (term) JOIN midf USING (term) JOIN mlen ON t.doc = mlen.doc, mc WHERE q.doc % 50 = 0 GROUP BY ALL),
+  ma AS (SELECT q.doc AS query, d.doc, d.label, coalesce(ms.score, 0) AS score FROM meta q JOIN meta d ON q.doc % 50 = 0 LEFT JOIN ms ON ms.query = q.doc AND ms.doc = d.doc),
+  mr AS (SELECT * FROM ma QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 14),
+  mb AS (SELECT * FROM mr QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY round(score, 9) DESC, doc) = 1),
+  lx AS (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, label) AS rank FROM mb QUALIFY rank <= 5),
   u AS (SELECT coalesce(dd.query, lx.query) AS query, coalesce(dd.label, lx.label) AS label, coalesce(1.0::DOUBLE / (60 + dd.rank), 0) + coalesce(1.0::DOUBLE / (60 + lx.rank), 0) AS score, dd.rank AS dr, lx.rank AS lr FROM dd FULL JOIN lx ON dd.query = lx.query AND dd.label = lx.label)"""
 
 
+def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(scores of all documents, labels)."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    text = F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit("")), F.lit(" w"), F.col("doc_id") % 13)
+    meta = e.join(table(spark, sf_dir, "documents").drop("text"), "doc_id").select("doc_id", "label", text.alias("text"))
+    postings, lengths = retrieval.bm25_index(meta)
+    asked = meta.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    every = retrieval.all_scores(retrieval.bm25_scores(postings, asked), asked.select(F.col("query_id").alias("query")), lengths)
+    return every, meta.select(F.col("doc_id").alias("doc"), "label")
+
+
+@query("bm25_all_documents", f"WITH {_RRF} SELECT query, doc, round(score, 6) AS score FROM mr")
+def bm25_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = _lexical(spark, sf_dir)
+    return retrieval.rank(scores, top_k=retrieval.overfetch(5)).select("query", "doc", F.round("score", 6).alias("score"))
+
+
 @query("rrf_hybrid", f"WITH {_RRF} SELECT query, label, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, dr NULLS LAST, lr NULLS LAST) AS INTEGER) AS rank FROM u QUALIFY rank <= 5")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
     dense = retrieval.best_per_case(_dense(spark, sf_dir, retrieval.overfetch(5)), "label", 5)
-    q = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") % 7).alias("m")))
-    lexical = retrieval.rank(e.withColumn("m", F.col("vec_id") % 7).join(q, "m").groupBy("query", "label").agg(F.count("*").cast("double").alias("score")), item="label", top_k=5)
+    scores, labels = _lexical(spark, sf_dir)
+    lexical = retrieval.best_per_case(retrieval.rank(scores, top_k=retrieval.overfetch(5)).join(labels, "doc"), "label", 5)
     return retrieval.rrf(dense, lexical, "label", 5).select("query", "label", F.round("score", 6).alias("score"), "rank")
 
 
 @query("latency_p95", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS m FROM events)
   SELECT event_type, n, round(m, 4) AS mean, value AS p95 FROM r WHERE i = round_even(0.95::DOUBLE * (n - 1), 0)""")
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.nearest_rank_p95(table(spark, sf_dir, "events"), "value", "event_type").withColumn("mean", F.round("mean", 4))
+    return evaluate.latency_by(table(spark, sf_dir, "events"), "value", "event_type").withColumn("mean", F.round("mean", 4))
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +200,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("conv_id", "turn", F.array_join(agent.cases_in(F.col("answer")), ",").alias("claimed"), F.array_join(agent.cases_cited(F.col("answer")), ",").alias("cited"))
 
 
-@query("agent_scores", """SELECT conv_id, turn, turn % 2 = 0 AS tools_exact, CASE WHEN conv_id % 20 = turn THEN '' ELSE 'case-' || conv_id % 20 END AS hallucinated, turn % 3 = 0 AS declined_lexically, CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS n_keywords FROM conversations""")
-def agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda *v: F.array(*map(F.lit, v))
     r = _answers(spark, sf_dir).withColumns(
         {
@@ -185,10 +208,48 @@ def agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             "cases_grounded": F.array(F.concat(F.lit("case-"), F.col("turn"))), "expected_cases": F.array(F.lit("case-1")), "expected_keywords": one("EGR", "zzz"), "must_decline": F.col("turn") % 3 == 0,
         }
     )
-    s = agent.score_scenarios(r)
+    return agent.score_scenarios(r)
+
+
+@query("agent_scores", """SELECT conv_id, turn, turn % 2 = 0 AS tools_exact, CASE WHEN conv_id % 20 = turn THEN '' ELSE 'case-' || conv_id % 20 END AS hallucinated, turn % 3 = 0 AS declined_lexically, CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS n_keywords FROM conversations""")
+def agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
     return s.select("conv_id", "turn", "tools_exact", F.array_join("cases_hallucinated", ",").alias("hallucinated"), "declined_lexically", F.size("keywords_hit").alias("n_keywords"))
 
 
+@query("agent_summary", """WITH r AS (SELECT conv_id * 1000 + turn AS run_id, conv_id, turn, (conv_id * 7 + turn * 13) % 1000 AS ms, CASE WHEN conv_id % 20 = turn THEN 1 ELSE 2 END AS claimed FROM conversations), c AS (SELECT min(run_id) AS f FROM r)
+  SELECT count(*) AS n, round_even(avg(CAST(turn % 2 = 0 AS INTEGER)), 4) AS tools_exact, 1.0::DOUBLE AS tools_covered, round_even(count(*) / sum(claimed)::DOUBLE, 4) AS citations_grounded, CAST(sum(claimed - 1) AS BIGINT) AS hallucinated,
+    round_even(count(*) FILTER (turn = 1) / count(*)::DOUBLE, 4) AS case_recall, round_even(count(*) FILTER (turn % 3 <> 0) / (2 * count(*))::DOUBLE, 4) AS keyword_coverage, count(*) FILTER (turn % 3 = 0) AS traps, 0::BIGINT AS declined_structurally,
+    count(*) FILTER (turn % 3 = 0) AS declined_lexically, 0::BIGINT AS degraded, max(ms) FILTER (run_id = f) AS cold_ms, round_even(avg(ms) FILTER (run_id <> f), 1) AS warm_mean_ms, round_even(median(ms) FILTER (run_id <> f), 1) AS warm_median_ms,
+    max(ms) FILTER (run_id <> f) AS warm_max_ms FROM r, c""")
+def agent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("conv_id")
+    s = _scored(spark, sf_dir).withColumns({"run_id": k * 1000 + F.col("turn"), "latency_ms": (k * 7 + F.col("turn") * 13) % 1000, "cases_claimed": agent.cases_in(F.col("answer"))})
+    return evaluate.agent_summary(s)
+
+
+@query("agent_repeat_total", """SELECT count(*) FILTER (i > 1) AS repeated_calls FROM (SELECT row_number() OVER (PARTITION BY conv_id, role, length("text") % 5 ORDER BY turn) AS i FROM conversations)""")
+def agent_repeat_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.repeated_total(agent.repeated_calls(_trace(spark, sf_dir)))
+
+
+@query("top_k_clamp", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 3 ELSE least(5, greatest(1, event_id % 9 - 2)) END AS top_k FROM events")
+def top_k_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.when(F.col("event_id") % 3 == 0, "many").otherwise((F.col("event_id") % 9 - 2).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", tools.clamp_top_k(k).cast("long").alias("top_k"))
+
+
+@query("parse_replies", """SELECT c_custkey AS run_id, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'done' END AS content, CASE c_custkey % 4 WHEN 2 THEN 'call_decode_dtc' WHEN 3 THEN 'c' || c_custkey END AS call_id, CASE WHEN c_custkey % 4 >= 2 THEN 'decode_dtc' END AS tool,
+  CASE WHEN c_custkey % 4 = 2 THEN '{"code":"P' || c_custkey || '"}' END AS arguments, c_custkey % 4 = 3 AS broken FROM customer""")
+def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    call = lambda head, args: F.concat(F.lit('{"tool_calls": [{' + head), F.lit('"function": {"name": "decode_dtc", "arguments": "'), args, F.lit('"}}]}'))
+    named = F.concat(F.lit('{"tool_calls": [{"id": "c'), k, F.lit('", "function": {"name": "decode_dtc", "arguments": "P0420"}}]}'))
+    reply = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, '{"content": "done"}').when(k % 4 == 2, call("", F.concat(F.lit('{\\"code\\": \\"P'), k, F.lit('\\"}')))).otherwise(named)
+    r = dialogue.parse_replies(table(spark, sf_dir, "customer").select(k.alias("run_id"), reply.alias("reply")))
+    return r.select("run_id", "content", "call_id", "tool", "arguments", F.col("call_error").isNotNull().alias("broken"))
+
+
 @query("turn_budget", "SELECT c_custkey AS run_id, CASE WHEN c_custkey % 7 < 5 THEN 'answered' ELSE 'turn_limit' END AS stop_reason, CAST(least(5, c_custkey % 7 + 1) AS INTEGER) AS turns FROM customer")
 def turn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("input"))

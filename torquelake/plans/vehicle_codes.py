@@ -142,12 +142,11 @@ def status_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.array_join(protocol.status_bits((F.col("p_partkey") % 256).cast("int")), ",").alias("bits"))
 
 
-_PAYLOADS_SQL = """payloads AS (SELECT conv_id * 1000 + turn AS msg, CASE WHEN turn = 0 THEN hex(encode(substr("text", 1, 5))) ELSE hex(encode("text")) END AS h FROM conversations WHERE octet_length(encode("text")) BETWEEN 1 AND 4000)"""
+_PAYLOADS_SQL = """payloads AS (SELECT conv_id * 1000 + turn AS msg, hex(encode("text")) AS h FROM conversations)"""
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").where(F.octet_length("text").between(1, 4000))
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), F.hex(F.encode(F.when(F.col("turn") == 0, F.substring("text", 1, 5)).otherwise(F.col("text")), "UTF-8")).alias("h"))
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), F.hex(F.encode("text", "UTF-8")).alias("h"))
 
 
 @query("isotp_encode", f"""WITH {_PAYLOADS_SQL}, l AS (SELECT msg, h, length(h) // 2 AS n FROM payloads),

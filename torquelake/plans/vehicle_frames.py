@@ -135,15 +135,17 @@ def normal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_labels(_windowed(spark, sf_dir)).where("y = 0").select("window_id")
 
 
-_STAT = lambda c: ", ".join(f"round({f}({c}), 6) AS {n}_{s}" for n in [c.replace("data[1] / 255.0::DOUBLE", "b0")] for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
-_STATS_SQL = f"WITH {WINDOWED_SQL} SELECT window_id, {', '.join(_STAT(c) for c in ('inter_arrival', 'id_freq', 'dlc_n', 'data[1] / 255.0::DOUBLE'))}, CAST(avg(label) > 0.1::DOUBLE AS INTEGER) AS y FROM windowed GROUP BY window_id"
+# Features in whole millionths: their moments are exact, whatever the order of rows.
+_MICRO = {"inter_arrival": "inter_arrival", "id_freq": "id_freq", "dlc_n": "dlc_n"} | {f"b{i}": f"data[{i + 1}] / 255.0::DOUBLE" for i in range(8)}
+_STATS_SQL = f"""WITH {WINDOWED_SQL}, m AS (SELECT window_id, label, {', '.join(f"CAST(round(({v}) * 1000000) AS BIGINT) AS {k}" for k, v in _MICRO.items())} FROM windowed)
+  SELECT window_id, {', '.join(f"sum({k})::DOUBLE / count(*) AS {k}_mean, sqrt(greatest(count(*) * sum({k} * {k}) - sum({k}) * sum({k}), 0)::DOUBLE) / count(*) AS {k}_std, min({k}) AS {k}_min, max({k}) AS {k}_max" for k in _MICRO)},
+    CAST(avg(label) > 0.1::DOUBLE AS INTEGER) AS y FROM m GROUP BY window_id"""
 
 
 @query("window_stats", _STATS_SQL)
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["inter_arrival", "id_freq", "dlc_n", "b0"]
-    w = windows.window_stats(_windowed(spark, sf_dir), cols)
-    return w.select("window_id", *[F.round(c, 6).alias(c) for c in w.columns if c not in ("window_id", "y")], "y")
+    w = windows.feature_columns(_windowed(spark, sf_dir))
+    return windows.window_stats(w.withColumns({c: F.round(F.col(c) * 1_000_000).cast("long") for c in windows.FEATURES}))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

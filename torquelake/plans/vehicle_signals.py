@@ -86,6 +86,11 @@ def signal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("signal", "count", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
+@query("extraction_counters", f"WITH {_SIGNALS} SELECT count(DISTINCT frame_idx) AS frames_decoded, count(DISTINCT message) AS messages, count(DISTINCT signal) AS signals, count(*) AS datapoints FROM sig")
+def extraction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.extraction_counters(_signals(spark, sf_dir))
+
+
 @query("physical_validation", f"""WITH {_SIGNALS}, {dims.sql_values('rng', 'signal, lo, hi, unit', [(k, *v) for k, v in dims.PHYSICAL_RANGES.items()])}
   SELECT sig.signal, unit, count(*) AS samples, round_even(min(value), 2) AS "min", round_even(max(value), 2) AS "max", round_even(100 * count(*) FILTER (value BETWEEN lo AND hi) / count(*)::DOUBLE, 1) AS in_range_percent,
     CASE WHEN bool_and(value BETWEEN lo AND hi) THEN 'OK' ELSE 'CHECK' END AS status FROM sig JOIN rng ON sig.signal = rng.signal GROUP BY ALL""")

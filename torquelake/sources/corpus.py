@@ -56,3 +56,31 @@ def point_id(namespace: str, doc_id: Column) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(doc_id, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("long").bitwiseAND(3) + 8))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def load_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a file that exists, has at least one case and breaks no rule; raises otherwise, with the first broken rule."""
+    cases = read_cases(spark, path)
+    if cases.isEmpty():
+        raise ValueError(f"{path}: 'cases' must be a non-empty list")
+    if first := violations(cases).orderBy("pos", "rule_no").head(1):
+        raise ValueError(first[0].message)
+    return cases
+
+
+def load_queries(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, text, lang, expected_cases of a file {queries: [...]}; raises without any."""
+    fields = "query_id: string, text: string, lang: string, expected_cases: array<string>"
+    q = spark.read.schema(f"queries array<struct<{fields}>>").option("multiLine", True).json(path).select(F.inline("queries"))
+    if q.isEmpty():
+        raise ValueError(f"{path}: no queries")
+    return q
+
+
+def load_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """Scenarios of a file that is a list of them, or {scenarios: [...]}."""
+    fields = "run_id string, question string, expected_tools array<string>, expected_cases array<string>, expected_keywords array<string>, must_decline boolean"
+    inner = ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
+    raw = spark.read.schema(f"{fields}, scenarios array<struct<{inner}>>").option("multiLine", True).json(path)
+    own = F.array(F.struct(*[f.split()[0] for f in fields.split(", ")]))
+    return raw.select(F.inline(F.coalesce("scenarios", own))).where("question IS NOT NULL")

@@ -54,7 +54,7 @@ SALTS = 64
 #: A prefix is lengthened by at least one shingle in SHARE of the set, and for each doubling of its mean estimated candidates by one in COST_SHARE.
 SHARE, COST_SHARE = 16, 64
 #: Followers of one leader that are verified together; differences for each further match in step 4.
-PART, DIFFERENCES_PER_MATCH = 512, 8
+PART, DIFFERENCES_PER_MATCH = 512, 16
 #: Holders of a difference that are compared with its other holders before all pairs of what is still apart.
 LEADERS = 4
 #: Nodes whose numbers are broadcast at most (some 40 bytes each); beyond, tables of nodes are shuffled.
@@ -327,13 +327,13 @@ def _side(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in keys])
 
 
-def centred_pairs(prefixes: DataFrame, comps: DataFrame, leaders: int = 0) -> DataFrame:
-    """Candidate pairs (a, b) by shared differences: all in different components, or those of ``leaders`` holders of each difference with its others."""
+def centred_pairs(prefixes: DataFrame, comps: DataFrame, leaders: range = range(0)) -> DataFrame:
+    """Candidate pairs (a, b) by shared differences: all in different components, or those of ``leaders`` (numbers that pick them) with a difference's other holders."""
     keys = ["centre", "token"]
     rows = prefixes.join(_small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    held = rows.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("r"), *[F.col(c) for c in rows.columns if c not in keys])).alias(f"f{k}") for k in range(leaders)]).where("lo < hi")
+    held = rows.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.max(F.struct(F.xxhash64("node", "token", F.lit(k)).alias("r"), *[F.col(c) for c in rows.columns if c not in keys])).alias(f"f{k}") for k in leaders]).where("lo < hi")
     if leaders:
-        first = held.select(*keys, F.inline(F.array_distinct(F.array(*[F.struct(*[F.col(f"f{k}")[c].alias(c) for c in rows.columns if c not in keys]) for k in range(leaders)]))))
+        first = held.select(*keys, F.inline(F.array_distinct(F.array(*[F.struct(*[F.col(f"f{k}")[c].alias(c) for c in rows.columns if c not in keys]) for k in leaders]))))
         pairs = _side(first, "a", keys).join(_side(rows, "b", keys), keys)
     else:
         rows = materialize(rows.join(held.select(*keys), keys), "open-differences")
@@ -341,7 +341,8 @@ def centred_pairs(prefixes: DataFrame, comps: DataFrame, leaders: int = 0) -> Da
         pairs = _side(rows.where("NOT links"), "a", keys).join(_side(rows, "b", keys), keys).where(order)
     possible, need = _centred(pairs)
     pairs = pairs.where(possible).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("k"), F.min(need).alias("need"))
-    return pairs.where("k >= need").select("a", "b")
+    # A leader leads only some of the differences it shares, so its count says little.
+    return (pairs if leaders else pairs.where("k >= need")).select("a", "b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -457,7 +458,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cross = cross.where("k >= need").select("a", "b")
 
     prefixes = centred_prefixes(anchored, sets)
-    for leaders in (LEADERS, 0):  # a few holders of each difference with its others; then what is still apart
+    # A few holders of each difference with its others, again with other holders; then what is still apart.
+    for leaders in (range(LEADERS), range(LEADERS, 2 * LEADERS), range(0)):
         pairs = centred_pairs(prefixes, comps, leaders)
         pairs = materialize((pairs if leaders else pairs.unionByName(cross)).join(known, ["a", "b"], "left_anti").distinct(), "open-pairs")
         more = materialize(links(compare(pairs, sets)), "more-edges")

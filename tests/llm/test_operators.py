@@ -397,3 +397,26 @@ def test_pipeline(spark, docs):
     assert len(ids) == len(set(ids)) and 8 in ids and not set(range(9, 20)) & set(ids)
     rest = corpus_pipeline.repeated_passages(spark, kept, "")
     assert rest.columns == docs.columns and rest.count() > 0
+
+
+def test_pipeline_stages_with_clashing_columns(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    names = ["score", "predicted", "n_words", "n_removed", "kept_sha256", "row_key", "carry"]
+    clash = docs.select("doc_id", "text", "lang", *[F.lit(7.0).alias(n) for n in names])
+    spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(60)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    item = ROWS[40][1]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, clash, f"file://{tmp_path}")
+        assert got.columns == clash.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == 7.0 for r in rows for n in names), name
+    assert corpus_pipeline.pack(spark, clash, "").agg(F.count_distinct("doc_id")).first()[0] == len({r[0] for r in ROWS} - {None})
+
+
+@pytest.mark.parametrize("op", [substring_dedup.remove_repeated_windows, suffix_dedup.remove_repeated_bytes])
+def test_many_equal_rows(spark, op):
+    df = spark.createDataFrame([(1, ROWS[-4][1])] * 300, SCHEMA.split(", lang")[0])
+    got = op(df)
+    assert got.count() == 300 and got.where("n_removed = 0").count() == 0

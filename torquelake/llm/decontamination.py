@@ -63,8 +63,8 @@ def canonical(text: Column) -> Column:
         return F.when(x.contains(NUMBER), F.regexp_replace(with_units, r"(?<=[0-9])[.,:/](?=[0-9])", "_")).otherwise(x)
 
     t = let(t, valued)
-    kept = rf"\p{{L}}\p{{M}}\p{{N}}{_PRIVATE}_"
-    t = F.regexp_replace(t, rf" *(?<!{UNIT})[^{kept} ][^{kept}]*| {{2,}}", " ")
+    kept = rf"a-z0-9\p{{L}}\p{{M}}\p{{N}}{_PRIVATE}_"
+    t = F.regexp_replace(t, rf" [^{kept}]+|(?![a-z])[^{kept} ](?<!{UNIT}[^{kept}])[^{kept}]*", " ")
     return F.trim(t)
 
 
@@ -72,31 +72,18 @@ def _template(values: Column) -> Column:
     return F.regexp_replace(values, f"([{_PRIVATE}])[^ ]*", "$1")
 
 
-def _hashes(t: Column, length: int) -> Column:
-    """Hash of every run of ``length`` tokens: by doubling for a power of two, else over slices of token hashes."""
-    h = F.transform(t, lambda x: F.xxhash64(x))
-    if length & (length - 1):
-        return let(h, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (length - 1)), lambda i: F.xxhash64(F.slice(h, i, length))))
-    width = 1
-    while width < length:
-        h = _doubled(h, width)
-        width *= 2
-    return h
-
-
-def _doubled(h: Column, width: int) -> Column:
-    return let(h, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - width, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + width))))
-
-
 def windows(df: DataFrame, key: str, text: str, exact: bool, length: int) -> DataFrame:
-    """key, pos, h of all windows of ``length`` tokens; with ``exact``, of texts whose windows have that length."""
-
-    def hashed(t: Column) -> Column:
-        wanted = (F.size(t) >= length) & ((F.least(F.size(t), F.lit(WINDOW)) == length) if exact else F.lit(True))
-        return F.when(wanted, _hashes(t, length))
-
-    every = let(F.split(_template(F.nullif(F.col(text), F.lit(""))), " "), hashed)
-    return df.select(F.col(key), every.alias("_all")).select(key, F.posexplode("_all").alias("pos", "h"))
+    """key, pos, h of all windows of ``length`` tokens; with ``exact``, of texts whose windows have that length.
+
+    Shifted copies of the token hashes are zipped and hashed by row, which stays in generated code.
+    """
+    tokens = F.split(_template(F.nullif(F.col(text), F.lit(""))), " ")
+    at = df.select(F.col(key), F.transform(tokens, lambda x: F.xxhash64(x)).alias("_h"))
+    if exact:
+        at = at.where(F.least(F.size("_h"), F.lit(WINDOW)) == length)
+    shifted = F.arrays_zip(F.col("_h").alias("_t0"), *[F.slice("_h", i + 1, F.size("_h")).alias(f"_t{i}") for i in range(1, length)])
+    each = at.where(F.size("_h") >= length).select(key, F.posexplode(shifted).alias("pos", "_w")).where(f"_w._t{length - 1} IS NOT NULL")
+    return each.select(key, "pos", F.xxhash64(*[F.col(f"_w._t{i}") for i in range(length)]).alias("h"))
 
 
 def slots_at(text: str, at: Column, length: Column) -> Column:

@@ -138,6 +138,16 @@ def test_dbc_source(spark, tmp_path):
     assert [(r.frame_idx, r.value) for r in signals.decode(f, d).collect()] == [(0, 2.0)]  # raw 1 is a named state
 
 
+def test_multiplexed_signals(spark, tmp_path):
+    lines = ["BO_ 790 MX: 8 ECU", ' SG_ S M : 0|4@1+ (1,0) [0|15] "" X', ' SG_ A m0 : 8|8@1+ (1,0) [0|255] "" X', ' SG_ B m3 : 8|8@1+ (2,0) [0|510] "" X', ' SG_ C : 16|8@1+ (1,0) [0|255] "" X']
+    (tmp_path / "m.dbc").write_text("\n".join(lines))
+    d = dbc.read_dbc(spark, str(tmp_path))
+    assert {r.signal: r.mux for r in d.collect()} == {"S": "M", "A": "m0", "B": "m3", "C": None}
+    f = spark.createDataFrame([(0, 0.0, "316", [0, 5, 9]), (1, 0.1, "316", [3, 5, 9]), (2, 0.2, "316", [1, 5, 9])], "frame_idx long, timestamp double, can_id string, data array<int>")
+    got = {(r.frame_idx, r.signal): r.value for r in signals.decode(f, d).collect()}
+    assert got == {(0, "S"): 0, (0, "A"): 5, (0, "C"): 9, (1, "S"): 3, (1, "B"): 10, (1, "C"): 9, (2, "S"): 1, (2, "C"): 9}
+
+
 def test_corpus(spark, tmp_path):
     case = '{"id":"case-1","dtc_codes":["p0301"],"brands":["Kia"],"engine_family":"e","system":"s","symptoms_fr":"a","symptoms_en":"b","root_cause_fr":"c","root_cause_en":"d","fix_fr":"e","fix_en":"f","confirmed":true}'
     bad = case.replace('"case-1"', '"case-2"').replace("p0301", "X1").replace('"fix_en":"f"', '"fix_en":" "')

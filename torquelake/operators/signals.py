@@ -34,11 +34,20 @@ def decode(frames: DataFrame, dbc: DataFrame) -> DataFrame:
     """Long format: a row per frame and numeric signal; frames of unknown ids drop out.
 
     Definitions of a car are some thousand rows at most, so they are broadcast; values with a named
-    choice are states, not numbers, and are left out.
+    choice are states, not numbers, and are left out. Where definitions have a ``mux`` column, a
+    multiplexed signal is decoded only in frames whose switch has its value.
     """
     ids = F.when(F.col("can_id").rlike("^[0-9A-Fa-f]+$"), F.conv("can_id", 16, 10).cast("long"))
     d = dbc.where(F.col("message").isNotNull()).withColumnRenamed("signal", "_signal")
+    if "mux" in dbc.columns:
+        switch = F.first(F.struct("start_bit", "length_bits", "byte_order"), True)
+        switches = d.where("mux = 'M'").groupBy("dbc", "frame_id").agg(switch.alias("_switch"))
+        d = d.join(switches, ["dbc", "frame_id"], "left")
     j = frames.withColumn("frame_id", ids).join(F.broadcast(d), "frame_id")
+    if "mux" in dbc.columns:
+        state = raw_value(F.col("data"), F.col("_switch.start_bit"), F.col("_switch.length_bits"), F.col("_switch.byte_order"), F.lit(False))
+        wanted = F.nullif(F.regexp_extract("mux", "^m([0-9]+)", 1), F.lit("")).cast("long")
+        j = j.where(wanted.isNull() | F.coalesce(state == wanted, F.lit(False)))
     j = j.withColumn("raw", raw_value(F.col("data"), F.col("start_bit"), F.col("length_bits"), F.col("byte_order"), F.col("is_signed")))
     numeric = F.col("raw").isNotNull() & (F.col("choices").isNull() | ~F.coalesce(F.map_contains_key("choices", F.col("raw")), F.lit(False)))
     return j.where(numeric).select("frame_idx", "timestamp", "dbc", "message", "can_id", F.col("_signal").alias("signal"), (F.col("raw") * F.col("scale") + F.col("offset")).alias("value"))

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "dbc string, load_mode string, error string, message string, frame_id long, msg_length int, signal string, pos int, start_bit int, length_bits int, "
-    "byte_order string, is_signed boolean, scale double, offset double, unit string, minimum double, maximum double, choices map<long,string>"
+    "byte_order string, is_signed boolean, scale double, offset double, unit string, minimum double, maximum double, choices map<long,string>, mux string"
 )
 _BO = re.compile(r"^BO_\s+(\d+)\s+(\w+)\s*:\s*(\d+)\s+(\w+)")
-_SG = re.compile(r'^\s*SG_\s+(\w+)(?:\s+(?:M|m\d+M?))?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*\(([^,]+),([^)]+)\)\s*\[([^|]*)\|([^\]]*)\]\s*"([^"]*)"')
+_SG = re.compile(r'^\s*SG_\s+(?P<name>\w+)(?:\s+(?P<mux>M|m\d+M?))?\s*:\s*(?P<start>\d+)\|(?P<length>\d+)@(?P<order>[01])(?P<sign>[+-])\s*\((?P<scale>[^,]+),(?P<offset>[^)]+)\)\s*\[(?P<lo>[^|]*)\|(?P<hi>[^\]]*)\]\s*"(?P<unit>[^"]*)"')
 _VAL = re.compile(r"^VAL_\s+(\d+)\s+(\w+)\s+(.*);")
 
 
 def parse(name: str, text: str) -> list[tuple]:
-    """Rows of one file. A malformed line is skipped and the file marked "permissive"; a file without messages carries an error row."""
+    """Rows of one file. A malformed line is skipped and the file marked "permissive"; a file without messages carries an error row.
+
+    ``mux`` is the multiplexer mark: "M" for a message's switch, "m3" for a signal that is present when the switch is 3.
+    """
     rows, mode, message, choices, pos = [], "strict", None, {}, 0
     for line in text.splitlines():
         if m := _VAL.match(line):
@@ -31,16 +34,16 @@ def parse(name: str, text: str) -> list[tuple]:
                 mode = "permissive"
                 continue
             try:
-                lo, hi = float(m[8] or 0), float(m[9] or 0)
+                lo, hi = float(m["lo"] or 0), float(m["hi"] or 0)
                 bounds = (None, None) if lo == hi == 0 else (lo, hi)
-                rows.append((*message, m[1], pos, int(m[2]), int(m[3]), "little" if m[4] == "1" else "big", m[5] == "-", float(m[6]), float(m[7]), m[10], *bounds, choices.get((message[1], m[1]))))
+                rows.append((*message, m["name"], pos, int(m["start"]), int(m["length"]), "little" if m["order"] == "1" else "big", m["sign"] == "-", float(m["scale"]), float(m["offset"]), m["unit"], *bounds, choices.get((message[1], m["name"])), m["mux"]))
                 pos += 1
             except ValueError:
                 mode = "permissive"
         elif line.startswith("BO_ "):
             mode = "permissive"
     if not rows:
-        return [(name, "failed", "no message definition found", *[None] * 15)]
+        return [(name, "failed", "no message definition found", *[None] * 16)]
     return [(name, mode, None, *r) for r in rows]
 
 

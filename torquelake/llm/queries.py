@@ -8,8 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torquelake.llm import decontamination, html_extraction, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
-from torquelake.llm.common import load
+from torquelake.llm import (
+    bpe_codec,
+    decontamination,
+    html_extraction,
+    importance_resampling,
+    jaccard_join,
+    language_id,
+    merkle_manifest,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+)
+from torquelake.llm.common import fold, load
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +81,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+_LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, docs = merkle_manifest, load(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(fold("doc_id", 3) == 0, m.leaf_digest(*[lowered if f == "text" else F.col(f) for f in fields]))
+    found = m.manifest(docs, m.leaf_digest(*[F.col(f) for f in fields]), "lang", ["doc_id"], {"tampered": tampered})
+    found = found.withColumn("folded_root", m.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = F.sha2(m.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe_codec.round_trip(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    ids, text = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), ids, text)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
@@ -78,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(%s, ''), '[^\x20\x09-\x0D]+')"
@@ -128,3 +169,59 @@ def _quality_sql() -> str:
 
 
 ORACLES["op5_quality_rules"] = _quality_sql()
+
+
+# crc32 of the bytes whose hexadecimal digits are {}, byte by byte over the table of the CTE ``crc``.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len({0}) // 2 + 1), lambda i: "
+    "(16 * (instr('0123456789ABCDEF', substr({0}, 2 * i - 1, 1)) - 1) + instr('0123456789ABCDEF', substr({0}, 2 * i, 1)) - 1)::BIGINT)), "
+    "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+)
+
+
+def _resampling_sql() -> str:
+    r, word = importance_resampling, r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    found = "SELECT {id}, regexp_extract_all(" + _LOWER_AZ.format("coalesce(\"text\", '')") + f", {word}) AS w FROM {{table}}"
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    ratio = f"((t + 1)::DOUBLE * (bt + {r.BUCKETS})::DOUBLE) / ((s + 1)::DOUBLE * (tt + {r.BUCKETS})::DOUBLE)"
+    return f"""WITH {_CRC_TABLE},
+      dw AS ({found.format(id="doc_id", table="documents")}),
+      df AS (SELECT doc_id, unnest({runs}) AS f FROM dw),
+      tf AS (SELECT unnest({runs}) AS f FROM ({found.format(id="item_id", table="benchmark")})),
+      b AS (SELECT f, {_CRC.format("h")} % {r.BUCKETS} AS b FROM (SELECT f, hex(f) AS h FROM (SELECT f FROM df UNION SELECT f FROM tf)), crc),
+      sn AS (SELECT b, count(*) AS n FROM df JOIN b USING (f) GROUP BY b),
+      tn AS (SELECT b, count(*) AS n FROM tf JOIN b USING (f) GROUP BY b),
+      tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM sn) AS bt, (SELECT coalesce(sum(n), 0) FROM tn) AS tt),
+      g AS (SELECT b, floor(1000 * ln({ratio}))::BIGINT AS g FROM (SELECT b, coalesce(sn.n, 0) AS s, coalesce(tn.n, 0) AS t FROM sn FULL JOIN tn USING (b)), tot),
+      wt AS (SELECT doc_id, count(*) AS n_features, sum(g)::BIGINT AS total FROM df JOIN b USING (f) JOIN g USING (b) GROUP BY doc_id),
+      sc AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+        floor(-1000 * ln(-ln((('0x' || substr(sha256('{r.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS gum FROM dw LEFT JOIN wt USING (doc_id)),
+      rk AS (SELECT doc_id, row_number() OVER (ORDER BY weight + gum DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE n_words >= {r.MIN_WORDS})
+      SELECT doc_id, n_features, weight, weight + gum AS score, CASE WHEN r <= {r.PERCENT} * n // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (doc_id)"""
+
+
+def _manifest_sql() -> str:
+    framed = lambda c: f"""coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"""
+    leaf = lambda text: "sha256(" + " || ".join([*map(framed, ("doc_id", "source", "lang", "n_chars")), framed(text)]) + ")"
+    up = "list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], '')))"
+    of = "nodes[8 * (i // 8) + 1:i]", "nodes[i + 2:8 * (i // 8) + 8]"
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+      leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('"text"')} AS leaf,
+        CASE WHEN {_CRC.format("hex(doc_id::VARCHAR)")} % 3 = 0 THEN {leaf(_LOWER_AZ.format('"text"'))} ELSE {leaf('"text"')} END AS tampered FROM documents, crc),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+      tree(g, level, nodes) AS (SELECT g, 0, list(leaf ORDER BY pos) FROM placed GROUP BY g UNION ALL SELECT g, level + 1, {up} FROM tree WHERE len(nodes) > 1),
+      subroots AS (SELECT g, nodes[1] AS subroot, level AS height FROM tree WHERE len(nodes) = 1),
+      places AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS gpos FROM subroots),
+      above(level, nodes) AS (SELECT 0, list(subroot ORDER BY g) FROM subroots UNION ALL SELECT level + 1, {up} FROM above WHERE len(nodes) > 1),
+      step AS (SELECT g, level, nodes, false AS top FROM tree WHERE len(nodes) > 1 UNION ALL SELECT g, height + above.level, nodes, true FROM subroots, above WHERE len(nodes) > 1),
+      walk(k, g, pos, gpos, height, level, proof, node) AS (SELECT row_number() OVER (), g, pos, gpos, height, 0, '', tampered FROM placed JOIN places USING (g) JOIN subroots USING (g)
+        UNION ALL SELECT k, g, pos, gpos, height, level + 1, proof || l || r, sha256(l || node || r) FROM (
+          SELECT k, g, pos, gpos, height, level, proof, node, array_to_string({of[0]}, '') AS l, array_to_string({of[1]}, '') AS r FROM (
+            SELECT walk.*, nodes, CASE WHEN top THEN gpos // (8 ^ (walk.level - height))::BIGINT ELSE pos // (8 ^ walk.level)::BIGINT END AS i FROM walk JOIN step ON walk.g = step.g AND walk.level = step.level))),
+      ends AS (SELECT g, pos, arg_max(proof, level) AS proof, arg_max(node, level) AS node FROM walk GROUP BY g, pos),
+      r AS (SELECT nodes[1] AS root FROM above WHERE len(nodes) = 1)
+      SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM placed JOIN ends USING (g, pos) JOIN subroots USING (g), r"""
+
+
+ORACLES |= {"op11_merkle_manifest": _manifest_sql(), "op12_importance_resampling": _resampling_sql()}

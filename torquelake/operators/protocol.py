@@ -56,22 +56,30 @@ def reassemble(frames: DataFrame, key: str, order: str, frame: str = "frame") ->
     """Messages of each ``key``: payload hex, or the error: no first frame, bad sequence, unknown type, too short.
 
     A message starts at a single or first frame; the window is per conversation, as the protocol's
-    state is; flow-control frames are ignored.
+    state is; flow-control frames are ignored. The first fault of a message is its error. Frames after a
+    whole message belong to none: one more row with its number says so.
     """
     kind = F.substring(frame, 1, 1)
     w = Window.partitionBy(key).orderBy(order)
     f = frames.where(kind != "3").withColumn("_k", kind).withColumn("_msg", F.sum(F.when(F.col("_k").isin("0", "1"), 1).otherwise(0)).over(w))
     inner = Window.partitionBy(key, "_msg").orderBy(order)
-    f = f.withColumn("_n", F.row_number().over(inner) - 1).withColumn("_i", F.col(order))
+    f = f.withColumn("_n", F.row_number().over(inner) - 1)
     seq = F.conv(F.substring(frame, 2, 1), 16, 10).cast("int")
     bad = F.when(~F.col("_k").isin("0", "1", "2"), "unknown frame type").when((F.col("_k") == "2") & (F.col("_msg") == 0), "no first frame").when((F.col("_k") == "2") & (seq != F.col("_n") % 16), "bad sequence")
     size = F.when(F.col("_k") == "0", F.conv(F.substring(frame, 2, 1), 16, 10)).when(F.col("_k") == "1", F.conv(F.substring(frame, 2, 3), 16, 10)).cast("int")
     body = F.when(F.col("_k") == "0", F.substring(frame, 3, 14)).when(F.col("_k") == "1", F.substring(frame, 5, 12)).otherwise(F.substring(frame, 3, 14))
-    g = f.select(key, "_msg", "_n", bad.alias("_bad"), size.alias("_size"), body.alias("_body")).groupBy(key, "_msg").agg(
-        F.max("_size").alias("size"), F.min("_bad").alias("error"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_body"))), lambda x: x["_body"]), "").alias("_all")
-    )
-    error = F.coalesce("error", F.when(F.length("_all") < 2 * F.col("size"), "incomplete"))
-    return g.select(key, F.col("_msg").alias("message"), F.when(error.isNull(), F.substr("_all", F.lit(1), 2 * F.col("size"))).alias("payload"), error.alias("error"))
+    f = f.select(key, order, "_msg", "_n", bad.alias("_bad"), size.alias("_size"), body.alias("_body"))
+    f = f.withColumn("_full", F.sum(F.length("_body")).over(inner) >= 2 * F.first("_size").over(inner))
+    g = f.groupBy(key, "_msg").agg(
+        F.max("_size").alias("size"), F.max("_n").alias("last"), F.min(F.when(F.col("_full"), F.col("_n"))).alias("full"), F.min(F.when(F.col("_bad").isNotNull(), F.struct("_n", "_bad"))).alias("bad"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_body"))), lambda x: x["_body"]), "").alias("_all"),
+    )
+    whole = F.col("full").isNotNull() & F.coalesce(F.col("bad._n") > F.col("full"), F.lit(True))
+    none = F.lit(None).cast("string")
+    main = F.struct(F.when(whole, F.substr("_all", F.lit(1), 2 * F.col("size"))).alias("payload"), F.when(~whole, F.coalesce("bad._bad", F.lit("incomplete"))).alias("error"))
+    stray = F.struct(none.alias("payload"), F.lit("no first frame").alias("error"))
+    found = F.when(whole & (F.col("last") > F.col("full")), F.array(main, stray)).otherwise(F.array(main))
+    return g.select(key, F.col("_msg").alias("message"), F.inline(found))
 
 
 def negative(sid: Column, nrc: int) -> Column:

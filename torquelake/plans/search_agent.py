@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from torquelake.operators import agent, dialogue, evaluate, forest, retrieval, tools, windows
 from torquelake.plans.proxy import frames, table
 from torquelake.sources import corpus
-from torquelake.streaming import bus as stream_bus
 
 QUERIES, ORACLES = {}, {}
 
@@ -278,12 +275,3 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconstruction_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stats(spark, sf_dir)
     return forest.reconstruction_scores(s.where("y = 0"), s, _STATS)
-
-
-@query("streaming_bus_counts", "SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS start_us, printf('%X', user_id) AS can_id, count(*) AS n_frames FROM events GROUP BY ALL")
-def streaming_bus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    raw = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
-    s = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.hex("user_id").alias("can_id"))
-    out = stream_bus.run_available(stream_bus.windowed_counts(s), "bus_" + uuid.uuid4().hex)
-    return out.select(F.unix_micros("start").alias("start_us"), "can_id", "n_frames")

@@ -150,21 +150,22 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("isotp_encode", f"""WITH {_PAYLOADS_SQL}, l AS (SELECT msg, h, length(h) // 2 AS n FROM payloads),
-  f AS (SELECT msg, h, n, unnest(range(CASE WHEN n <= 7 THEN 1 ELSE 1 + CAST(ceil((n - 6) / 7.0) AS BIGINT) END)) AS idx FROM l)
-  SELECT msg, CAST(idx AS INTEGER) AS idx, CASE WHEN n <= 7 THEN rpad(printf('%02X', n) || h, 16, 'A') WHEN idx = 0 THEN printf('%04X', 4096 + n) || h[1:12]
+  f AS (SELECT msg, h, n, unnest(CASE WHEN n <= 7 THEN [0] WHEN n <= 4095 THEN range(1 + CAST(ceil((n - 6) / 7.0) AS BIGINT)) ELSE [NULL] END) AS idx FROM l)
+  SELECT msg, CAST(idx AS INTEGER) AS idx, CASE WHEN idx IS NULL THEN NULL WHEN n <= 7 THEN rpad(printf('%02X', n) || h, 16, 'A') WHEN idx = 0 THEN printf('%04X', 4096 + n) || h[1:12]
     ELSE rpad('2' || printf('%X', idx % 16) || substr(h, 13 + (idx - 1) * 14, 14), 16, 'A') END AS frame FROM f""")
 def isotp_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _payloads(spark, sf_dir).select("msg", F.posexplode(protocol.encode_frames(F.col("h"))).alias("idx", "frame"))
+    return _payloads(spark, sf_dir).select("msg", F.posexplode_outer(protocol.encode_frames(F.col("h"))).alias("idx", "frame"))
 
 
-@query("isotp_frame_count", f"WITH {_PAYLOADS_SQL} SELECT msg, CASE WHEN length(h) // 2 <= 7 THEN 1 ELSE 1 + CAST(ceil((length(h) // 2 - 6) / 7.0) AS BIGINT) END AS n_frames FROM payloads")
+@query("isotp_frame_count", f"WITH {_PAYLOADS_SQL} SELECT msg, CASE WHEN length(h) // 2 <= 7 THEN 1 WHEN length(h) // 2 <= 4095 THEN 1 + CAST(ceil((length(h) // 2 - 6) / 7.0) AS BIGINT) END AS n_frames FROM payloads")
 def isotp_frame_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payloads(spark, sf_dir).select("msg", protocol.frame_count(F.length("h") / 2).alias("n_frames"))
 
 
-@query("isotp_reassemble", f"WITH {_PAYLOADS_SQL} SELECT msg, h AS payload FROM payloads")
+@query("isotp_reassemble", f"WITH {_PAYLOADS_SQL} SELECT msg, CASE WHEN length(h) // 2 <= 4095 THEN h END AS payload FROM payloads")
 def isotp_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol.reassemble(isotp_encode(spark, sf_dir), "msg", "idx").select("msg", "payload")
+    f = isotp_encode(spark, sf_dir)
+    return protocol.reassemble(f, "msg", "idx").select("msg", "payload").unionByName(f.where("frame IS NULL").select("msg", F.lit(None).cast("string").alias("payload")))
 
 
 _REQUESTS = ["1003", "10", "22F190", "22F1", "22AAAA", "1901FF", "1902FF", "1904030100", "1904999900", "1977", "14FFFFFF", "3E00", ""]

@@ -326,20 +326,61 @@ def test_html_boilerplate_is_left_out(mark):
     assert html_extraction.extract(page, []) == "a line of text that is longer than the other one"
 
 
-def test_html_keeps_captions_formulas_and_most_of_the_text():
+def test_html_keeps_captions_formulas_and_text_that_is_alone():
     page = "<article><p>See</p><figure><img><figcaption>A map</figcaption></figure><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>"
     assert html_extraction.extract(page, []) == "See A map where x=2 holds"
-    long = "most of the text of this page " * 5
-    for tag in ("form", "div class=sidebar", "div hidden", "span class=ad"):
-        page = f"<body><{tag}><div class=x><nav>menu</nav><p>{long}</p></div></{tag.split()[0]}><p>end</p></body>"
-        assert html_extraction.extract(page, ["html>body"]) == f"{long}end"
+    long = "all of the text of this page " * 5
+    for tag in ("form", "div hidden", "header", "div class=notice"):
+        page = f"<body><{tag}><div class=x><nav>menu</nav><p>{long}</p></div></{tag.split()[0]}></body>"
+        assert html_extraction.extract(page, []) == long.strip()
+    for tag in ("nav", "footer", "aside", "section class=comments", "div class=sidebar", "span class=ad"):
+        page = f"<body><{tag}><div class=x><p>{long}</p></div></{tag.split()[0]}></body>"
+        assert html_extraction.extract(page, []) == ""
+
+
+def test_html_words_across_images_and_several_containers():
+    assert html_extraction.extract("<body><p>foo<img>bar<wbr>baz<br>end</p></body>", []) == "foobarbaz end"
+    assert html_extraction.extract("<body><fieldset><p>in a box</p></fieldset></body>", []) == "in a box"
+    first, second = "the first part of the article " * 9, "and its end " * 4
+    page = f"<body><nav><a>m</a></nav><div class=part-one><p>{first}</p></div><div class=part-two><p>{second}</p></div><footer>f</footer></body>"
+    assert html_extraction.extract(page, []) == f"{first}{second}".strip()
+
+
+def plain_article(parts: list) -> str:
+    """The expected text of a page made of (is article, html, text) parts."""
+    return " ".join(t for article, _, t in parts if article)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_html_pages_with_more_boilerplate_than_article(spark, seed):
+    r, rows, want = random.Random(seed), [], {}
+    shapes = {"comments": "<section class=comments><p>{}</p><div><p>{}</p></div></section>", "footer": "<footer><p>{}</p><p>{}</p></footer>", "aside": "<aside><div>{}</div><p>{}</p></aside>", "nav": "<nav><ul><li>{}<li>{}</ul></nav>", "ad": "<div class='ad-728x90'><p>{} {}</p></div>", "form": "<form><p>{}</p><input name=q>{}</form>", "cookie": "<div id=cookie-notice>{} {}</div>"}
+    for k in range(12):
+        parts = []
+        for _ in range(r.randint(2, 5)):
+            t = sentence(r.randint(8, 25))
+            parts.append((True, f"<p>{t}", t))
+            if r.random() < 0.7:
+                parts.append((False, shapes[r.choice(list(shapes))].format(sentence(r.randint(10, 80)), sentence(r.randint(10, 80))), ""))
+        around = r.choice(["<article>{}</article>", "<main><div class='post-{}'>{{}}</div></main>".format(k), "<div class=content>{}</div>"])
+        rows.append((k, f"http://h{seed}.example/{k}", f"<html><head><title>x</title></head><body><header>Site</header>{around.format(''.join(h for _, h, _ in parts))}<footer>{sentence(60)}</footer><section class='comments'>{sentence(150)}</section></body></html>"))
+        want[k] = plain_article(parts)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "host": F.lit(1), "paths": F.lit(2), "votes": F.lit(3)})
+    assert {x.page_id: x.text for x in html_extraction.consensus_extract(df).collect()} == want
+
+
+def test_html_empty_table(spark):
+    assert html_extraction.consensus_extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_html_text_after_a_deep_nest():
     for n in (10, 600, 3000):
         for nest in ("<div>" * n + "deep" + "</div>" * n, "<div><b>" * n + "deep" + "</b></div>" * n):
             page = f"<body><div class=main>{nest}<p>after the nest</p></div><div>other</div></body>"
-            assert html_extraction.extract(page, ["html>body>div.main"]) == "deep after the nest"
+            assert html_extraction.extract(page, [["html>body>div.main"]]) == "deep after the nest"
+    for n in (10, 600):
+        page = "<body><div class=main>" + "<div>" * n + "deep<footer>foot <b>note</b></footer> down" + "</div>" * n + "<p>after the nest</p></div></body>"
+        assert html_extraction.extract(page, []) == "deep down after the nest"
 
 
 def test_decontamination(spark):

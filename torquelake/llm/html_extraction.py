@@ -5,17 +5,20 @@
 2. A container's path is the chain of tags with their classes, digits generalised. Pages vote in
    Spark: a path's share of its page's score is summed by host and path, pre-aggregated before the
    shuffle, and each host keeps its best few paths.
-3. Every page is read again and the text of its host's first path that it has is taken; boilerplate
-   inside (menus, headers, footers, forms, adverts, notices, reader comments ...) is left out, but
-   never an element that holds most of its page's text. A page that has none of the paths uses its
-   own best container.
+3. Every page is read again and the text of its host's first path that it has is taken, with that of
+   voted siblings of this path (an article in several containers); boilerplate inside (menus, headers,
+   footers, forms, adverts, notices, reader comments ...) is left out, however much text it holds. Only
+   where nothing at all would be left, headers, forms, notices and hidden elements count as text; menus,
+   footers, asides, adverts and comments never do. A page that has none of the paths uses its own best
+   container and its siblings.
 
 The winners are one row per host. They are broadcast only if they are at most ``MAX_BROADCAST_HOSTS``
 rows; otherwise pages join them by host, each host's rows spread over ``SALTS`` keys.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null url is a
-host of its own (empty); unclosed and wrongly nested tags are closed as a browser would nearly do;
-repeated rows are extracted each; an empty table gives an empty result; other columns are ignored.
+host of its own (empty); unclosed and wrongly nested tags are closed as a browser would nearly do; paths
+with equal votes rank by name; pages of any length and depth are read whole; repeated rows are extracted
+each; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ KEPT_PATHS, MAX_BROADCAST_HOSTS, SALTS = 5, 50_000, 64
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg canvas object select xmp".split())
-DROPPED = set("nav header footer aside form button menu dialog fieldset head".split())
+DROPPED = set("nav header footer aside form button menu dialog head".split())
+#: Void elements that end a block; the others stand within a line.
+BREAKS = {"br", "hr", "col"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Formulas run within a line.
 INLINE |= set("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mover munder munderover mfrac msqrt mroot mstyle mpadded mphantom menclose mmultiscripts".split())
@@ -51,6 +56,12 @@ BOILERPLATE = set(
     "replies search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
 )
 
+#: Of these elements and names, those that are text where a page has no other.
+SOFT_TAGS, SOFT_ROLES = {"header", "form"}, {"banner", "form", "dialog", "alert"}
+SOFT = set("banner header masthead modal notice notices popup promo promotion skip toc topbar widget widgets".split())
+#: A sibling of the chosen path needs this share of its score.
+SIBLING = 0.1
+
 #: Words that may stand beside them in one class, id or role ("site-footer"); any other word, such as no, has, with or free, makes it something else.
 BESIDE = set(
     "area bar body bottom box button buttons container content fixed form global group header head holder icon icons inner item items left link links list main outer page panel post posts "
@@ -64,73 +75,72 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "chars", "links", "blocks", "anchor", "within")
+    __slots__ = ("tag", "path", "parent", "dropped", "chars", "links", "blocks", "anchor")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, anchor: bool, within: int = -1):
-        self.tag, self.path, self.parent, self.dropped, self.anchor, self.within = tag, path, parent, dropped, anchor, within
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, anchor: bool):
+        self.tag, self.path, self.parent, self.dropped, self.anchor = tag, path, parent, dropped, anchor
         self.chars = self.links = 0
         self.blocks: list[int] = []
 
 
-def _boilerplate(value: str) -> bool:
-    """Whether one of the names is made of boilerplate words, and words that may stand beside them, only."""
+def _boilerplate(value: str) -> int:
+    """2 if one of the names is made of boilerplate words, and words that may stand beside them, only; 1 if those are soft ones; else 0."""
+    found = 0
     for name in value.split():
         parts = {w for w in _SPLIT.split(name) if len(w) > 1}
         if not BOILERPLATE.isdisjoint(parts) and parts <= BOILERPLATE | BESIDE:
-            return True
-    return False
+            found = max(found, 1 if parts & BOILERPLATE <= SOFT else 2)
+    return found
 
 
-def _marks(tag: str, attrs: str) -> tuple[str, bool]:
-    """The tag with its generalised classes, and whether the element is boilerplate or hidden."""
+def _marks(tag: str, attrs: str) -> tuple[str, int]:
+    """The tag with its generalised classes, and 2 for boilerplate, 1 for what may be text where nothing else is, 0 for the rest."""
+    drop = (1 if tag in SOFT_TAGS else 2) if tag in DROPPED else 0
     if not attrs or not attrs.strip():
-        return tag, tag in DROPPED
-    name, drop = tag, tag in DROPPED
+        return tag, drop
+    name = tag
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            drop = True
+            drop = max(drop, 1)
         elif key in ("class", "id", "role"):
             if key == "class" and value.strip():
                 name = tag + "".join("." + c for c in sorted(set(_DIGITS.sub("#", value).split())))
-            if tag not in ("html", "body", "article", "main") and _boilerplate(value):
-                drop = True
+            if tag not in ("html", "body", "article", "main"):
+                drop = max(drop, _boilerplate(value))
             if key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
-                drop = True
+                drop = max(drop, 1 if value in SOFT_ROLES else 2)
     return name, drop
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The containers of a page and its text blocks in order, each with the element that holds it.
 
-    Boilerplate elements that hold most of the page's text are read as others in a second pass.
+    Boilerplate is left out. If no text is left, a second pass leaves out only what can't be the article.
     """
-    containers, blocks, most = _parse(page, frozenset())
-    if most:
-        containers, blocks, _ = _parse(page, most)
-    return containers, blocks
+    containers, blocks = _parse(page, 1)
+    return (containers, blocks) if blocks else _parse(page, 2)
 
 
-def _parse(page: str, spared: frozenset[int]) -> tuple[list[Node], list[tuple[Node, str]], frozenset[int]]:
-    """Containers, blocks, and the numbers of the boilerplate elements that hold over half of the text; ``spared`` ones are none."""
+def _parse(page: str, least: int) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """Containers and blocks without the elements marked ``least`` or more."""
     root = Node("html", "html", None, False, False)
     stack, containers, blocks = [root], [], []
     pending: list[str] = []
     owner = root
     linked = 0
-    #: Of each boilerplate element: the one around it, and the characters of text in it.
-    around: list[int] = []
-    held: list[int] = []
-    total = 0
-    #: Open elements below DEPTH, and how many there are of each tag.
-    over: list[str] = []
+    #: Open elements below DEPTH and whether each is boilerplate, how many there are of each tag, and of boilerplate ones.
+    over: list[tuple[str, bool]] = []
     n_over: dict[str, int] = {}
+    n_dropped = 0
 
     def leave(tag: str) -> None:
         """Close the deep elements up to the last one of ``tag``."""
+        nonlocal n_dropped
         while over:
-            last = over.pop()
+            last, dropped = over.pop()
             n_over[last] -= 1
+            n_dropped -= dropped
             if last == tag:
                 return
 
@@ -152,13 +162,9 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Node], list[tuple[No
         return node
 
     def text(s: str) -> None:
-        nonlocal linked, owner, total
-        if s:
+        nonlocal linked, owner
+        if s and not n_dropped:
             top = stack[-1]
-            chars = sum(map(len, s.split()))
-            total += chars
-            if top.within >= 0:
-                held[top.within] += chars
             if top.dropped and top.tag in INLINE and not block(top).dropped:
                 return  # an inline notice or advert
             if not pending:
@@ -194,6 +200,7 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Node], list[tuple[No
                     del stack[k:]
                     over.clear()
                     n_over.clear()
+                    n_dropped = 0
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
@@ -202,14 +209,16 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Node], list[tuple[No
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else (n if tag in ("script", "style") else at)
             continue
-        if tag not in INLINE:
-            flush()
         if tag in VOID:
+            if tag in BREAKS:
+                flush()
             continue
+        if tag not in INLINE:
+            flush()
         closes = AUTO_CLOSE.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
         if over:
-            if over[-1] in closes:
-                leave(over[-1])
+            if over[-1][0] in closes:
+                leave(over[-1][0])
         elif closes:
             stop = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "blockquote"}
             for k in range(len(stack) - 1, 0, -1):
@@ -224,27 +233,21 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Node], list[tuple[No
             del stack[1:]
             over.clear()
             n_over.clear()
+            n_dropped = 0
+        name, mark = _marks(tag, m[3])
+        drop = mark >= least
         if len(stack) >= DEPTH:
-            over.append(tag)
+            over.append((tag, drop))
             n_over[tag] = n_over.get(tag, 0) + 1
+            n_dropped += drop
             continue
-        name, drop = _marks(tag, m[3])
         up = stack[-1]
-        within = up.within
-        if drop:
-            within = len(around)
-            around.append(up.within)
-            held.append(0)
-            drop = within not in spared
-        node = Node(tag, up.path if tag in INLINE else f"{up.path}>{name}", up, drop or up.dropped, up.anchor or tag == "a", within)
+        node = Node(tag, up.path if tag in INLINE else f"{up.path}>{name}", up, drop or up.dropped, up.anchor or tag == "a")
         stack.append(node)
         if tag in CONTAINERS and not node.dropped:
             containers.append(node)
     flush()
-    for k in range(len(around) - 1, -1, -1):
-        if around[k] >= 0:
-            held[around[k]] += held[k]
-    return containers, blocks, frozenset(k for k, c in enumerate(held) if 2 * c > total)
+    return containers, blocks
 
 
 def _container(node: Node) -> Node | None:
@@ -272,27 +275,33 @@ def scores(page: str) -> dict[str, float]:
     return out
 
 
-def extract(page: str, paths: list[str]) -> str:
-    """Text of the page's elements with the first of ``paths`` that has text, else of its own best container, else all that is not boilerplate."""
+def _with_siblings(ranked: list[tuple[str, float]]) -> list[list[str]]:
+    """Each path, best first, with those after it that have the same parent and a share of its score."""
+    parent = lambda p: p.rpartition(">")[0]
+    return [[p, *(q for q, w in ranked[k + 1 :] if parent(q) == parent(p) and w >= SIBLING * v)] for k, (p, v) in enumerate(ranked)]
+
+
+def extract(page: str, paths: list[list[str]]) -> str:
+    """Text of the page's elements with the first of ``paths`` (each with its siblings) that has text, else of its own best container and its siblings."""
     _, blocks = parse(page)
     if not blocks:
         return ""
 
-    def of(path: str) -> list[str]:
-        below = path + ">"
-        return [t for node, t in blocks if node.path == path or node.path.startswith(below)]
+    def of(some: list[str]) -> list[str]:
+        below = tuple(p + ">" for p in some)
+        return [t for node, t in blocks if node.path in some or node.path.startswith(below)]
 
-    for path in paths:
-        if found := of(path):
-            return " ".join(found)
+    for some in paths:
+        if of(some[:1]):
+            return " ".join(of(some))
     mine = scores(page)
     if mine:
-        return " ".join(of(max(sorted(mine), key=mine.get)))
+        return " ".join(of(_with_siblings(sorted(mine.items(), key=lambda x: (-x[1], x[0])))[0]))
     return " ".join(t for _, t in blocks)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, paths: each host's best paths, by the summed share of its pages' scores."""
+    """host, paths: each host's best paths with their votes, by the summed share of its pages' scores."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,7 +316,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = pages.select("_host", "html").mapInArrow(vote, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     rank = F.row_number().over(_by_host())
     best = votes.withColumn("_n", rank).where(F.col("_n") <= KEPT_PATHS)
-    return best.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "path"))), lambda x: x["path"]).alias("paths"))
+    return best.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "path", "votes"))), lambda x: F.struct(x["path"], x["votes"])).alias("paths"))
 
 
 def _by_host():
@@ -332,7 +341,8 @@ def consensus_extract(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(p or "", paths or []) for p, paths in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            voted = [_with_siblings([(x["path"], x["votes"]) for x in paths or ()]) for paths in b.column(4).to_pylist()]
+            texts = [extract(p or "", paths) for p, paths in zip(b.column(2).to_pylist(), voted, strict=True)]
             cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "host"])
 

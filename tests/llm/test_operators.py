@@ -212,7 +212,7 @@ def test_packing(docs):
     ids = {k: [np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4") for r in ROWS if r[0] == k] for k in {r[0] for r in ROWS}}
     got = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True).collect()
     for k, v in ids.items():
-        mine = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens, r.ids) for r in got if r.doc_id == k)
+        mine = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in got if r.doc_id == k)
         assert sum(r[1] for r in mine) == sum(map(len, v))
         for start, length, crc, total, piece in mine:
             part = v[0][start : start + length]
@@ -226,6 +226,24 @@ def test_packing(docs):
         assert sum(n for _, n in v) <= 2048 and len(v) <= packing.SEGMENTS
 
 
+def test_packing_pads_little_whatever_the_partitions(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(r.choice([5, 60, 400, 900, 5000])))) for i in range(700)]
+    sizes = None
+    for n in (1, 8, 64, 211):
+        got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), vocabulary("word_bpe_49k.json")).collect()
+        assert sum(x.length for x in got) == (sizes := sizes or sum(x.length for x in got))
+        assert 1 - sizes / (2048 * len({x.sequence_id for x in got})) < 0.01
+        again = collections.defaultdict(int)
+        for x in got:
+            again[x.sequence_id] += x.length
+        assert max(again.values()) <= 2048
+
+
+def test_packing_empty_table(spark):
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), vocabulary("word_bpe_49k.json")).count() == 0
+
+
 def test_piece_memory_beyond_its_cap(monkeypatch):
     monkeypatch.setattr(packing.Ids, "KEEP", 3)
     ids = packing.Ids(vocabulary("word_bpe_49k.json"))

@@ -3,13 +3,17 @@
 A sequence has three limits at once: tokens, segments (pieces) and loss-bearing tokens. Into an
 open sequence goes, of the pieces at hand that fit every limit, the one whose demand vector has the
 largest dot product with what is left of the limits. When nothing fits, the largest piece is cut to
-fill the rest. Each task packs the documents of its own partition from a bounded pool, so nothing is
-shuffled, memory does not grow with the input, and a task that runs again makes the same pieces.
+fill the rest. Each task packs the documents of its own partition from a bounded pool, so texts are not
+shuffled, memory does not grow with the input, and a task that runs again makes the same pieces. What is
+left in a task's pool at its end (at most ``POOL`` pieces, with their ids) goes with what other tasks left
+to a second packing step, whose tasks are as many as these pieces fill, in a fixed order; so padding does
+not follow the number of partitions.
 
 Loss-bearing: every id but a document's first, which nothing precedes.
 
 Defined results: a null text has no ids but the end id; repeated rows are packed each; a null
-doc_id is kept; an empty table gives an empty result; other columns are ignored.
+doc_id is kept; texts of any length are cut into as many pieces as they need; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from torquelake.llm.common import tune
+from torquelake.llm.common import materialize, tune
 
+#: Tokens that each task of the second step packs, about.
+SECOND = 1 << 20
 #: Limits of a sequence, the pieces a task has at hand, and the shortest piece worth a cut. A sequence of
 #: few long pieces meets LOSS first, one of many short documents SEGMENTS, the others TOKENS.
 TOKENS, SEGMENTS, LOSS, POOL, MIN_CUT = 2048, 10, 2045, 256, 24
@@ -150,6 +156,10 @@ class Packer:
             self.sequence += 1
             return
 
+    def left(self) -> list:
+        """The items in the pool."""
+        return [i for i in self.items if i is not None]
+
     def close(self) -> Iterator[tuple]:
         while (self.demand[:, 0] > 0).any():
             yield from self.fill()
@@ -164,28 +174,30 @@ def _cut(piece: tuple, n: int) -> tuple[tuple, tuple, int]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: What the first step makes: placed pieces, and with a null sequence_id and their ids those left over.
+PIECES = f"{SCHEMA}, ids binary, task int, left int"
+
+
+def _batch(placed: list[tuple], base: int, with_ids: bool, left: list[tuple] = (), task: int = 0) -> pa.RecordBatch:
+    pieces = [p for p, _, _ in placed] + list(left)
+    n, k = len(placed), len(left)
+    numbers = [
+        [p[0] for p in pieces], [p[1] for p in pieces], [len(p[2]) // 4 for p in pieces], [zlib.crc32(p[2]) for p in pieces], [p[3] for p in pieces],
+        [base + s for _, s, _ in placed] + [None] * k, [o for _, _, o in placed] + [None] * k,
+    ]
+    ids = [p[2] if with_ids else None for p, _, _ in placed] + [p[2] for p in left]
+    cols = [*(pa.array(v, pa.int64()) for v in numbers), pa.array(ids, pa.binary()), pa.array([task] * (n + k), pa.int32()), pa.array([None] * n + list(range(k)), pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PIECES.split(", ")])
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, with_ids: bool = False) -> DataFrame:
-    """Tokenize every text of ``docs`` and pack the pieces; ``with_ids`` adds each piece's ids as an array."""
+    """Tokenize every text of ``docs`` and pack the pieces; ``with_ids`` adds each piece's ids as little-endian unsigned 32-bit integers."""
     tune(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base = ids_of(vocabulary), TaskContext.get().partitionId() << 40
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, task = ids_of(vocabulary), TaskContext.get().partitionId()
         packer = Packer(_cut, tokens, segments, loss)
-
-        def batch(placed: list[tuple]) -> pa.RecordBatch:
-            pieces = [p for p, _, _ in placed]
-            cols = [
-                pa.array([p[0] for p in pieces], pa.int64()), pa.array([p[1] for p in pieces], pa.int64()),
-                pa.array([len(p[2]) // 4 for p in pieces], pa.int64()), pa.array([zlib.crc32(p[2]) for p in pieces], pa.int64()),
-                pa.array([p[3] for p in pieces], pa.int64()), pa.array([base + s for _, s, _ in placed], pa.int64()), pa.array([o for _, _, o in placed], pa.int64()),
-            ]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            if with_ids:
-                cols.append(pa.array([np.frombuffer(p[2], "<u4").astype(np.int32) for p in pieces], pa.list_(pa.int32())))
-                names.append("ids")
-            return pa.RecordBatch.from_arrays(cols, names)
-
         for b in batches:
             done: list[tuple] = []
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -194,9 +206,27 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
                 n = len(raw) // 4
                 done += packer.add((doc, 0, raw, n), n, n - 1)
             if done:
-                yield batch(done)
+                yield _batch(done, task << 40, with_ids)
+        if left := packer.left():
+            yield _batch([], 0, with_ids, left, task)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (1 << 62) + (TaskContext.get().partitionId() << 40)
+        packer = Packer(_cut, tokens, segments, loss)
+        for b in batches:
+            done = []
+            for piece in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
+                n = len(piece[2]) // 4
+                done += packer.add(piece, n, n - (piece[1] == 0))
+            if done:
+                yield _batch(done, base, with_ids)
         if done := list(packer.close()):
-            yield batch(done)
+            yield _batch(done, base, with_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    pieces = materialize(rows.mapInArrow(first, PIECES), "pieces")
+    over = pieces.where("sequence_id IS NULL")
+    tasks = 1 + (over.agg(F.sum("length")).first()[0] or 0) // SECOND
+    spread = over.repartition(tasks, F.xxhash64("task", "left")).sortWithinPartitions("task", "left")
+    out = pieces.where("sequence_id IS NOT NULL").unionByName(spread.mapInArrow(second, PIECES))
+    return out.select(*[c.split()[0] for c in SCHEMA.split(", ")], *(["ids"] if with_ids else []))

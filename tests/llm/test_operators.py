@@ -135,9 +135,42 @@ def test_suffix_dedup(docs, hot, monkeypatch):
 
 def test_previous_factors():
     data = np.frombuffer(b"abcabcabc", np.uint8)
-    ranks = suffix_dedup.prefix_ranks(data, 3)
-    starts = np.arange(7)
-    assert suffix_dedup.previous_factors(starts, ranks[:7]).tolist() == [-1, -1, -1, 0, 1, 2, 3]
+    size, factor = suffix_dedup.previous_factors(np.arange(9), data, 99, 9 - np.arange(9))
+    assert size.tolist() == [0, 0, 0, 6, 5, 4, 3, 2, 1]
+    assert factor.tolist()[:4] == [-1, -1, -1, 0]
+
+
+@pytest.mark.parametrize("cap", [3, 8, 20, 400])
+def test_previous_factors_against_all_pairs(cap):
+    r = np.random.default_rng(cap)
+    for n in (1, 2, 50, 300):
+        raw = r.integers(97, 99 + n % 3, n).astype(np.uint8)
+        raw[n // 2 :] = raw[: n - n // 2]
+        room = n - np.arange(n)
+        size, factor = suffix_dedup.previous_factors(np.arange(n), raw, cap, room)
+        text = raw.tobytes()
+        lcp = lambda i, j: next((k for k in range(min(cap, n - max(i, j))) if text[i + k] != text[j + k]), min(cap, n - max(i, j)))  # noqa: E731, B023
+        assert size.tolist() == [max((lcp(i, j) for j in range(i)), default=0) for i in range(n)]
+        assert all(f < i and lcp(i, f) == z for i, (z, f) in enumerate(zip(size.tolist(), factor.tolist(), strict=True)) if z)
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_suffix_dedup_keeps_the_first_copy(docs, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    raws = [(r[1] or "").encode() for r in ROWS]
+    first: dict = {}
+    for row, x in zip(ROWS, raws, strict=True):
+        for i in range(len(x) - 399):
+            first[x[i : i + 400]] = min(first.get(x[i : i + 400], (10**9, 0)), (row[0] or 0, i))
+    expected = []
+    for row, x in zip(ROWS, raws, strict=True):  # identical rows are one place
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - 399):
+            if first[x[i : i + 400]] != (row[0] or 0, i):
+                gone[i : i + 400] = True
+        expected.append((row[0], np.frombuffer(x, np.uint8)[~gone].tobytes()))
+    got = suffix_dedup.remove_repeated_bytes(docs, keep_first=True).collect()
+    assert count_of((r.doc_id, bytes(r.kept)) for r in got) == count_of(expected)
 
 
 def expected_groups(rows):

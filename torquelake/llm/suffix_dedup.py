@@ -1,16 +1,21 @@
 """Suffix-array deduplication by longest-previous-factor arrays: strings of 400 bytes.
 
-Candidate regions that share a minimiser meet in one bucket (see ``repeats``). There a suffix array
-over all window starts is built, and the previous and next smaller positions in suffix order give
-every position's earlier match: the longest-previous-factor array, capped at 400. A start is removed
-if it has a previous factor of 400 bytes (a later copy) or is some later start's factor (the first
-copy, which ``keep_first`` leaves). Equal strings are merged before, with their count: all their
-starts are each other's factors. In the buckets of minimisers that are too frequent to be gathered
+Candidate regions that share a minimiser meet in one bucket (see ``repeats``). There
+
+1. prefix doubling sorts all window starts by their suffixes, as far as 400 bytes;
+2. for every start the previous and the next smaller position in suffix order are found, since one of
+   the two has the longest common prefix with it among all earlier positions;
+3. common prefixes with both, from the ranks of the doublings, give the longest-previous-factor array,
+   capped at 400, and where each factor begins;
+4. a start whose factor has 400 bytes is a later copy; one that is such a factor and has none itself is
+   the first copy, which ``keep_first`` leaves.
+
+Equal strings are merged before, with their count: all their starts are each other's factors. In the buckets of minimisers that are too frequent to be gathered
 (``repeats.HOT``) equal windows find each other by digest instead.
 
 Defined results: a null text counts as empty; texts under 400 bytes lose nothing by themselves;
 repeated rows are occurrences of each other; an empty table gives an empty result; other columns are
-ignored. Removal works on bytes, so what is left need not be valid UTF-8.
+ignored; texts of any length are taken whole. Removal works on bytes, so what is left need not be valid UTF-8.
 """
 
 from __future__ import annotations
@@ -27,18 +32,19 @@ from torquelake.llm.repeats import Units, covered, repeated_spans
 BYTES = Units("bytes", 400, 32)
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all positions by their first ``length`` bytes, by prefix doubling; zeros follow the end."""
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks of all positions by their first ``width`` bytes) for widths that double up to ``length``; zeros follow the end."""
     key = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     for width in (1, 2, 4):  # eight bytes in one number
         key = (key[:-width] << np.uint64(8 * width)) | key[width:]
-    rank, width = _dense(key[: len(data)] >> np.uint64(8 * max(0, 8 - length))), 8
+    width = min(8, length)
+    levels = [(width, _dense(key[: len(data)] >> np.uint64(8 * (8 - width))))]
     while width < length:
-        step = min(width, length - width)
+        step, rank = min(width, length - width), levels[-1][1]
         ahead = np.concatenate([rank[step:] + 1, np.zeros(step, np.int64)])[: len(rank)]
-        rank = _dense(rank * (int(rank.max()) + 2) + ahead)
         width += step
-    return rank
+        levels.append((width, _dense(rank * (int(rank.max()) + 2) + ahead)))
+    return levels
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -48,19 +54,59 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def previous_factors(positions: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """For each place in ``positions`` the place in it of an earlier position with equal rank, or -1.
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each index of different ``values`` the last index before it with a smaller value, or -1.
 
-    Suffixes stand by rank, equal ones by falling position; so a suffix's next smaller position, if it
-    is as good as the cap, is its neighbour's, and none that stands before it is smaller.
+    All start from their neighbour; where that is larger, its own candidate comes next, since all between are larger still.
     """
-    order = np.argsort(ranks * (int(positions.max()) + 1) + (positions.max() - positions))
-    same = ranks[order[1:]] == ranks[order[:-1]]
-    out = np.full(len(positions), -1)
-    out[order[:-1][same]] = order[1:][same]
+    out = np.arange(-1, len(values) - 1)
+    open_ = np.flatnonzero((out >= 0) & (values[out] > values)) if len(values) else out
+    while len(open_):
+        out[open_] = out[out[open_]]
+        to = out[open_]
+        open_ = open_[(to >= 0) & (values[to] > values[open_])]
     return out
 
 
+def common_prefix(a: np.ndarray, b: np.ndarray, data: np.ndarray, levels: list[tuple[int, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each pair of suffixes, at most ``most``: from the widest level down, then by bytes."""
+    n = len(data)
+    out = np.zeros(len(a), np.int64)
+    same = levels[-1][1][a] == levels[-1][1][b]
+    out[same] = levels[-1][0]
+    todo = np.flatnonzero(~same)
+    for width, rank in reversed(levels[:-1]):
+        x, y = a[todo] + out[todo], b[todo] + out[todo]
+        hit = (np.maximum(x, y) < n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
+        out[todo[hit]] += width
+    for _ in range(levels[0][0] - 1):
+        x, y = a[todo] + out[todo], b[todo] + out[todo]
+        hit = (np.maximum(x, y) < n) & (data[np.minimum(x, n - 1)] == data[np.minimum(y, n - 1)])
+        todo = todo[hit]
+        out[todo] += 1
+    return np.minimum(out, most)
+
+
+def previous_factors(positions: np.ndarray, data: np.ndarray, length: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array of the suffixes at rising ``positions``: lengths, and each factor's place in ``positions`` (-1: none).
+
+    Lengths are capped at ``length`` and at ``room``, the bytes before the end of a position's string.
+    """
+    levels = prefix_ranks(data, length)
+    order = np.argsort(levels[-1][1][positions], kind="stable")  # equal ones by rising position
+    before = previous_smaller(order)
+    after = previous_smaller(order[::-1])[::-1]
+    after = np.where(after >= 0, len(order) - 1 - after, -1)
+    best, factor = np.zeros(len(positions), np.int64), np.full(len(positions), -1)
+    for near in (before, after):
+        at = np.flatnonzero(near >= 0)
+        mine, other = order[at], order[near[at]]
+        size = common_prefix(positions[mine], positions[other], data, levels, np.minimum(np.minimum(room[mine], room[other]), length))
+        better = size > best[mine]
+        best[mine[better]], factor[mine[better]] = size[better], other[better]
+    return best, factor
+
+
 def longest_previous(strings: list[bytes], counts: list[int], k: int = BYTES.k) -> list[tuple[list[int], list[int]]]:
     """Offsets of windows that occur again in the bucket, and of those with no earlier holder.
 
@@ -71,8 +117,8 @@ def longest_previous(strings: list[bytes], counts: list[int], k: int = BYTES.k)
     n = lens - k + 1
     offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     starts = np.repeat(begin, n) + offsets
-    factor = previous_factors(starts, prefix_ranks(np.frombuffer(b"".join(strings), np.uint8), k)[starts])
-    later = factor >= 0
+    size, factor = previous_factors(starts, np.frombuffer(b"".join(strings), np.uint8), k, np.repeat(lens, n) - offsets)
+    later = size >= k
     repeated = later | np.repeat(np.array(counts) > 1, n)
     repeated[factor[later]] = True
     cuts = np.cumsum(n)[:-1]

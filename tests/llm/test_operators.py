@@ -312,6 +312,24 @@ def test_sharding(docs, spark):
     assert len({r.shard for r in rows if r.doc_id < 300}) == 1
 
 
+def test_sharding_cuts_overfull_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "KEYS_PER_RANGE", 2)
+    monkeypatch.setattr(sharding, "MIN_RANGES", 256)
+    found = []
+    whole = sharding._parts
+    monkeypatch.setattr(sharding, "_parts", lambda *a: found.append(whole(*a)) or found[0])
+    # Many texts of unequal size, and one text that is a quarter of all bytes.
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.lit("the same text " * 40)).otherwise(F.repeat(F.hex(F.xxhash64("id")), (F.col("id") % 40).cast("int"))).alias("text"))
+    got = sharding.shard_by_bytes(rows).collect()
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert any(n > 1 for _, n in found[0])
+    assert len(got) == 5000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(size.values()) < 1.15 * min(size.values())
+
+
 def test_language_id(spark):
     rows = [(i, sentence(30, "en" if i % 2 else "fr"), "en" if i % 2 else "fr") for i in range(300)] + [(900, None, "en"), (901, "12 !!", None), (902, "", "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -4,8 +4,9 @@
    size); the key is a hash of the text, so equal texts share a key.
 2. Quantiles of the sample split the key space into fine ranges; keys drawn again and again
    (large groups of equal texts) become units of their own.
-3. Exact bytes and rows of every unit are counted; overfull ranges are subdivided by a second hash
-   of the key, a group larger than a whole shard by doc_id.
+3. Exact bytes of every unit are counted. A range that holds over ``OVERFULL`` times its share is
+   subdivided by a second hash of the key, a large group by doc_id, both into as many parts as they hold
+   shares; the parts are counted again.
 4. Consecutive ranges are dealt to shards up to equal bytes, large groups first.
 5. A row's slot is its unit's offset in the shard plus its row number within the unit, so no task
    ever sorts a whole shard.
@@ -14,7 +15,8 @@ Equal texts stay in one shard unless their group is larger than a shard. Only (d
 key) moves; texts are read once.
 
 Defined results: a null text has size 1 and the checksum of no bytes; repeated rows are all placed;
-an empty table gives an empty result; a null doc_id is placed like any other row.
+an empty table gives an empty result; a null doc_id is placed like any other row; texts of any length count
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from torquelake.llm.common import materialize, text_or_empty
 
 #: Fine ranges at least, and rows for each range beyond; sampled keys for each range.
 MIN_RANGES, ROWS_PER_RANGE, MAX_RANGES, KEYS_PER_RANGE = 1024, 250_000, 16_384, 16
-#: A key drawn so often is a large group; such a unit, and an overfull range, has so many parts.
-HEAVY_DRAWS, PARTS = 48, 64
+#: A key drawn so often is a large group. A range is overfull beyond so many times the bytes of an equal share.
+HEAVY_DRAWS, OVERFULL = 48, 2
 
 
 def _sample(rows: DataFrame, n: int) -> list[int]:
@@ -80,6 +82,13 @@ def _deal(units: list[tuple[int, int, int, int]], n_shards: int, heavy_from: int
     return out
 
 
+def _parts(rows: DataFrame, ranges: int, heavy_from: int) -> list[tuple[int, int]]:
+    """(unit, parts) of the overfull ranges and of the large groups with more than a range's share of the bytes."""
+    sizes = rows.groupBy("unit").agg(F.sum("size").alias("size")).collect()  # one row a range or large group
+    share = max(1, sum(r["size"] for r in sizes) // ranges)
+    return [(r.unit, -(-r["size"] // share)) for r in sizes if r["size"] > share * (1 if r.unit >= heavy_from else OVERFULL)]
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its shard and slot: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     t = text_or_empty(text)
@@ -96,10 +105,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", t
     mine = rows.join(F.broadcast(table), "key", "left")  # at most ranges * KEYS_PER_RANGE / HEAVY_DRAWS rows
     first = len(bounds) + 1
     mine = mine.withColumn("unit", F.when(F.col("heavy").isNotNull(), F.col("heavy") + first).otherwise(_range_of(F.col("key"), bounds)))
-    # Ranges are dealt by their exact bytes, so parts of one range may go to two shards; equal texts share a part.
-    part = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PARTS))).otherwise(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(4)))
-    mine = mine.withColumn("part", part.cast("int"))
-    units = [tuple(r) for r in mine.groupBy("unit", "part").agg(F.sum("size"), F.count("*")).collect()]  # bounded by the ranges
+    parts = spark.createDataFrame(_parts(mine, ranges, first), "unit int, parts int")
+    # Equal texts of a range share a part; those of a large group are told apart by doc_id.
+    of_group = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts"))
+    of_range = F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts"))
+    mine = mine.join(F.broadcast(parts), "unit", "left")  # overfull units only, so fewer than ranges
+    mine = mine.withColumn("part", F.coalesce(F.when(F.col("heavy").isNotNull(), of_group).otherwise(of_range), F.lit(0)).cast("int"))
+    units = [tuple(r) for r in mine.groupBy("unit", "part").agg(F.sum("size"), F.count("*")).collect()]  # bounded by the ranges and their parts
     plan = spark.createDataFrame(_deal(units, n_shards, first), T.StructType([T.StructField(c, T.IntegerType() if c != "offset" else T.LongType()) for c in ("unit", "part", "shard", "offset")]))
     within = F.row_number().over(Window.partitionBy("unit", "part").orderBy("key", "doc_id")) - 1
     return (

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from torquelake import cli
-from torquelake.operators import detect, dialogue, evaluate, forest, retrieval, runners, signals, tools, vectors, windows
+from torquelake.functions import dims
+from torquelake.operators import agent, detect, dialogue, evaluate, forest, quantiles, retrieval, runners, signals, tools, vectors, windows
 from torquelake.sources import corpus
 
 CASES = [
@@ -54,77 +55,49 @@ def test_load_cases_raises(spark, tmp_path):
 
 
 def test_queries_and_scenarios(spark, tmp_path):
-    q = tmp_path / "q.json"
-    q.write_text(json.dumps({"queries": [{"query_id": "a", "text": "coil", "lang": "en", "expected_cases": ["case-002"]}]}))
-    assert corpus.load_queries(spark, str(q)).first().expected_cases == ["case-002"]
-    s = [{"run_id": "r", "question": "why", "expected_tools": [], "must_decline": True}]
-    for k, body in enumerate((s, {"scenarios": s})):
-        p = tmp_path / f"s{k}.json"
+    def put(body) -> str:
+        p = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
         p.write_text(json.dumps(body))
-        assert [r.question for r in corpus.load_scenarios(spark, str(p)).collect()] == ["why"]
-
-
-def test_collection(spark, tmp_path):
-    c = vectors.Collection(spark, f"file://{tmp_path}/points", 3).ensure("lang string")
-    assert c.count() == 0 and c.ensure().exists()
-    rows = lambda *r: spark.createDataFrame([*r], "doc_id string, embedding array<float>, lang string")
-    assert c.upsert(rows(("a", [1.0, 0.0, 0.0], "fr"), ("b", [0.0, 1.0, 0.0], "en"))) == 2
-    assert c.upsert(rows(("b", [0.0, 0.0, 1.0], "en"), ("b", [0.0, 0.0, 1.0], "en"))) == 1
-    assert c.count() == 2
-    hits = c.search(spark.createDataFrame([("q", [0.0, 0.0, 2.0])], "query string, q array<float>"), 1).collect()
-    assert [(h.doc, h.rank) for h in hits] == [("b", 1)]
-    for bad in (("c", [1.0], "fr"), ("c", None, "fr"), (None, [1.0, 0.0, 0.0], "fr")):
+        return str(p)
+
+    asked = {"id": "a", "lang": "en", "query": "coil", "relevant_cases": ["case-002"]}
+    got = corpus.load_queries(spark, put({"schema_version": 1, "description": "", "queries": [asked, asked | {"id": "b"}]})).collect()
+    assert [(r.query_id, r.text, r.lang, r.expected_cases) for r in got] == [(k, "coil", "en", ["case-002"]) for k in "ab"]
+    scenario = {"id": "s", "type": "trap", "input": "why", "expected_tools": [], "must_decline": True}
+    for body in ([scenario], {"scenarios": [scenario]}):
+        (r,) = corpus.load_scenarios(spark, put(body)).collect()
+        assert (r.run_id, r.type, r.question, r.expected_tools, r.expected_cases, r.must_decline) == ("s", "trap", "why", [], [], True)
+    for load, body in ((corpus.load_queries, {"queries": []}), (corpus.load_queries, {"queries": [{"query_id": "a", "text": "coil"}]}), (corpus.load_scenarios, {"scenarios": [{"run_id": "r", "question": "why"}]}), (corpus.load_scenarios, [])):
         with pytest.raises(ValueError):
-            c.upsert(rows(bad))
-    with pytest.raises(ValueError):
-        vectors.Collection(spark, str(tmp_path), 0)
-
-
-def test_index_and_hybrid(spark, cases, tmp_path):
-    c = vectors.Collection(spark, f"file://{tmp_path}/idx", 16)
-    n, hits = vectors.build_index(c, cases, model, " worn catalyst ")
-    assert n == 6 and hits.count() == 3
-    r = vectors.Retriever(cases, c, lambda q: vectors.encode(q, model, kind="query"))
-    q = spark.createDataFrame([("q1", "bad coil misfire")], "query_id string, text string")
-    got = r.search(q, 3).orderBy("rank").collect()
-    assert got[0].case_id == "case-002" and len({g.case_id for g in got}) == 3
-    lexical = vectors.Retriever(cases)
-    assert lexical.search(spark.createDataFrame([("q", "zzz")], "query_id string, text string"), 3).count() == 3  # without a common word, all score 0
-    text = tools.call(spark, "search_repair_cases", {"query": "no communication", "top_k": "9"}, lexical)
-    assert text.startswith("1. [case-003]") and "Fault codes: U0100" in text
-    assert tools.call(spark, "search_repair_cases", {"query": " "}, lexical).startswith("Error") and tools.call(spark, "nothing", {}).startswith("Error")
-    r.close()
-    lexical.close()
-
-
-def test_tokens_unaccent(spark):
-    df = spark.createDataFrame([("É́té ﬁltre ǆ Ĳssel naïve état ①",)], "t string")
-    assert df.select(retrieval.tokens(F.col("t"))).first()[0][:2] == ["ete", "filtre"]
-    assert df.select(F.array_contains(retrieval.tokens(F.col("t")), "etat")).first()[0]
-
-
-def test_schemas_and_replies(spark):
-    names = [s["function"]["name"] for s in dialogue.json_schemas()]
-    assert names == ["search_repair_cases", "decode_dtc", "decode_vin", "analyze_can_log"]
-    assert dialogue.json_schemas()[0]["function"]["parameters"]["required"] == ["query"]
-    calls = [{"function": {"name": "decode_dtc", "arguments": '{"code": "P0420"}'}}, {"function": {"name": "decode_vin", "arguments": "{}"}}]
-    rows = [json.dumps({"tool_calls": calls}), "plain words", json.dumps({"tool_calls": [{"id": "x", "function": {"name": "f", "arguments": "[1]"}}]}), json.dumps({"tool_calls": [{"function": {"name": "f"}}]})]
-    got = dialogue.parse_replies(spark.createDataFrame([(r,) for r in rows], "reply string").coalesce(1)).collect()
-    assert (got[0].call_id, got[0].tool, got[0].arguments) == ("call_decode_dtc", "decode_dtc", '{"code":"P0420"}')
-    assert (got[1].content, got[1].tool) == ("plain words", None)
-    assert got[2].call_id == "x" and got[2].arguments is None and got[2].call_error
-    assert got[3].arguments == "{}"
-
-
-def test_pairs_notices_results(spark):
-    trace = spark.createDataFrame([("r", 1, "t", "{}", "c1", "x"), ("r", 2, "t", "{}", "c2", "x"), ("r", 3, "u", "{}", "c3", "y")], "run_id string, step int, tool string, arguments string, call_id string, result string")
-    said = [r.result for r in dialogue.with_notice(trace).orderBy("step").collect()]
-    assert said[0] == "x" and said[1].startswith("Notice") and said[2] == "y"
-    runs = spark.createDataFrame([("r", "see case-7.", "answered", 4)], "run_id string, answer string, stop_reason string, turns int")
-    one = dialogue.results(runs, trace).first()
-    assert one.tools_used == ["t", "u"] and one.cases_cited == ["case-7"] and not one.hit_turn_limit
-    left = dialogue.paired(trace.drop("result"), trace.where("call_id <> 'c2'").select("run_id", "call_id", "result"))
-    assert [r.result for r in left.orderBy("step").collect()] == ["x", None, "y"]
+            load(spark, put(body))
+
+
+def test_agent_summary_leaves_degraded_runs_out(spark):
+    good = {"run_id": "b", "answer": "see case-1", "tools_used": ["t"], "expected_tools": ["t"], "cases_grounded": ["case-1"], "expected_cases": ["case-1"], "expected_keywords": ["see"], "must_decline": False, "latency_ms": 5.0}
+    bad = good | {"run_id": "a", "answer": dims.DEGRADED_PREFIX, "tools_used": [], "cases_grounded": [], "latency_ms": 900.0}
+    warm = good | {"run_id": "c", "latency_ms": 7.0}
+    schema = "run_id string, answer string, tools_used array<string>, expected_tools array<string>, cases_grounded array<string>, expected_cases array<string>, expected_keywords array<string>, must_decline boolean, latency_ms double"
+    rows = lambda *r: agent.score_scenarios(spark.createDataFrame([tuple(x[c.split()[0]] for c in schema.split(", ")) for x in r], schema))
+    (s,) = evaluate.agent_summary(rows(good, bad, warm)).collect()
+    assert (s.n, s.degraded, s.degraded_ids, s.tools_exact, s.case_recall, s.citations_grounded, s.keyword_coverage) == (2, 1, ["a"], 1.0, 1.0, 1.0, 1.0)
+    assert (s.cold_ms, s.warm_mean_ms, s.warm_median_ms, s.decline_rate) == (5.0, 7.0, 7.0, None)
+    (s,) = evaluate.agent_summary(rows(bad)).collect()
+    assert (s.n, s.degraded, s.tools_exact, s.warm_median_ms) == (0, 1, None, None)
+
+
+@pytest.mark.parametrize("few,fan", [(10_000, 4096), (3, 4)])
+def test_quantiles_without_a_sort(spark, few, fan):
+    r = np.random.default_rng(fan)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 500), (None, 40)) for v in np.round(r.normal(size=n) * 10.0 ** r.integers(-3, 3), 2)]
+    rows += [("c", 1.5)] * 300 + [("c", None), ("d", None), ("e", -1.7e308), ("e", 1.7e308), ("e", 0.0), ("c", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    qs = {"q0": 0.0, "q1": 0.01, "q5": 0.5, "q98": 0.98, "q100": 1.0}
+    want = {g: [np.percentile([v for k, v in rows if k == g and v is not None and v == v], 100 * q) for q in qs.values()] for g in ("a", "b", "c", None)}
+    got = {x.g: [x[k] for k in qs] for x in quantiles.exact(df, "v", qs, ["g"], few, fan).collect()}
+    assert set(got) == {"a", "b", "c", "e", None} and got["e"][2] == 0.0
+    assert all(np.allclose(got[g], w, rtol=1e-12) for g, w in want.items())
+    assert quantiles.exact(df.where("false"), "v", qs).collect()[0].asDict() == dict.fromkeys(qs)
+    assert quantiles.exact(df.where("g = 'c'"), "v", {"m": 0.5}, None, few, fan).first().m == pytest.approx(want["c"][2])
 
 
 def test_answer_loop(spark):
@@ -140,7 +113,8 @@ def test_answer_loop(spark):
 def test_retrieval_evaluation(spark, tmp_path):
     hits = spark.createDataFrame([("a", "q1", "x", 1), ("a", "q2", "n", 1), ("b", "q1", "n", 1), ("b", "q1", "x", 2), ("b", "q2", "n", 1)], "system string, query string, item string, rank int")
     rel = spark.createDataFrame([("q1", "x"), ("q2", "y")], "query string, item string")
-    rows = evaluate.per_query(hits, rel)
+    rows = evaluate.per_query(hits, rel, ["a", "b"])
+    assert evaluate.per_query(hits, rel, ["a", "none"]).where("system = 'none' AND first_rank IS NULL").count() == 2
     assert {(r.system, r["query"]): r.first_rank for r in rows.collect()} == {("a", "q1"): 1, ("b", "q1"): 2, ("a", "q2"): None, ("b", "q2"): None}
     assert evaluate.failures(rows).count() == 2
     assert [tuple(r) for r in evaluate.divergence(rows).collect()] == [("q1", ["a"])]

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from torquelake.operators import quantiles
+from torquelake.session import stored
+
 
 def calibrate_upper(scores: DataFrame, column: str = "score", percentile: float = 98.0) -> DataFrame:
     """Exact, linearly interpolated percentile."""
     if not 0 < percentile < 100:
         raise ValueError("percentile must lie between 0 and 100")
-    return scores.agg(F.percentile(column, percentile / 100).alias("threshold"))
+    return quantiles.exact(scores, column, {"threshold": percentile / 100})
 
 
 def calibrate_bilateral(scores: DataFrame, column: str = "score", low: float = 1.0, high: float = 99.0) -> DataFrame:
     if not 0 <= low < high <= 100:
         raise ValueError("0 <= low < high <= 100")
-    return scores.agg(F.percentile(column, low / 100).alias("low"), F.percentile(column, high / 100).alias("high"))
+    return quantiles.exact(scores, column, {"low": low / 100, "high": high / 100})
 
 
 def predict_upper(score: Column, threshold: Column) -> Column:
@@ -50,9 +53,8 @@ def roc_auc(df: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
     then across ranges, so the global order is never built in one task.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    ranged = by.repartitionByRange("s").withColumn("_part", F.spark_partition_id())
+    ranged = stored(by.repartitionByRange("s").withColumn("_part", F.spark_partition_id()), "score-counts")
     inner = Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.persist()
     before = ranged.withColumn("below", F.coalesce(F.sum("n").over(inner), F.lit(0)))
     parts = ranged.groupBy("_part").agg(F.sum("n").alias("tn"))
     lower = parts.withColumn("base", F.coalesce(F.sum("tn").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "base")

@@ -8,19 +8,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from torquelake.operators import quantiles
 
-def per_query(hits: DataFrame, relevant: DataFrame, top_k: int = 5) -> DataFrame:
-    """system, query, first_rank of every asked (system, query), NULL where no hit is relevant.
+
+def per_query(hits: DataFrame, relevant: DataFrame, systems: list[str], top_k: int = 5) -> DataFrame:
+    """system, query, first_rank of every query for each of ``systems``, NULL where no hit is relevant.
 
     ``hits``: system, query, item, rank; ``relevant``: query, item. A system that returns nothing for a
-    query misses it.
+    query, or nothing at all, misses it.
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     found = hits.where(F.col("rank") <= top_k).join(relevant.distinct(), ["query", "item"]).groupBy("system", "query").agg(F.min("rank").alias("first_rank"))
-    asked = relevant.select("query").distinct().withColumn("system", F.explode(F.array(*[F.lit(s) for s in sorted(r[0] for r in hits.select("system").distinct().collect())])))
+    asked = relevant.select("query").distinct().withColumn("system", F.explode(F.array(*[F.lit(s) for s in systems])))
     return asked.join(found, ["system", "query"], "left").select("system", "query", "first_rank")
 
 
@@ -36,24 +37,34 @@ def divergence(rows: DataFrame) -> DataFrame:
     return per.where("kinds > 1").select("query", "right")
 
 
-def agent_summary(scored: DataFrame, order: str = "run_id") -> DataFrame:
-    """One row over scored runs; shares are NULL without a denominator, and latencies leave out the cold first run in ``order``."""
-    share = lambda c: F.bround(F.avg(F.col(c).cast("int")), 4)
-    ratio = lambda a, b: F.bround(F.try_divide(F.sum(a).cast("double"), F.sum(b)), 4)
-    n = F.size("cases_claimed")
-    missed, found = F.size("cases_expected_missed"), F.size("cases_expected_found")
-    cold = F.min(F.struct(order, "latency_ms"))
-    first = scored.agg(cold.alias("c")).select(F.col(f"c.{order}").alias("_first"), F.col("c.latency_ms").alias("cold_ms"))
+def agent_summary(runs: DataFrame, order: str = "run_id") -> DataFrame:
+    """One row over scored runs. Degraded runs, which never reached the model, are counted and left out of all else.
+
+    Shares are NULL where there is nothing to score; latencies leave out the first scored run in ``order``, which
+    loads the model. A column that ``runs`` lacks (turns, stop_reason) gives NULL.
+    """
+    have = set(runs.columns)
+    of = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    degraded = F.coalesce(of("degraded", "boolean"), F.lit(False))
+    ids = runs.where(degraded).agg(F.count("*").alias("degraded"), F.array_sort(F.collect_list(F.col(order).cast("string"))).alias("degraded_ids"))
+    scored = runs.where(~degraded)
+    first = scored.agg(F.min(F.struct(order, "latency_ms")).alias("c")).select(F.col(f"c.{order}").alias("_first"), F.col("c.latency_ms").alias("cold_ms"))
     rows = scored.join(F.broadcast(first))  # one row
     warm = F.when(F.col(order) != F.col("_first"), F.col("latency_ms"))
-    trap = F.col("must_decline")
-    return rows.agg(
-        F.count("*").alias("n"), share("tools_exact").alias("tools_exact"), share("tools_covered").alias("tools_covered"),
-        ratio(n - F.size("cases_hallucinated"), n).alias("citations_grounded"), F.sum(F.size("cases_hallucinated")).alias("hallucinated"), ratio(found, found + missed).alias("case_recall"),
+    trap, lexical, structural = (F.coalesce(F.col(c), F.lit(False)) for c in ("must_decline", "declined_lexically", "declined_structurally"))
+    share = lambda c: F.bround(F.avg(c.cast("int")), 4)
+    ratio = lambda a, b: F.bround(F.try_divide(F.sum(a).cast("double"), F.sum(b)), 4)
+    missed, found = F.size("cases_expected_missed"), F.size("cases_expected_found")
+    out = rows.agg(
+        F.count("*").alias("n"), share(F.col("tools_exact")).alias("tools_exact"), share(F.col("tools_covered")).alias("tools_covered"),
+        share(F.size("cases_hallucinated") == 0).alias("citations_grounded"), F.coalesce(F.sum(F.size("cases_hallucinated")), F.lit(0)).alias("hallucinated"), ratio(found, found + missed).alias("case_recall"),
         ratio(F.size("keywords_hit"), F.size("expected_keywords")).alias("keyword_coverage"), F.count_if(trap).alias("traps"),
-        F.count_if(trap & F.col("declined_structurally")).alias("declined_structurally"), F.count_if(trap & F.col("declined_lexically")).alias("declined_lexically"),
-        F.count_if("degraded").alias("degraded"), F.max("cold_ms").alias("cold_ms"), F.bround(F.avg(warm), 1).alias("warm_mean_ms"), F.bround(F.median(warm), 1).alias("warm_median_ms"), F.max(warm).alias("warm_max_ms"),
+        F.count_if(trap & structural).alias("declined_structurally"), F.count_if(trap & lexical).alias("declined_lexically"), share(F.when(trap, structural)).alias("decline_rate"),
+        F.count_if(trap & lexical & ~structural).alias("lexical_only"), F.count_if(trap & structural & ~lexical).alias("structural_only"), F.count_if(~trap).alias("normal_runs"),
+        F.count_if(of("stop_reason", "string") == "turn_limit").alias("turn_limit"), F.bround(F.avg(of("turns", "int")), 2).alias("mean_turns"),
+        F.max("cold_ms").alias("cold_ms"), F.bround(F.avg(warm), 1).alias("warm_mean_ms"), F.max(warm).alias("warm_max_ms"),
     )
+    return out.join(ids).join(quantiles.exact(rows.select(warm.alias("warm")), "warm", {"warm_median_ms": 0.5})).withColumn("warm_median_ms", F.bround("warm_median_ms", 1))  # one row each
 
 
 def repeated_total(trace: DataFrame) -> DataFrame:
@@ -67,12 +78,10 @@ def retry_degraded(runs: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def latency_by(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Mean and the value at index round-half-even(0.95 (n - 1)): values are counted first, so a group is as long as it has different values."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    n = counted.groupBy(by).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v"))
-    r = counted.withColumn("_to", upto).join(n, by).withColumn("_i", F.bround(0.95 * (F.col("n") - 1)))
-    return r.where((F.col("_i") < F.col("_to")) & (F.col("_i") >= F.col("_to") - F.col("c"))).select(by, "n", "mean", F.col("v").alias("p95"))
+    """n, mean and p95 of each group, p95 the value at index round-half-even(0.95 (n - 1)) in order."""
+    sums = df.where(F.col(column).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
+    ranked = quantiles.at_ranks(df, column, sums.select(by, F.bround(0.95 * (F.col("n") - 1)).cast("long").alias("rank")), [by])
+    return sums.join(ranked.select(by, F.col("value").alias("p95")), sums[by].eqNullSafe(ranked[by])).select(sums[by], "n", "mean", "p95")
 
 
 def write_json(path: str, summary: DataFrame, **tables: DataFrame) -> Path:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from torquelake.functions import dims
 from torquelake.operators import agent, dialogue, evaluate, forest, retrieval, tools, windows
 from torquelake.plans.proxy import frames, table
 from torquelake.sources import corpus
@@ -197,7 +198,8 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("conv_id", "turn", F.array_join(agent.cases_in(F.col("answer")), ",").alias("claimed"), F.array_join(agent.cases_cited(F.col("answer")), ",").alias("cited"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, degraded: Column | None = None) -> DataFrame:
+    """Scored runs, one per turn; where ``degraded`` holds the model gave no answer."""
     one = lambda *v: F.array(*map(F.lit, v))
     r = _answers(spark, sf_dir).withColumns(
         {
@@ -205,6 +207,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             "cases_grounded": F.array(F.concat(F.lit("case-"), F.col("turn"))), "expected_cases": F.array(F.lit("case-1")), "expected_keywords": one("EGR", "zzz"), "must_decline": F.col("turn") % 3 == 0,
         }
     )
+    if degraded is not None:
+        r = r.withColumn("answer", F.when(degraded, F.lit(f"{dims.DEGRADED_PREFIX} (timeout)")).otherwise(F.col("answer")))
     return agent.score_scenarios(r)
 
 
@@ -214,15 +218,20 @@ def agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", "turn", "tools_exact", F.array_join("cases_hallucinated", ",").alias("hallucinated"), "declined_lexically", F.size("keywords_hit").alias("n_keywords"))
 
 
-@query("agent_summary", """WITH r AS (SELECT conv_id * 1000 + turn AS run_id, conv_id, turn, (conv_id * 7 + turn * 13) % 1000 AS ms, CASE WHEN conv_id % 20 = turn THEN 1 ELSE 2 END AS claimed FROM conversations), c AS (SELECT min(run_id) AS f FROM r)
-  SELECT count(*) AS n, round_even(avg(CAST(turn % 2 = 0 AS INTEGER)), 4) AS tools_exact, 1.0::DOUBLE AS tools_covered, round_even(count(*) / sum(claimed)::DOUBLE, 4) AS citations_grounded, CAST(sum(claimed - 1) AS BIGINT) AS hallucinated,
+# One conversation in nine never reached the model.
+@query("agent_summary", """WITH every AS (SELECT conv_id * 1000 + turn AS run_id, conv_id, turn, (conv_id * 7 + turn * 13) % 1000 AS ms, CASE WHEN conv_id % 20 = turn THEN 1 ELSE 2 END AS claimed, conv_id % 9 = 4 AS degraded FROM conversations),
+  r AS (SELECT * FROM every WHERE NOT degraded), c AS (SELECT min(run_id) AS f FROM r),
+  d AS (SELECT count(*) AS degraded, coalesce(array_to_string(list_sort(list(run_id::VARCHAR)), ','), '') AS degraded_ids FROM every WHERE degraded),
+  a AS (SELECT count(*) AS n, round_even(avg(CAST(turn % 2 = 0 AS INTEGER)), 4) AS tools_exact, 1.0::DOUBLE AS tools_covered, round_even(avg(CAST(claimed = 1 AS INTEGER)), 4) AS citations_grounded, CAST(sum(claimed - 1) AS BIGINT) AS hallucinated,
     round_even(count(*) FILTER (turn = 1) / count(*)::DOUBLE, 4) AS case_recall, round_even(count(*) FILTER (turn % 3 <> 0) / (2 * count(*))::DOUBLE, 4) AS keyword_coverage, count(*) FILTER (turn % 3 = 0) AS traps, 0::BIGINT AS declined_structurally,
-    count(*) FILTER (turn % 3 = 0) AS declined_lexically, 0::BIGINT AS degraded, max(ms) FILTER (run_id = f) AS cold_ms, round_even(avg(ms) FILTER (run_id <> f), 1) AS warm_mean_ms, round_even(median(ms) FILTER (run_id <> f), 1) AS warm_median_ms,
-    max(ms) FILTER (run_id <> f) AS warm_max_ms FROM r, c""")
+    count(*) FILTER (turn % 3 = 0) AS declined_lexically, 0.0::DOUBLE AS decline_rate, count(*) FILTER (turn % 3 = 0) AS lexical_only, 0::BIGINT AS structural_only, count(*) FILTER (turn % 3 <> 0) AS normal_runs,
+    count(*) FILTER (turn % 5 = 4) AS turn_limit, round_even(avg(turn % 5 + 1), 2) AS mean_turns,
+    max(ms) FILTER (run_id = f) AS cold_ms, round_even(avg(ms) FILTER (run_id <> f), 1) AS warm_mean_ms, round_even(median(ms) FILTER (run_id <> f), 1) AS warm_median_ms, max(ms) FILTER (run_id <> f) AS warm_max_ms FROM r, c)
+  SELECT * FROM a, d""")
 def agent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("conv_id")
-    s = _scored(spark, sf_dir).withColumns({"run_id": k * 1000 + F.col("turn"), "latency_ms": (k * 7 + F.col("turn") * 13) % 1000, "cases_claimed": agent.cases_in(F.col("answer"))})
-    return evaluate.agent_summary(s)
+    k, turn = F.col("conv_id"), F.col("turn")
+    s = _scored(spark, sf_dir, k % 9 == 4).withColumns({"run_id": k * 1000 + turn, "latency_ms": (k * 7 + turn * 13) % 1000, "turns": turn % 5 + 1, "stop_reason": F.when(turn % 5 == 4, "turn_limit").otherwise("answered")})
+    return evaluate.agent_summary(s).withColumn("degraded_ids", F.array_join("degraded_ids", ","))
 
 
 @query("agent_repeat_total", """SELECT count(*) FILTER (i > 1) AS repeated_calls FROM (SELECT row_number() OVER (PARTITION BY conv_id, role, length("text") % 5 ORDER BY turn) AS i FROM conversations)""")

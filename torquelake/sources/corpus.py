@@ -68,19 +68,30 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases
 
 
+def _items(spark: SparkSession, path: str, name: str, fields: str, required: list[str]) -> DataFrame:
+    """The entries of a file that is a list of them or {``name``: [...]}; raises without any, and where a required field is missing."""
+    inner = ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
+    raw = spark.read.schema(f"{fields}, {name} array<struct<{inner}>>").option("multiLine", True).json(path)
+    columns = [f.split()[0] for f in fields.split(", ")]
+    own = F.when(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull(), F.array(F.struct(*columns)))
+    items = raw.select(F.inline(F.coalesce(name, own)))
+    if items.isEmpty():
+        raise ValueError(f"{path}: no {name}")
+    missing = items.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first().asDict()
+    if bad := [c for c, n in missing.items() if n]:
+        raise ValueError(f"{path}: {name} without {', '.join(bad)}")
+    return items
+
+
 def load_queries(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, text, lang, expected_cases of a file {queries: [...]}; raises without any."""
-    fields = "query_id: string, text: string, lang: string, expected_cases: array<string>"
-    q = spark.read.schema(f"queries array<struct<{fields}>>").option("multiLine", True).json(path).select(F.inline("queries"))
-    if q.isEmpty():
-        raise ValueError(f"{path}: no queries")
-    return q
+    """query_id, lang, text, expected_cases of a file {queries: [{id, lang, query, relevant_cases}]}."""
+    q = _items(spark, path, "queries", "id string, lang string, query string, relevant_cases array<string>", ["id", "lang", "query", "relevant_cases"])
+    return q.select(F.col("id").alias("query_id"), "lang", F.col("query").alias("text"), F.col("relevant_cases").alias("expected_cases"))
 
 
 def load_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenarios of a file that is a list of them, or {scenarios: [...]}."""
-    fields = "run_id string, question string, expected_tools array<string>, expected_cases array<string>, expected_keywords array<string>, must_decline boolean"
-    inner = ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
-    raw = spark.read.schema(f"{fields}, scenarios array<struct<{inner}>>").option("multiLine", True).json(path)
-    own = F.array(F.struct(*[f.split()[0] for f in fields.split(", ")]))
-    return raw.select(F.inline(F.coalesce("scenarios", own))).where("question IS NOT NULL")
+    """run_id, type, question and expectations of a file {scenarios: [{id, type, input, expected_..., must_decline}]}; lists that are not given are empty."""
+    fields = "id string, type string, input string, expected_tools array<string>, expected_cases array<string>, expected_keywords array<string>, must_decline boolean"
+    s = _items(spark, path, "scenarios", fields, ["id", "type", "input"])
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("expected_tools", "expected_cases", "expected_keywords")}
+    return s.withColumns(lists | {"must_decline": F.coalesce("must_decline", F.lit(False))}).withColumnsRenamed({"id": "run_id", "input": "question"})

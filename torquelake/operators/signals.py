@@ -10,47 +10,66 @@ from pyspark.sql.window import Window
 from torquelake.functions import dims
 
 
-def pack(data: Column) -> Column:
-    """An array of up to eight bytes as a big-endian 64-bit integer, padded with zeros at the end."""
-    padded = F.slice(F.concat(data, F.array_repeat(F.lit(0), 8)), 1, 8)
-    return F.aggregate(padded, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 8).bitwiseOR(x.cast("long")))
+def _word(bytes_: Column) -> Column:
+    """The first eight bytes of an array as a big-endian 64-bit integer."""
+    return F.aggregate(F.slice(bytes_, 1, 8), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 8).bitwiseOR(x.cast("long")))
 
 
-def raw_value(data: Column, start: Column, length: Column, byte_order: Column, signed: Column) -> Column:
-    """The raw integer of a signal of up to 63 bits (64 if signed); NULL if it does not fit in eight bytes."""
-    big, little = pack(data), pack(F.reverse(F.slice(F.concat(data, F.array_repeat(F.lit(0), 8)), 1, 8)))
-    msb = 8 * F.floor(start / 8) + (7 - start % 8)
+def raw_value(data: Column, start: Column, length: Column, byte_order: Column, signed: Column, size: Column | None = None) -> Column:
+    """The raw integer of a signal of 1 to 64 bits in a frame of any length; unsigned values of 64 bits keep their bits (see ``number``).
+
+    Short frames count as padded with zeros to eight bytes, or to ``size``; NULL if the signal ends beyond. The nine bytes that
+    can hold a signal are cut out: little-endian ones from the start bit's byte up, big-endian ones along the walk from the
+    most significant bit.
+    """
     is_little = byte_order == "little"
-    shift = F.when(is_little, start).otherwise(64 - msb - length).cast("int")
-    fits = (length >= 1) & (length <= 64) & (shift >= 0) & (shift + length <= 64)
-    word = F.call_function("shiftrightunsigned", F.when(is_little, little).otherwise(big), F.when(fits, shift).otherwise(F.lit(0)))
-    ones = F.call_function("shiftleft", F.lit(-1).cast("long"), F.when(length < 64, length).otherwise(F.lit(0)).cast("int"))
-    masked = F.when(length == 64, word).otherwise(word.bitwiseAND(F.bitwise_not(ones)))
-    top = F.call_function("shiftrightunsigned", masked, F.greatest(length - 1, F.lit(0)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    first_bit = F.when(is_little, start).otherwise(8 * F.floor(start / 8) + (7 - start % 8)).cast("int")
+    room = 8 * F.greatest(F.size(data), F.lit(8), *([F.coalesce(size, F.lit(8))] if size is not None else []))
+    fits = (length >= 1) & (length <= 64) & (first_bit >= 0) & (first_bit + length <= room)
+    skip = (first_bit % 8).cast("int")
+    held = F.slice(F.concat(data, F.array_repeat(F.lit(0), 72)), F.when(fits, F.floor(first_bit / 8).cast("int")).otherwise(0) + 1, 9)
+    ninth = F.element_at(held, 9).cast("long")
+    up = lambda v, n: F.call_function("shiftleft", v, n.cast("int"))
+    down = lambda v, n: F.call_function("shiftrightunsigned", v, n.cast("int"))
+    zero = F.lit(0).cast("long")
+    little = down(_word(F.reverse(F.slice(held, 1, 8))), skip).bitwiseOR(F.when(skip > 0, up(ninth, 64 - skip)).otherwise(zero))
+    after = 72 - skip - length  # bits of the nine bytes behind the signal
+    word = _word(held)
+    big = F.when(after >= 8, down(word, after - 8)).otherwise(up(word, 8 - after).bitwiseOR(down(ninth, after)))
+    ones = up(F.lit(-1).cast("long"), F.when(length < 64, length).otherwise(F.lit(0)))
+    value = F.when(is_little, little).otherwise(big)
+    masked = F.when(length == 64, value).otherwise(value.bitwiseAND(F.bitwise_not(ones)))
+    top = down(masked, F.greatest(length - 1, F.lit(0))).bitwiseAND(F.lit(1).cast("long"))
     return F.when(fits, F.when(signed & (length < 64) & (top == 1), masked.bitwiseOR(ones)).otherwise(masked))
 
 
+def number(raw: Column, length: Column, signed: Column) -> Column:
+    """The raw integer as a double, unsigned ones of 64 bits among them."""
+    return raw.cast("double") + F.when(~signed & (length == 64) & (raw < 0), F.lit(18446744073709551616.0)).otherwise(F.lit(0.0))
+
+
 def decode(frames: DataFrame, dbc: DataFrame) -> DataFrame:
     """Long format: a row per frame and numeric signal; frames of unknown ids drop out.
 
     Definitions of a car are some thousand rows at most, so they are broadcast; values with a named
-    choice are states, not numbers, and are left out. Where definitions have a ``mux`` column, a
-    multiplexed signal is decoded only in frames whose switch has its value.
+    choice are states, not numbers, and are left out. Where definitions have a ``presence`` column, a
+    multiplexed signal is decoded only in frames in which every switch above it has one of its values.
     """
     ids = F.when(F.col("can_id").rlike("^[0-9A-Fa-f]+$"), F.conv("can_id", 16, 10).cast("long"))
     d = dbc.where(F.col("message").isNotNull()).withColumnRenamed("signal", "_signal")
-    if "mux" in dbc.columns:
-        switch = F.first(F.struct("start_bit", "length_bits", "byte_order"), True)
-        switches = d.where("mux = 'M'").groupBy("dbc", "frame_id").agg(switch.alias("_switch"))
-        d = d.join(switches, ["dbc", "frame_id"], "left")
     j = frames.withColumn("frame_id", ids).join(F.broadcast(d), "frame_id")
-    if "mux" in dbc.columns:
-        state = raw_value(F.col("data"), F.col("_switch.start_bit"), F.col("_switch.length_bits"), F.col("_switch.byte_order"), F.lit(False))
-        wanted = F.nullif(F.regexp_extract("mux", "^m([0-9]+)", 1), F.lit("")).cast("long")
-        j = j.where(wanted.isNull() | F.coalesce(state == wanted, F.lit(False)))
-    j = j.withColumn("raw", raw_value(F.col("data"), F.col("start_bit"), F.col("length_bits"), F.col("byte_order"), F.col("is_signed")))
+    size = F.col("msg_length") if "msg_length" in dbc.columns else None
+    if "presence" in dbc.columns:
+
+        def holds(c: Column) -> Column:
+            state = raw_value(F.col("data"), c["start_bit"], c["length_bits"], c["byte_order"], F.lit(False), size)
+            return F.coalesce(F.exists(c["ranges"], lambda r: state.between(r["low"], r["high"])), F.lit(False))
+
+        j = j.where(F.col("presence").isNull() | F.forall("presence", holds))
+    j = j.withColumn("raw", raw_value(F.col("data"), F.col("start_bit"), F.col("length_bits"), F.col("byte_order"), F.col("is_signed"), size))
     numeric = F.col("raw").isNotNull() & (F.col("choices").isNull() | ~F.coalesce(F.map_contains_key("choices", F.col("raw")), F.lit(False)))
-    return j.where(numeric).select("frame_idx", "timestamp", "dbc", "message", "can_id", F.col("_signal").alias("signal"), (F.col("raw") * F.col("scale") + F.col("offset")).alias("value"))
+    value = number(F.col("raw"), F.col("length_bits"), F.col("is_signed")) * F.col("scale") + F.col("offset")
+    return j.where(numeric).select("frame_idx", "timestamp", "dbc", "message", "can_id", F.col("_signal").alias("signal"), value.alias("value"))
 
 
 def coverage(frames: DataFrame, dbc: DataFrame) -> DataFrame:

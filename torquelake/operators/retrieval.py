@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from torquelake.session import stored
+
 # Fixed values.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Queries' terms that are broadcast at most.
@@ -27,12 +29,18 @@ ACCENTS, PLAIN = _decomposed()
 LIGATURES = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in [*range(0xFB00, 0xFB07), 0x132, 0x133]}
 
 
+_LIGATURE = f"[{''.join(LIGATURES)}]"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased, unaccented runs of [a-z0-9]."""
+    """Lower-cased, unaccented runs of [a-z0-9]. Texts of ASCII only need no look at their letters, those without ligatures no replacing."""
     t = F.coalesce(text, F.lit(""))
+    spread = t
     for a, b in LIGATURES.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.regexp_extract_all(F.translate(F.lower(t), ACCENTS, PLAIN), F.lit("[a-z0-9]+"), F.lit(0))
+        spread = F.replace(spread, F.lit(a), F.lit(b))
+    plain = lambda x: F.translate(F.lower(x), ACCENTS, PLAIN)
+    t = F.when(~t.rlike(r"[^\x00-\x7f]"), F.lower(t)).when(~t.rlike(_LIGATURE), plain(t)).otherwise(plain(spread))
+    return F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def overfetch(top_k: int) -> int:
@@ -62,10 +70,45 @@ def bm25_scores(postings: DataFrame, queries: DataFrame, query: str = "query_id"
     return postings.join(q, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
-def all_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Scores of every document for every query (a stated set, column ``query``), 0 where no term occurs."""
-    every = docs.select("doc").join(F.broadcast(queries.select("query").distinct()))
-    return every.join(scores, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+def bm25_search(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+    """What ``bm25_scores`` over ``bm25_index`` gives, without postings of terms that no query has.
+
+    One pass over the texts counts in how many documents each term is, and with them documents and lengths (the row of the
+    null term); only these counts are shuffled. A second one scores the documents that hold a query term.
+    """
+    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("w"))
+    marked = t.select(F.size("w").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))).alias("term"))
+    counts = stored(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")), "document-counts")
+    whole = counts.where("term IS NULL").select("df", "dl").first()
+    if whole is None:
+        n, avgdl = 0, 1.0
+    else:
+        n, avgdl = whole["df"], (whole["dl"] or 0) / whole["df"]
+    idf0 = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = counts.where("term IS NOT NULL").select("term", idf0.alias("idf0"))
+    floor = EPSILON * (raw.agg(F.avg("idf0")).first()[0] or 0.0)
+    asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qn"))
+    weighed = stored(asked.join(raw, "term").select("query", "term", (F.col("qn") * F.when(F.col("idf0") < 0, floor).otherwise(F.col("idf0"))).alias("weight")), "query-terms")
+    by_term = weighed.groupBy("term").agg(F.collect_list(F.struct("query", "weight")).alias("asking"))
+    by_term = F.broadcast(by_term) if weighed.count() <= MAX_BROADCAST_TERMS else by_term
+    tf = t.select("doc", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).join(by_term.select("term"), "term").groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    hits = tf.join(by_term, "term").select("doc", part.alias("part"), F.inline("asking"))
+    return hits.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def all_topk(scores: DataFrame, queries: DataFrame, docs: DataFrame, top_k: int) -> DataFrame:
+    """The best ``top_k`` of all documents for every query (a stated set, column ``query``), ranked; those without a query term have score 0.
+
+    Documents without a score are looked at only for queries with too few that have one.
+    """
+    best = stored(rank(scores, top_k=top_k).drop("rank"), "best")
+    enough = best.where("score >= 0").groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= top_k)
+    poor = queries.select("query").distinct().join(enough, "query", "left_anti")
+    if poor.isEmpty():
+        return rank(best, top_k=top_k)
+    rest = docs.select("doc").join(poor).join(scores.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return rank(best.unionByName(rest.select(best.columns)), top_k=top_k)
 
 
 def rank(scores: DataFrame, by: str = "query", item: str = "doc", top_k: int | None = None, places: int = 9) -> DataFrame:
@@ -106,11 +149,3 @@ def hit_metrics(first_ranks: DataFrame, group: str | None = None) -> DataFrame:
     hit = lambda k: F.avg(F.coalesce((F.col("first_rank") <= k).cast("double"), F.lit(0.0))).alias(f"hit_{k}")
     aggs = [F.count("*").alias("n"), hit(1), hit(3), hit(5), F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).alias("mrr")]
     return first_ranks.agg(*aggs) if group is None else first_ranks.rollup(group).agg(*aggs)
-
-
-def nearest_rank_p95(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Mean and the value at index round-half-even(0.95 (n - 1)), by ranks rather than a collected list."""
-    w = Window.partitionBy(by).orderBy(column)
-    n = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
-    r = df.withColumn("_i", F.row_number().over(w) - 1).join(F.broadcast(n), by)
-    return r.where(F.col("_i") == F.bround(0.95 * (F.col("n") - 1))).select(by, "n", "mean", F.col(column).alias("p95"))

@@ -122,8 +122,8 @@ class Retriever:
         """query, case_id, score, rank: lexical, fused with dense ranks where there is a collection."""
         n = retrieval.overfetch(top_k)
         case = self.docs.select(F.col("doc_id").alias("doc"), "case_id")
-        every = retrieval.all_scores(retrieval.bm25_scores(self.postings, queries), queries.select(F.col("query_id").alias("query")), self.lengths)
-        lexical = retrieval.best_per_case(retrieval.rank(every, top_k=n).join(case, "doc"), "case_id", top_k)
+        best = retrieval.all_topk(retrieval.bm25_scores(self.postings, queries), queries.select(F.col("query_id").alias("query")), self.lengths, n)
+        lexical = retrieval.best_per_case(best.join(case, "doc"), "case_id", top_k)
         if self.collection is None:
             return lexical.select("query", "case_id", "score", "rank")
         asked = self.embed(queries).select(F.col("query_id").alias("query"), F.col("embedding").alias("q"))

@@ -40,8 +40,7 @@ _BM25 = f"""t AS (SELECT doc_id AS doc, {_TOK} AS w FROM documents), len AS (SEL
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings, _ = retrieval.bm25_index(table(spark, sf_dir, "documents"))
-    return retrieval.bm25_scores(postings, table(spark, sf_dir, "benchmark"), "item_id")
+    return retrieval.bm25_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), query="item_id")
 
 
 @query("bm25_scores", f"WITH {_BM25} SELECT query, count(*) AS n_docs, round(max(score), 4) AS best, round(sum(score), 2) AS total FROM s GROUP BY query")
@@ -131,8 +130,8 @@ def hit_mrr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.hit_metrics(_first(spark, sf_dir), "lab"))
 
 
-# A short text for each vector, from its document's metadata; a query is the text of one vector in 50.
-_META = """meta AS (SELECT vec_id AS doc, e.label, regexp_extract_all(lower(coalesce(lang, '') || ' ' || coalesce(source, '') || ' w' || doc_id % 13), '[a-z0-9]+') AS w FROM embeddings e JOIN documents ON vec_id = doc_id)"""
+# The text of a vector is its document's; a query is the text of one vector in 50.
+_META = f"""meta AS (SELECT vec_id AS doc, e.label, {_TOK} AS w FROM embeddings e JOIN documents ON vec_id = doc_id)"""
 _RRF = f"""{_CASES}, {_META}, mlen AS (SELECT doc, len(w) AS dl FROM meta), mc AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM mlen), mtf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM meta) GROUP BY ALL),
   mraw AS (SELECT term, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM mtf, mc GROUP BY term), mfl AS (SELECT 0.25::DOUBLE * avg(idf) AS f FROM mraw), midf AS (SELECT term, CASE WHEN idf < 0 THEN f ELSE idf END AS idf FROM mraw, mfl),
   ms AS (SELECT q.doc AS query, t.doc, sum(q.tf * idf * t.tf * 2.5::DOUBLE / (t.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM mtf q JOIN mtf t USING (term) JOIN midf USING (term) JOIN mlen ON t.doc = mlen.doc, mc WHERE q.doc % 50 = 0 GROUP BY ALL),
@@ -144,27 +143,26 @@ _RRF = f"""{_CASES}, {_META}, mlen AS (SELECT doc, len(w) AS dl FROM meta), mc A
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(scores of all documents, labels)."""
+    """(the best of all documents for each query, labels)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    text = F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit("")), F.lit(" w"), F.col("doc_id") % 13)
-    meta = e.join(table(spark, sf_dir, "documents").drop("text"), "doc_id").select("doc_id", "label", text.alias("text"))
-    postings, lengths = retrieval.bm25_index(meta)
+    meta = e.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     asked = meta.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    every = retrieval.all_scores(retrieval.bm25_scores(postings, asked), asked.select(F.col("query_id").alias("query")), lengths)
-    return every, meta.select(F.col("doc_id").alias("doc"), "label")
+    labels = meta.select(F.col("doc_id").alias("doc"), "label")
+    best = retrieval.all_topk(retrieval.bm25_search(meta, asked), asked.select(F.col("query_id").alias("query")), labels, retrieval.overfetch(5))
+    return best, labels
 
 
 @query("bm25_all_documents", f"WITH {_RRF} SELECT query, doc, round(score, 6) AS score FROM mr")
 def bm25_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, _ = _lexical(spark, sf_dir)
-    return retrieval.rank(scores, top_k=retrieval.overfetch(5)).select("query", "doc", F.round("score", 6).alias("score"))
+    best, _ = _lexical(spark, sf_dir)
+    return best.select("query", "doc", F.round("score", 6).alias("score"))
 
 
 @query("rrf_hybrid", f"WITH {_RRF} SELECT query, label, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, dr NULLS LAST, lr NULLS LAST) AS INTEGER) AS rank FROM u QUALIFY rank <= 5")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = retrieval.best_per_case(_dense(spark, sf_dir, retrieval.overfetch(5)), "label", 5)
-    scores, labels = _lexical(spark, sf_dir)
-    lexical = retrieval.best_per_case(retrieval.rank(scores, top_k=retrieval.overfetch(5)).join(labels, "doc"), "label", 5)
+    best, labels = _lexical(spark, sf_dir)
+    lexical = retrieval.best_per_case(best.join(labels, "doc"), "label", 5)
     return retrieval.rrf(dense, lexical, "label", 5).select("query", "label", F.round("score", 6).alias("score"), "rank")
 
 

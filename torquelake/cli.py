@@ -1,4 +1,4 @@
-"""Command line: scan, decode-vin, analyze-can, diagnose, version."""
+"""Command line: scan, decode-vin, analyze-can, diagnose, evaluate-retrieval, train-anomaly, version."""
 
 from __future__ import annotations
 
@@ -34,7 +34,20 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("log")
     c.add_argument("--brand")
     c.add_argument("--dbc-dir", default="dbc")
-    c.add_argument("--rows", type=int, default=100_000)
+    c.add_argument("--rows", type=int, default=100_000, help="lines to read, from the first")
+    c.add_argument("--out", default="results", help="folder of the decoded signals and their summary")
+    e = sub.add_parser("evaluate-retrieval", help="hit rates of the lexical search over a query file")
+    e.add_argument("cases", help="repair cases as JSON")
+    e.add_argument("queries", help="queries with their relevant cases as JSON")
+    e.add_argument("--out", default="results/retrieval_eval.json")
+    e.add_argument("--top-k", type=int, default=5)
+    t = sub.add_parser("train-anomaly", help="train and judge the recurrent model on a bus log")
+    t.add_argument("log")
+    t.add_argument("--rows", type=int, default=500_000)
+    t.add_argument("--out", default="results")
+    t.add_argument("--run", help="folder of the training run, to go on after a stop")
+    for name, kind, default in (("window-size", int, 64), ("stride", int, 32), ("epochs", int, 10), ("batch-size", int, 128), ("lr", float, 1e-3), ("hidden-size", int, 64), ("latent-size", int, 16), ("low-percentile", float, 1.0), ("high-percentile", float, 99.0), ("seed", int, 42)):
+        t.add_argument(f"--{name}", type=kind, default=default)
     sub.add_parser("version")
     return p
 
@@ -66,6 +79,62 @@ def diagnose(spark, a: argparse.Namespace) -> int:
     return 1 if result["hit_turn_limit"] else 0
 
 
+def analyze_can(spark, a: argparse.Namespace) -> int:
+    """0 with a decoded log, 1 if no definition file knows an identifier of it."""
+    from torquelake.operators import signals
+    from torquelake.operators.tools import analyze_can_log
+    from torquelake.sources import dbc, frames
+
+    print(analyze_can_log(spark, a.log, a.rows))
+    if not os.path.isdir(a.dbc_dir):
+        return 0
+    defs = dbc.read_dbc(spark, a.dbc_dir, dims.BRAND_GLOBS[a.brand.lower()] if a.brand else "*.dbc")
+    normal = frames.read_variable(spark, a.log, a.rows).where("label = 0")
+    best = signals.best_dbc(signals.coverage(normal, defs)).first()
+    if best is None or not best.matched:
+        print("no definition file knows this log", file=sys.stderr)
+        return 1
+    found = signals.decode(normal, defs.where(defs.dbc == best.dbc))
+    n = signals.extraction_counters(found).first()
+    print(f"definitions: {best.dbc} ({best.coverage_percent} %)\nframes decoded: {n.frames_decoded}\nmessages: {n.messages}\nsignals: {n.signals}\ndata points: {n.datapoints}")
+    if not a.brand:
+        print(*signals.export(found, os.path.abspath(a.out)).values(), sep="\n")
+    return 0
+
+
+def evaluate_retrieval(spark, a: argparse.Namespace) -> int:
+    """Hit rates and ranks by language, written as JSON; 2 for an unreadable case or query file."""
+    from pyspark.sql import functions as F
+
+    from torquelake.operators import evaluate, retrieval, vectors
+    from torquelake.sources import corpus
+
+    try:
+        cases, queries = corpus.load_cases(spark, a.cases), corpus.load_queries(spark, a.queries)
+    except Exception as e:  # noqa: BLE001 - the command reports and ends
+        print(f"cannot evaluate: {e}", file=sys.stderr)
+        return 2
+    retriever = vectors.Retriever(cases)
+    hits = retriever.search(queries, a.top_k).select(F.lit("bm25").alias("system"), "query", F.col("case_id").alias("item"), "rank")
+    relevant = queries.select(F.col("query_id").alias("query"), F.explode("expected_cases").alias("item"))
+    rows = evaluate.per_query(hits, relevant, ["bm25"], a.top_k).join(queries.select(F.col("query_id").alias("query"), "lang"), "query")
+    by_lang = retrieval.hit_metrics(rows, "lang").where("lang IS NOT NULL")
+    print(evaluate.markdown_table(retrieval.hit_metrics(rows, "lang")))
+    print(evaluate.write_json(a.out, retrieval.hit_metrics(rows), by_lang=by_lang, failures=evaluate.failures(rows), rows=rows))
+    retriever.close()
+    return 0
+
+
+def train_anomaly(spark, a: argparse.Namespace) -> int:
+    from torquelake.operators import runners
+    from torquelake.sources import frames
+
+    log = frames.read_variable(spark, a.log, a.rows)
+    m = runners.train_recurrent(log, a.out, a.epochs, a.low_percentile, a.high_percentile, a.window_size, a.stride, a.run, batch=a.batch_size, rate=a.lr, hidden=a.hidden_size, latent=a.latent_size, seed=a.seed)
+    print(json.dumps(m["test_metrics"], indent=2))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command is None:
@@ -74,11 +143,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "version":
         print(VERSION)
         return 0
-    if a.command == "analyze-can":
+    if a.command in ("analyze-can", "train-anomaly"):
         if not os.path.exists(a.log):
             print(f"no such log: {a.log}", file=sys.stderr)
             return 2
-        if a.brand and a.brand.lower() not in dims.BRAND_GLOBS:
+        if a.command == "analyze-can" and a.brand and a.brand.lower() not in dims.BRAND_GLOBS:
             print(f"unknown brand: {a.brand}", file=sys.stderr)
             return 2
     from torquelake.session import build_session
@@ -92,19 +161,8 @@ def main(argv: list[str] | None = None) -> int:
         return 2 if text.startswith("Error") else 0
     if a.command == "diagnose":
         return diagnose(spark, a)
-    if a.command == "analyze-can":
-        from torquelake.operators import signals
-        from torquelake.operators.tools import analyze_can_log
-        from torquelake.sources import dbc, frames
-
-        print(analyze_can_log(spark, a.log, a.rows))
-        if os.path.isdir(a.dbc_dir):
-            defs = dbc.read_dbc(spark, a.dbc_dir, dims.BRAND_GLOBS[a.brand.lower()] if a.brand else "*.dbc")
-            log = frames.index_frames(frames.read_variable(spark, a.log), "timestamp").where(f"frame_idx < {a.rows}")
-            best = signals.best_dbc(signals.coverage(log, defs)).first()
-            if best:
-                signals.signal_summary(signals.decode(log, defs.where(defs.dbc == best.dbc))).orderBy("signal").show(50)
-        return 0
+    if a.command in ("analyze-can", "evaluate-retrieval", "train-anomaly"):
+        return {"analyze-can": analyze_can, "evaluate-retrieval": evaluate_retrieval, "train-anomaly": train_anomaly}[a.command](spark, a)
     from torquelake.operators import protocol, report, signals
 
     loaded, state = signals.load_signals(spark, a.signals) if a.signals else (None, {"available": True})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from torquelake.functions import dims
 from torquelake.operators import agent, dialogue, evaluate, forest, retrieval, tools, windows
 from torquelake.plans.proxy import frames, table
+from torquelake.session import stored
 from torquelake.sources import corpus
 
 QUERIES, ORACLES = {}, {}
@@ -269,7 +270,7 @@ _STATS = [f"{c}_{s}" for s in ("mean", "std", "min", "max") for c in windows.FEA
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     w = windows.sliding_windows(windows.feature_columns(windows.add_features(f)), f.count())
-    return windows.window_stats(w).persist()
+    return stored(windows.window_stats(w), "window-stats")
 
 
 @query("isolation_forest")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from torquelake.session import stored
+
 RAW_COLUMNS = ["timestamp", "can_id", "dlc", *[f"d{i}" for i in range(8)], "flag"]
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
@@ -18,7 +19,7 @@ def index_frames(df: DataFrame, *order: str, name: str = "frame_idx") -> DataFra
     number per partition reaches the driver), and a row's number is its offset plus its place.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = spread.withColumn("_mono", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = stored(spread.withColumn("_mono", F.monotonically_increasing_id()), "frames")  # numbers must not change if an executor is lost
     part = F.shiftright("_mono", 33)
     counts = sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect())
     offsets, total = [], 0
@@ -49,8 +50,13 @@ def parse_variable(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_variable(spark: SparkSession, path: str) -> DataFrame:
-    return parse_variable(spark.read.text(path))
+def read_variable(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+    """The variable-length reading of a log; with ``nrows`` the first rows, numbered in ``frame_idx`` as they stand in the file."""
+    lines = spark.read.text(path)
+    if nrows is None:
+        return parse_variable(lines)
+    rows = parse_variable(lines.withColumn("_line", F.monotonically_increasing_id()))
+    return index_frames(rows, "_line").where(F.col("frame_idx") < nrows).drop("_line")
 
 
 def parse_fixed(lines: DataFrame, value: str = "value") -> DataFrame:

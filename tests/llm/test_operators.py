@@ -509,6 +509,48 @@ def test_pipeline(spark, docs):
     assert rest.columns == docs.columns and rest.count() > 0
 
 
+def test_pipeline_stages_against_brute_force(spark, docs):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    lowest = collections.defaultdict(set)
+    for doc, n, component in expected_groups(ROWS):
+        lowest[doc].add(component if n else doc)
+    assert count_of(r.doc_id for r in kept) == count_of(doc for doc, own in lowest.items() if doc in own)
+    assert {(r.doc_id, r.text) for r in kept} <= {r[:2] for r in ROWS}
+
+    # Passages: a 35-word window stays only where it begins first, by doc_id and place.
+    w = {r.doc_id: words(r.text) for r in kept}
+    first: dict = {}
+    for doc in sorted(w, key=lambda d: (d is not None, d or 0)):
+        for i in range(len(w[doc]) - 34):
+            first.setdefault(tuple(w[doc][i : i + 35]), (doc, i))
+    want = {}
+    for doc, x in w.items():
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - 34):
+            if first[tuple(x[i : i + 35])] != (doc, i):
+                gone[i : i + 35] = True
+        if not x or not gone.all():
+            want[doc] = [v for v, g in zip(x, gone, strict=True) if not g]
+    rest = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(kept, docs.schema), "").collect()
+    assert {r.doc_id: words(r.text) for r in rest} == want
+
+
+def test_language_id_decodes_the_nearest_codeword_by_weighted_loss():
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(size=(90, 40))).astype(np.float32)
+    langs = ["aa", "bb", "cc"]
+    own = np.repeat(np.arange(3), 30)
+    x[np.arange(90), own] += 6
+    model = language_id.fit(x, [langs[k] for k in own])
+    p = model.decode(x)
+    assert (p.argmax(1) == own).mean() > 0.95 and np.allclose(p.sum(1), 1, atol=1e-4)
+    for row, mine in zip(x, p, strict=True):
+        loss = [sum(t * np.log1p(np.exp(-c * (row @ model.w[:, k] + model.bias[k]))) for k, (c, t) in enumerate(zip(code, model.trust, strict=True))) for code in model.code]
+        assert int(np.argmin(loss)) == mine.argmax()
+
+
 def test_pipeline_stages_with_clashing_columns(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -29,7 +29,8 @@ from pyspark.sql.window import Window
 from torquelake.llm.common import fold, materialize, tune
 
 DIM = 4096
-MAX_ROWS_PER_LANG, MAX_ROWS = 1000, 64_000
+#: Rows to learn from, of each language and in all; the latter keeps the driver under 1 GB (16,000 x DIM numbers).
+MAX_ROWS_PER_LANG, MAX_ROWS = 1000, 16_000
 STEPS, RIDGE, SHARPNESS = 80, 1e-4, 1.0
 #: Lead in probability under which an answer is ambiguous.
 MIN_LEAD = 0.2

@@ -56,6 +56,16 @@ def test_filters_reach_the_files(spark, folder):
     assert [p.value.rsplit("/", 1)[1] for p in reader.partitions()] == ["two.dbc"]
 
 
+def test_sql_function(spark, folder):
+    got = spark.sql(f"SELECT dbc, signal FROM dbc_signals('{folder}') WHERE frame_id = 1200").collect()
+    assert [tuple(r) for r in got] == [("one.dbc", "V")]
+    spark.createDataFrame([(f"{folder}/one.dbc",), (f"{folder}/two.dbc",), (None,)], "path string").createOrReplaceTempView("files")
+    each = spark.sql("SELECT dbc, count(*) AS n FROM files, LATERAL dbc_signals(files.path) GROUP BY dbc").collect()
+    assert {r.dbc: r.n for r in each} == {"one.dbc": 7, "two.dbc": 1}
+    with pytest.raises(Exception, match="takes strings"):
+        spark.sql("SELECT * FROM dbc_signals(7)").collect()
+
+
 def test_nested_switches(spark, folder):
     d = spark.read.format("dbc").load(folder)
     frames = [(i, 0.0, "316", [s, t, 7, 9] + [0] * 12) for i, (s, t) in enumerate((s, t) for s in range(3) for t in range(9))]

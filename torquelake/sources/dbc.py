@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 SCHEMA = (
     "dbc string, load_mode string, error string, message string, frame_id long, msg_length int, signal string, pos int, start_bit int, length_bits int, "
@@ -149,10 +151,34 @@ class DbcReader(DataSourceReader):
                 yield r
 
 
+def signals_function(schema: T.StructType) -> type:
+    """The class behind the SQL function ``dbc_signals(path [, glob])``: the definitions of a file or folder as a table.
+
+    ``SELECT * FROM files, LATERAL dbc_signals(files.path)`` reads many files in parallel.
+    """
+
+    class DbcSignals:  # a local class travels to the workers with its schema
+        @staticmethod
+        def analyze(path: AnalyzeArgument, glob: AnalyzeArgument | None = None) -> AnalyzeResult:
+            for a in (path, glob):
+                if a is not None and not isinstance(a.dataType, T.StringType):
+                    raise ValueError(f"dbc_signals takes strings, not {a.dataType.simpleString()}")
+            return AnalyzeResult(schema)
+
+        def eval(self, path: str | None, glob: str = "*.dbc") -> Iterator[tuple]:
+            if path is not None:
+                reader = DbcReader({"path": path, "glob": glob})
+                for part in reader.partitions():
+                    yield from reader.read(part)
+
+    return DbcSignals
+
+
 def register(spark: SparkSession) -> None:
-    """Make ``format("dbc")`` known to a session, with filters pushed down."""
+    """Make ``format("dbc")``, with filters pushed down, and ``dbc_signals`` known to a session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DbcSource)
+    spark.udtf.register("dbc_signals", F.udtf(signals_function(spark.createDataFrame([], SCHEMA).schema)))
 
 
 def read_dbc(spark: SparkSession, path: str, glob: str = "*.dbc") -> DataFrame:

@@ -148,6 +148,22 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_stats(w.withColumns({c: F.round(F.col(c) * 1_000_000).cast("long") for c in windows.FEATURES}))
 
 
+_SCALED = {k: v if k.startswith("b") else f'"{k}"' for k, v in _MICRO.items()}
+#: Added before rounding, so that exact shares do not lie on a border of rounding, where the order of a sum would decide.
+_OFF_BORDER = 0.00001 / 7
+_PLACES = lambda v: f"round({v} + {_OFF_BORDER!r}::DOUBLE, 5)"
+_SCALED_SQL = f"""WITH {WINDOWED_SQL}, m AS (SELECT window_id, label, {', '.join(f"{v} AS {k}" for k, v in _SCALED.items())} FROM windowed)
+  SELECT window_id, {', '.join(f"{_PLACES(f'{sql}({k})')} AS {k}_{name}" for name, sql in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for k in _SCALED)},
+    CAST(avg(label) > 0.1::DOUBLE AS INTEGER) AS y FROM m GROUP BY window_id"""
+
+
+@query("window_stats_scaled", _SCALED_SQL)
+def window_stats_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics as the models take them, of the scaled features, to five places."""
+    w = windows.window_stats(windows.feature_columns(_windowed(spark, sf_dir)))
+    return w.select(*[c if c in ("window_id", "y") else F.round(F.col(c) + _OFF_BORDER, 5).alias(c) for c in w.columns])
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_frames(spark, sf_dir).select("event_id", F.col("value").alias("score"), F.col("label").alias("y"))
 

@@ -99,7 +99,7 @@ def previous_factors(positions: np.ndarray, data: np.ndarray, length: int, room:
     after = np.where(after >= 0, len(order) - 1 - after, -1)
     best, factor = np.zeros(len(positions), np.int64), np.full(len(positions), -1)
     for near in (before, after):
-        at = np.flatnonzero(near >= 0)
+        at = np.flatnonzero((near >= 0) & (best[order] < length))  # a full one can't be bettered
         mine, other = order[at], order[near[at]]
         size = common_prefix(positions[mine], positions[other], data, levels, np.minimum(np.minimum(room[mine], room[other]), length))
         better = size > best[mine]

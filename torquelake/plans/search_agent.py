@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from torquelake.functions import dims
-from torquelake.operators import agent, dialogue, evaluate, forest, retrieval, tools, windows
+from torquelake.operators import agent, dialogue, evaluate, forest, inverted_index, retrieval, tools, vector_index, windows
 from torquelake.plans.proxy import frames, table
-from torquelake.session import stored
+from torquelake.session import scratch_path, stored
 from torquelake.sources import corpus
 
 QUERIES, ORACLES = {}, {}
@@ -49,11 +49,20 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).groupBy("query").agg(F.count("*").alias("n_docs"), F.round(F.max("score"), 4).alias("best"), F.round(F.sum("score"), 2).alias("total"))
 
 
-@query("bm25_topk", f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+_BM25_TOP = f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"
+
+
+@query("bm25_topk", _BM25_TOP)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rank(_bm25(spark, sf_dir), top_k=5).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
+@query("bm25_stored_topk", _BM25_TOP)
+def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = inverted_index.InvertedIndex.build(table(spark, sf_dir, "documents"), scratch_path(spark, "inverted-index"))
+    return index.search(table(spark, sf_dir, "benchmark"), 5, query="item_id").select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
 _CASE_SQL = """cases AS (SELECT doc_id AS pos, CASE WHEN doc_id % 11 = 5 THEN 'case-0' ELSE 'case-' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN 'X' || doc_id ELSE printf('p%04X', doc_id) END AS code, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE lang END AS fix_en, lang FROM documents)"""
 
 
@@ -93,11 +102,22 @@ def _dense(spark: SparkSession, sf_dir: str, top_k: int) -> DataFrame:
     return retrieval.rank(retrieval.dense_scores(q, e), top_k=top_k)
 
 
-@query("dense_topk", f"WITH {_DENSE} SELECT query, doc, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 5")
+_DENSE_TOP = f"WITH {_DENSE} SELECT query, doc, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 5"
+
+
+@query("dense_topk", _DENSE_TOP)
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, 5).select("query", "doc", F.round("score", 5).alias("score"), "rank")
 
 
+@query("vector_index_topk", _DENSE_TOP)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc")
+    index = vector_index.VectorIndex.build(e, scratch_path(spark, "vector-index"))
+    asked = e.where("doc % 50 = 0").select(F.col("doc").alias("query"), F.col("embedding").alias("q"))
+    return index.search(asked, 5).select("query", "doc", F.round("score", 5).alias("score"), "rank")
+
+
 _CASES = f"""{_DENSE}, b AS (SELECT * FROM h WHERE rank <= 14 QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY rank) = 1),
   dd AS (SELECT * FROM (SELECT query, label, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, label) AS rank FROM b) WHERE rank <= 5)"""
 

@@ -29,7 +29,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", ["bus_summary", "id_freq_rolling", "window_stats", "window_stats_scaled", "calibrate_bilateral", "roc_auc", "repair_plan", "vin_decode", "isotp_reassemble", "uds_dispatch", "dbc_decode", "freeze_correlation", "bm25_topk", "bm25_stored_topk", "vector_index_topk", "rrf_hybrid", "hit_mrr_by_group", "corpus_violations", "bm25_all_documents", "agent_summary", "agent_repeat_total", "top_k_clamp", "parse_replies", "extraction_counters", "latency_p95", "agent_scores", "isotp_encode", "isotp_frame_count"])
+@pytest.mark.parametrize("name", ["bus_summary", "id_freq_rolling", "window_stats", "window_stats_scaled", "calibrate_bilateral", "roc_auc", "repair_plan", "vin_decode", "isotp_reassemble", "uds_dispatch", "dbc_decode", "freeze_correlation", "bm25_topk", "bm25_stored_topk", "vector_index_topk", "rrf_hybrid", "hit_mrr_by_group", "corpus_violations", "bm25_all_documents", "agent_summary", "agent_repeat_total", "top_k_clamp", "parse_replies", "extraction_counters", "latency_p95", "agent_scores", "isotp_encode", "isotp_frame_count", "dtc_rejected", "signal_lookup"])
 def test_query(spark, db, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

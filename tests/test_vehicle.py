@@ -174,3 +174,20 @@ def test_tools_answer(spark):
     assert all(x in said for x in ("P0301", "Powertrain", "Cylinder 1 misfire detected"))
     assert tools.call(spark, "decode_vin", {"vin": "x"}).startswith("Error") and tools.call(spark, "nothing", {}).startswith("Error")
     assert len(dims.DECLINE_MARKERS) == 19 and len(dims.YEARS) == 17
+
+
+def test_rejected_codes(spark):
+    given = spark.createDataFrame([(1, "P0301"), (2, "X1"), (3, None), (4, "X1"), (5, "p0420 ")], "at long, code string")
+    got = codes.rejected(codes.interpret(given), "at").collect()
+    assert sorted((r["first_at"], r["code"], r["times"]) for r in got) == [(2, "X1", 2), (3, None, 1), (5, "p0420 ", 1)]
+    assert codes.rejected(codes.interpret(given.where("at = 1")), "at").count() == 0
+
+
+def test_signal_lookup_takes_the_first_definition(spark):
+    cols = "dbc string, frame_id long, message string, signal string, pos int, start_bit int, length_bits int, byte_order string, is_signed boolean, scale double, offset double, unit string, minimum double, maximum double"
+    rule = ("little", False, 0.5, -40.0, None, 0.0, 100.0)
+    rows = [("b.dbc", 1, "B", "T", 0, 0, 8, *rule), ("a.dbc", 300, "A2", "T", 0, 8, 8, *rule), ("a.dbc", 255, "A1", "T", 1, 16, 8, *rule), ("c.dbc", None, None, None, *[None] * 10)]
+    asked = spark.createDataFrame([("T",), ("t",), (None,), ("T",)], "signal string")
+    got = {r["signal"]: r for r in signals.lookup(spark.createDataFrame(rows, cols), asked).collect()}
+    assert len(got) == 3 and (got["T"]["message"], got["T"]["can_id_hex"], got["T"]["start_bit"], got["T"]["unit"], got["T"]["error"]) == ("A1", "FF", 16, "", None)
+    assert [got[k]["found"] for k in ("T", "t", None)] == [True, False, False] and got["t"]["error"] == "Signal 't' not in DBC"

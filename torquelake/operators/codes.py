@@ -56,6 +56,13 @@ def scan_summary(interpreted: DataFrame) -> DataFrame:
     )
 
 
+def rejected(interpreted: DataFrame, position: str) -> DataFrame:
+    """code, times, first_at: the codes that the scan rejects as they were given (null ones too), a row for each with its first
+    position, so that a long list is no single value. No codes, no rows."""
+    bad = interpreted.where(~F.col("valid"))
+    return bad.groupBy("code").agg(F.count("*").alias("times"), F.min(position).alias("first_at"))
+
+
 def health_score(faults: DataFrame, by: list[str] | None = None) -> DataFrame:
     """max(0, 100 - 12 * summed weights), counts and verdict; with ``by`` for each vehicle."""
     weight = F.coalesce(dims.lookup(dims.SEVERITY_WEIGHT, F.col("severity_key")), F.lit(1))

@@ -117,6 +117,22 @@ def rebased(signals: DataFrame) -> DataFrame:
     return signals.join(F.broadcast(t0), "signal").withColumn("t", F.col("timestamp") - F.col("_t0")).drop("_t0")
 
 
+def lookup(dbc: DataFrame, asked: DataFrame) -> DataFrame:
+    """How each asked name (column ``signal``, case counts) is defined: its first definition by file, identifier and place.
+
+    Names without a definition, null among them, have ``found`` false, an ``error`` and nulls; repeated names one row.
+    """
+    first = Window.partitionBy("signal").orderBy("dbc", "frame_id", "pos")
+    d = dbc.where(F.col("message").isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    unit = F.coalesce(F.col("unit"), F.lit("")) if "unit" in dbc.columns else F.lit("")
+    d = d.select(
+        "signal", "message", F.hex("frame_id").alias("can_id_hex"), "start_bit", "length_bits", "byte_order", "is_signed", F.col("scale").alias("factor"), "offset", unit.alias("unit"),
+        F.col("minimum").alias("declared_min"), F.col("maximum").alias("declared_max"), F.lit(True).alias("_found"),
+    )
+    out = asked.select("signal").distinct().join(d, "signal", "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+    return out.withColumn("error", F.when(~F.col("found"), F.concat(F.lit("Signal '"), F.coalesce("signal", F.lit("")), F.lit("' not in DBC"))))
+
+
 def implausible(signals: DataFrame, dbc: DataFrame) -> DataFrame:
     """Declared and observed ranges of each signal (its first definition), observed raw range, and a scaling hypothesis."""
     first = Window.partitionBy("signal").orderBy("dbc", "frame_id", "pos")

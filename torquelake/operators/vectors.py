@@ -114,13 +114,18 @@ class Retriever:
 
     def __init__(self, cases: DataFrame, collection: Collection | None = None, embed: Callable[[DataFrame], DataFrame] | None = None):
         self.docs = corpus.flatten(cases).persist()
+        if self.docs.isEmpty():
+            self.docs.unpersist()
+            raise ValueError("the corpus holds no document")
         self.postings, self.lengths = retrieval.bm25_index(self.docs)
         self.postings = self.postings.persist()
         self.collection, self.embed = collection, embed
 
     def search(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
-        """query, case_id, score, rank: lexical, fused with dense ranks where there is a collection."""
+        """query, case_id, score, rank: lexical, fused with dense ranks where there is a collection. Raises on an empty query."""
         n = retrieval.overfetch(top_k)
+        if bad := queries.where(F.coalesce(F.btrim("text", F.lit(" \t\n\r\f\x0b")), F.lit("")) == "").select("query_id").head(1):
+            raise ValueError(f"query {bad[0].query_id!r} is empty")
         case = self.docs.select(F.col("doc_id").alias("doc"), "case_id")
         best = retrieval.all_topk(retrieval.bm25_scores(self.postings, queries), queries.select(F.col("query_id").alias("query")), self.lengths, n)
         lexical = retrieval.best_per_case(best.join(case, "doc"), "case_id", top_k)

@@ -69,6 +69,11 @@ def dtc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.scan_summary(codes.interpret(_codes(spark, sf_dir)))
 
 
+@query("dtc_rejected", f"WITH {_INTERP} SELECT code, count(*) AS times, min(k) AS first_at FROM full_ WHERE NOT coalesce(valid, false) GROUP BY code")
+def dtc_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.rejected(codes.interpret(_codes(spark, sf_dir)), "k")
+
+
 _VERDICT = """CASE WHEN c > 0 THEN 'Immediate action required' WHEN score < 70 THEN 'Repairs recommended' ELSE 'Minor faults to monitor' END AS verdict_en, c > 0 OR score < 70 AS action_required"""
 
 

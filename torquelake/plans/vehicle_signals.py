@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from torquelake.functions import dims
 from torquelake.operators import protocol, signals
-from torquelake.plans.proxy import FRAMES_SQL, frames, raw_frames
+from torquelake.plans.proxy import FRAMES_SQL, frames, raw_frames, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -116,6 +116,21 @@ def implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.implausible(_signals(spark, sf_dir), definitions(spark)).drop("raw_min", "raw_max")
 
 
+_DEFINED = dims.sql_values("defs", "dbc, frame_id, message, signal, pos, start_bit, length_bits, byte_order, is_signed, factor, off, lo, hi", DEFINITIONS)
+_LOOKUP = f"""WITH {_SIGNALS}, {_DEFINED}, asked AS (SELECT signal FROM sig UNION SELECT event_type FROM events),
+  d AS (SELECT * FROM defs QUALIFY row_number() OVER (PARTITION BY signal ORDER BY dbc, frame_id, pos) = 1)
+  SELECT a.signal, message, printf('%X', frame_id) AS can_id_hex, start_bit, length_bits, byte_order, is_signed, factor, lo AS declared_min, hi AS declared_max, message IS NOT NULL AS found,
+    CASE WHEN message IS NULL THEN 'Signal ' || chr(39) || a.signal || chr(39) || ' not in DBC' END AS error
+  FROM asked a LEFT JOIN d ON a.signal = d.signal"""
+
+
+@query("signal_lookup", _LOOKUP)
+def signal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of the traffic, and the kinds of event, which no file defines."""
+    asked = _signals(spark, sf_dir).select("signal").union(table(spark, sf_dir, "events").select("event_type"))
+    return signals.lookup(definitions(spark), asked).drop("offset", "unit")
+
+
 _FAULTS = [("P0301", "engine_rpm", 617), ("P0301", "coolant_temp", 92), ("P0301", "vehicle_speed", 0), ("P0401", "engine_rpm", 1850), ("P0401", "coolant_temp", 88), ("P0401", "vehicle_speed", 45), ("P2002", "engine_rpm", 2400), ("P2002", "coolant_temp", 95), ("P2002", "vehicle_speed", 70)]
 _CAND = dims.sql_values("cand", "name, signal", [(c, v[0]) for c, v in dims.FREEZE_SIGNALS.items()])
 

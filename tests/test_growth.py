@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from torquelake.operators import blocks, retrieval
 from torquelake.plans import registry
 
 
@@ -24,3 +27,32 @@ def test_cases_of_ids_over_four_digits(spark, tmp_path):
     for name in ("corpus_flatten", "corpus_violations"):
         got = registry.QUERIES[name](spark, f"file://{tmp_path}").collect()
         assert sorted(repr(tuple(r)) for r in got) == _sql(tmp_path, name)
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    r = np.random.default_rng(11)
+    rows = [(k, [float(x) for x in r.normal(size=6)], k % 7) for k in range(400)]
+    rows += [(1000 + k, rows[3][1], 1) for k in range(200)] + [(2000 + k, [2 * x for x in rows[3][1]], 2) for k in range(50)]
+    rows += [(3000, None, 3), (3001, [0.0] * 6, 3), (3002, [float("nan")] * 6, 3), (3003, [1.0, None, 0.0, 0.0, 0.0, 0.0], 3), (3004, [], 3)]
+    return spark.createDataFrame(rows, "doc long, embedding array<float>, label int")
+
+
+@pytest.mark.parametrize("limit", [blocks.MAX_BROADCAST_BYTES, -1])
+def test_dense_topk_by_blocks_is_a_look_at_every_pair(spark, points, monkeypatch, limit):
+    monkeypatch.setattr(blocks, "MAX_BROADCAST_BYTES", limit)
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    asked = points.where("doc % 20 = 3 OR doc >= 3000").select(F.col("doc").alias("query"), F.col("embedding").alias("q"))
+    scores = retrieval.dense_scores(asked, points)
+    for k in (1, 5, 300):  # beyond the copies of one vector too
+        want, got = retrieval.rank(scores, top_k=k), retrieval.dense_topk(asked, points, k)
+        assert got.columns == ["query", "doc", "label", "score", "rank"]
+        rows = [sorted((r["query"], r["rank"], r["doc"], r["label"], repr(r["score"])) for r in d.collect()) for d in (want, got)]
+        assert rows[0] == rows[1]
+
+
+def test_dense_queries_make_no_row_for_each_pair(spark, tmp_path, points, monkeypatch):
+    points.withColumnRenamed("doc", "vec_id").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(retrieval, "dense_scores", None)
+    for name in ("dense_topk", "dense_dedup", "hit_mrr", "hit_mrr_by_group"):
+        assert registry.QUERIES[name](spark, f"file://{tmp_path}").count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from torquelake.operators import blocks
 from torquelake.session import stored
 
 # Fixed values.
@@ -128,6 +129,11 @@ def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.join(F.broadcast(queries)).select("query", "doc", *[c for c in corpus.columns if c not in ("doc", "embedding")], cosine(F.col("q"), F.col("embedding")).alias("score"))
 
 
+def dense_topk(queries: DataFrame, corpus: DataFrame, top_k: int) -> DataFrame:
+    """query, doc, payload, score, rank: what ``rank`` of ``dense_scores`` gives, by blocks, so that no row is made for each pair."""
+    return rank(blocks.dense_best(queries, corpus, top_k), top_k=top_k)
+
+
 def best_per_case(ranked: DataFrame, case: str, top_k: int) -> DataFrame:
     """Best-scoring document of each case among the hits, ranked again."""
     w = Window.partitionBy("query", case).orderBy("rank")

@@ -99,7 +99,7 @@ class Collection:
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
         points = self.read().withColumnRenamed("doc_id", "doc").drop("point_id")
-        return retrieval.rank(retrieval.dense_scores(queries, points), top_k=top_k)
+        return retrieval.dense_topk(queries, points, top_k)
 
 
 def build_index(collection: Collection, cases: DataFrame, load: Callable, question: str, top_k: int = 3) -> tuple[int, DataFrame]:

@@ -14,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from torquelake.operators import retrieval
+from torquelake.operators import blocks, retrieval
 from torquelake.session import stored
 
 #: Centres at most; they are held by every task (cells x dimensions numbers).
 MAX_CELLS = 4096
 #: Points that the centres are fitted on at most, chosen by a hash of their id. Every point is indexed.
 MAX_FIT = 100_000
-#: Visits (a query and a cell) are broadcast up to this many bytes of query vectors, else joined by a shuffle on the cell.
+#: Visits (queries of a block and a cell) are broadcast up to this many bytes of query vectors, else joined by a shuffle on the cell.
 MAX_BROADCAST_BYTES = 64 << 20
 #: Scores this close count as equal in ``retrieval.rank``; distances carry rounding errors below the second number.
 TIE, SLACK = 2e-9, 1e-6
@@ -65,6 +67,7 @@ def _fit(points: DataFrame, n: int, dim: int, cells: int, seed: int) -> np.ndarr
     length = F.sqrt(_square("embedding"))
     sample = points.where(F.pmod(F.xxhash64("doc"), F.lit(grid)) < share).withColumn("_n", length).where(f"_n > 0 AND _n < double('Infinity') AND size(embedding) = {dim}")
     unit = sample.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("_n"))).alias("features"))
+    unit = stored(blocks.spread(unit), "fit")  # read once for each step of k-means
     if unit.isEmpty():
         return np.zeros((0, 0))
     return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters())
@@ -119,44 +122,59 @@ class VectorIndex:
         return cls(spark, folder)
 
     def _visits(self, queries: DataFrame, top_k: int) -> DataFrame:
-        """query, q, bound, _cell, _dq for the cells to read. Where ``bound`` (a distance) is null: the nearest cells that hold
-        ``top_k`` points; else the others that may hold a point within it."""
+        """_cell, asked (query, bound, _dq), qdim, qm for the cells to read: up to ``blocks.QUERIES`` queries of a cell packed in a row.
+        Where ``bound`` (a distance) is null: the nearest cells that hold ``top_k`` points; else the others that may hold a point within it."""
         ids, centres, counts, near, far = self.ids, self.centres, self.counts, self.near, self.far
-        dim = centres.shape[1]
-        schema = queries.select("query", "q", "bound", F.lit(0).alias("_cell"), F.lit(0.0).alias("_dq")).schema
-
-        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                v, ok = _units(pdf["q"], dim)
-                pdf, v = pdf[ok].reset_index(drop=True), v[ok]
-                if not len(pdf):
+        dim, kind, size = centres.shape[1], blocks.kind_of(queries, "q"), blocks.QUERIES
+        one = T.StructType([queries.schema["query"], T.StructField("bound", T.DoubleType()), T.StructField("_dq", T.DoubleType())])
+        schema = T.StructType().add("_cell", T.IntegerType()).add("asked", T.ArrayType(one)).add("qdim", T.IntegerType()).add("qm", T.BinaryType())
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (whole.slice(s, size) for whole in batches for s in range(0, whole.num_rows, size)):
+                vectors = pd.Series(b.column(1).to_pylist(), dtype=object)
+                v, ok = _units(vectors, dim)
+                if not ok.any():
                     continue
+                v, raw = v[ok], np.array(vectors[ok].tolist(), kind)
+                query, bound = b.column(0).filter(pa.array(ok)), b.column(2).to_numpy(zero_copy_only=False).astype(float)[ok]
                 d = _distances(v, centres)
                 order = d.argsort(axis=1, kind="stable")
                 held = np.cumsum(counts[order], axis=1) - counts[order]  # points in nearer cells
                 first = np.zeros(d.shape, bool)
                 np.put_along_axis(first, order, held < top_k, axis=1)
-                bound = pdf["bound"].to_numpy(float)
                 within = np.maximum(np.maximum(d - far, near - d), 0) <= bound[:, None] + SLACK
-                row, cell = np.nonzero(np.where(np.isnan(bound)[:, None], first, within & ~first))
-                yield pdf.iloc[row].assign(_cell=ids[cell].astype(np.int32), _dq=d[row, cell])
+                wanted = np.where(np.isnan(bound)[:, None], first, within & ~first)
+                for cell in np.flatnonzero(wanted.any(0)):
+                    g = np.flatnonzero(wanted[:, cell])
+                    asked = pa.StructArray.from_arrays([query.take(pa.array(g)), pa.array(bound[g], mask=np.isnan(bound[g])), pa.array(d[g, cell])], ["query", "bound", "_dq"])
+                    cols = [pa.array([ids[cell]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), asked), pa.array([dim], pa.int32()), pa.array([raw[g].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["_cell", "asked", "qdim", "qm"])
 
-        return queries.select("query", "q", "bound").mapInPandas(visit, schema)
+        blocks.small_batches(self.spark)
+        return queries.select("query", "q", "bound").mapInArrow(visit, schema)
 
-    def _scored(self, visits: DataFrame) -> DataFrame:
-        """query, doc, payload, score of the points of the visited cells that may lie within the bound."""
-        visits = stored(visits, "visits")
-        if visits.count() * self.centres.shape[1] * 8 <= MAX_BROADCAST_BYTES:
-            visits = F.broadcast(visits)
-        near = F.col("bound").isNull() | (F.abs(F.col("_dq") - F.col("_d")) <= F.col("bound") + SLACK)
+    def _scored(self, visits: DataFrame, top_k: int, kind: type) -> DataFrame:
+        """query, doc, payload, score: of the points of the visited cells within the bound those that may be among a query's ``top_k``.
+
+        Blocks of points and of visits meet by cell; a cell of many blocks is dealt to several tasks.
+        """
+        deals = F.broadcast(self.cells.select("_cell", F.ceil(F.col("n") / blocks.ROWS).cast("int").alias("_deals")))
         payload = [c for c in self.points.columns if c not in ("doc", "embedding", "_cell", "_d")]
-        both = self.points.join(visits, "_cell").where(near)
-        return both.select("query", "doc", *payload, retrieval.cosine(F.col("q"), F.col("embedding")).alias("score"))
+        rows = blocks.packed(self.points, F.struct("doc", *payload), "embedding", blocks.ROWS, "_cell", "_d").join(deals, "_cell")
+        rows = rows.withColumn("_deal", F.pmod(F.xxhash64("m"), "_deals").cast("int")).drop("_deals")
+        visits = stored(visits, "visits").join(deals, "_cell").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
+        near = blocks.small(visits, "qm", MAX_BROADCAST_BYTES)
+        if near is visits:  # a number of its own, as a task's work does not follow its bytes
+            tasks = 4 * self.spark.sparkContext.defaultParallelism
+            rows, near = rows.repartition(tasks, "_cell", "_deal"), visits.repartition(tasks, "_cell", "_deal")
+        both = rows.join(near, ["_cell", "_deal"])
+        return blocks.best_pairs(both, top_k, kind, blocks.kind_of(self.points, "embedding"), SLACK)
 
     def _bounds(self, queries: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame]:
         """(hits in the nearest cells, queries with the distance of the last of them)."""
         open_ = queries.select("query", "q").withColumn("bound", F.lit(None).cast("double"))
-        best = stored(retrieval.rank(self._scored(self._visits(open_, top_k)), top_k=top_k), "first-hits")
+        kind = blocks.kind_of(queries, "q")
+        best = stored(retrieval.rank(self._scored(self._visits(open_, top_k), top_k, kind), top_k=top_k), "first-hits")
         last = best.groupBy("query").agg(F.min("score").alias("s"))
         bound = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("s") - TIE)))
         return best, queries.select("query", "q").join(last.select("query", bound.alias("bound")), "query")
@@ -174,7 +192,7 @@ class VectorIndex:
             scored = retrieval.dense_scores(queries.where(turned("q")), few.withColumn("_turned", turned("embedding")))
             return retrieval.rank(scored.withColumn("score", F.when(F.col("_turned"), F.col("score"))).drop("_turned"), top_k=top_k)
         best, bounded = self._bounds(queries, top_k)
-        more = self._scored(self._visits(bounded, top_k))
+        more = self._scored(self._visits(bounded, top_k), top_k, blocks.kind_of(queries, "q"))
         return retrieval.rank(best.drop("rank").unionByName(more), top_k=top_k)
 
     def work(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
@@ -182,5 +200,5 @@ class VectorIndex:
         sizes = F.broadcast(self.cells.select("_cell", "n"))
         open_ = queries.select("query", "q").withColumn("bound", F.lit(None).cast("double"))
         _, bounded = self._bounds(queries, top_k)
-        visits = self._visits(open_, top_k).unionByName(self._visits(bounded, top_k)).join(sizes, "_cell")
+        visits = self._visits(open_, top_k).unionByName(self._visits(bounded, top_k)).select("_cell", F.explode("asked.query").alias("query")).join(sizes, "_cell")
         return visits.groupBy("query").agg(F.count("*").alias("cells"), F.sum("n").alias("points"), F.lit(len(self.ids)).alias("of_cells"), F.lit(int(self.counts.sum())).alias("of_points"))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torquelake.operators import blocks, retrieval
-from torquelake.plans import registry
+from torquelake.operators import agent, blocks, retrieval, text_blocks
+from torquelake.plans import registry, vehicle_streams
 
 
 def _documents(spark, folder, ids):
@@ -56,3 +56,39 @@ def test_dense_queries_make_no_row_for_each_pair(spark, tmp_path, points, monkey
     monkeypatch.setattr(retrieval, "dense_scores", None)
     for name in ("dense_topk", "dense_dedup", "hit_mrr", "hit_mrr_by_group"):
         assert registry.QUERIES[name](spark, f"file://{tmp_path}").count()
+
+
+def test_bm25_by_blocks_is_a_score_of_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(text_blocks, "ROWS", 64)
+    monkeypatch.setattr(text_blocks, "STEP", 500)
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{int(x)}" for x in r.zipf(1.5, 20 + k % 30) % 60) + (" half" if k % 2 else "")) for k in range(300)]
+    rows += [(1000 + k, rows[4][1]) for k in range(100)] + [(2000, None), (2001, ""), (2002, "half only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, rows[4][1]), (2, "w1 w1 w7 HALF"), (3, "nothing"), (4, None), (5, "half")], "query_id long, text string")
+    scores = retrieval.bm25_search(docs, asked).persist()
+    shape = lambda d: sorted((x["query"], x["rank"], x["doc"], round(x["score"], 8)) for x in d.collect())
+    for k in (3, 150):
+        assert shape(retrieval.bm25_topk(docs, asked, k)) == shape(retrieval.rank(scores, top_k=k))
+    every = retrieval.all_topk(scores, asked.select(F.col("query_id").alias("query")), docs.select(F.col("doc_id").alias("doc")), 5)
+    assert shape(retrieval.bm25_topk(docs, asked, 5, every=True)) == shape(every)
+    got = {x["query"]: (x["n_docs"], round(x["best"], 7), round(x["total"], 6)) for x in retrieval.bm25_totals(docs, asked).collect()}
+    want = scores.groupBy("query").agg(F.count("*").alias("n"), F.max("score").alias("b"), F.sum("score").alias("t")).collect()
+    assert got == {x["query"]: (x["n"], round(x["b"], 7), round(x["t"], 6)) for x in want}
+
+
+def test_slices_of_a_stream_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vehicle_streams, "SLICE_ROWS", 50)
+    ids = [*range(400), *range(100_000, 100_100)]  # most of them in a small part of their span
+    e = spark.createDataFrame([(i,) for i in ids], "event_id long").selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "event_id % 30 AS user_id", "'x' AS event_type", "1.0D AS value")
+    e.write.parquet(f"file://{tmp_path}/events.parquet")
+    parts = [[r[0] for r in s.select("event_id").collect()] for s in vehicle_streams._bus_slices(spark, f"file://{tmp_path}")]
+    assert sorted(sum(parts, [])) == ids and all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+    assert len(parts) > 3
+
+
+def test_turns_broadcast_no_script(spark):
+    runs = spark.range(20).selectExpr("id AS run_id", "'q' AS input")
+    script = runs.selectExpr("run_id", "1 AS turn", "'done' AS content", "CAST(NULL AS string) AS tool", "'{}' AS arguments")
+    step = agent.scripted(script)(runs.selectExpr("run_id", "input AS history", "1 AS turn"))
+    assert step.count() == 20 and "Broadcast" not in step._jdf.queryExecution().executedPlan().toString()

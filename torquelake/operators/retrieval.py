@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from torquelake.operators import blocks
+from torquelake.operators import blocks, text_blocks
 from torquelake.session import stored
 
 # Fixed values.
@@ -98,6 +98,20 @@ def bm25_search(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query:
     return hits.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
+def _words(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w"))
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, top_k: int, doc: str = "doc_id", query: str = "query_id", text: str = "text", every: bool = False) -> DataFrame:
+    """query, doc, score, rank: what ``rank`` of ``bm25_search`` gives (``every``: what ``all_topk`` of it gives), by blocks of texts."""
+    return rank(text_blocks.best(_words(docs, doc, text), _words(queries, query, text), top_k, every), top_k=top_k)
+
+
+def bm25_totals(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+    """query, n_docs, best, total of what ``bm25_search`` gives, by blocks of texts."""
+    return text_blocks.totals(_words(docs, doc, text), _words(queries, query, text))
+
+
 def all_topk(scores: DataFrame, queries: DataFrame, docs: DataFrame, top_k: int) -> DataFrame:
     """The best ``top_k`` of all documents for every query (a stated set, column ``query``), ranked; those without a query term have score 0.
 

@@ -83,12 +83,12 @@ def run_turns(runs: DataFrame, complete: Callable[[DataFrame], DataFrame], tools
 
 
 def scripted(script: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A completion step that answers from (run_id, turn, content, tool, arguments); the last line repeats."""
-    last = script.groupBy("run_id").agg(F.max("turn").alias("_last"))
+    """A completion step that answers from (run_id, turn, content, tool, arguments); the last line repeats. Scripts grow with the runs, so they are never broadcast."""
+    last = script.groupBy("run_id").agg(F.max("turn").alias("_last")).hint("merge")
 
     def complete(df: DataFrame) -> DataFrame:
         d = df.join(last, "run_id").withColumn("_at", F.least("turn", "_last"))
-        s = script.withColumnRenamed("turn", "_at")
+        s = script.withColumnRenamed("turn", "_at").hint("merge")
         return d.join(s, ["run_id", "_at"]).drop("_at", "_last")
 
     return complete

@@ -36,19 +36,21 @@ def streaming_bus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOST = "(conv_id * 1000 + turn) % 7 = 3"
 
 
-def _unit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(protocol.encode_frames(F.hex(F.encode("text", "UTF-8")))).alias("idx", "frame"))
-    return c.where(f"NOT ({_LOST} AND idx = 1)").select(F.col("conv_id").alias("unit"), (F.col("turn") * 10_000 + F.col("idx")).alias("place"), "frame")
+def _unit_frames(spark: SparkSession, sf_dir: str, low: int, high: int) -> DataFrame:
+    """The frames at places from ``low`` to below ``high``; only texts of their turns are encoded."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("turn").between(low // 10_000, (high - 1) // 10_000))
+    c = turns.select("conv_id", "turn", F.posexplode(protocol.encode_frames(F.hex(F.encode("text", "UTF-8")))).alias("idx", "frame"))
+    f = c.where(f"NOT ({_LOST} AND idx = 1)").select(F.col("conv_id").alias("unit"), (F.col("turn") * 10_000 + F.col("idx")).alias("place"), "frame")
+    return f.where((F.col("place") >= low) & (F.col("place") < high))
 
 
 @query("streaming_reassemble", f"""WITH p AS (SELECT conv_id, turn, hex(encode("text")) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message FROM conversations WHERE octet_length(encode("text")) <= 4095),
   f AS (SELECT *, {_LOST} AND length(h) // 2 > 7 AS lost, CASE WHEN length(h) // 2 <= 13 THEN 'incomplete' ELSE 'bad sequence' END AS e FROM p)
   SELECT conv_id AS unit, message, CASE WHEN NOT lost THEN h END AS payload, CASE WHEN lost THEN e END AS error FROM f""")
 def streaming_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _unit_frames(spark, sf_dir)
     cuts = [0, 10_004, 30_009, 1 << 40]  # within messages
-    slices = [f.where((F.col("place") >= a) & (F.col("place") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    wake = spark.createDataFrame([(-1, 0, protocol.flow_control())], f.schema)  # the clock of abandoned messages runs in any micro-batch
+    slices = [_unit_frames(spark, sf_dir, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    wake = spark.createDataFrame([(-1, 0, protocol.flow_control())], slices[0].schema)  # the clock of abandoned messages runs in any micro-batch
     return stream_bus.run_slices([*slices, wake], lambda s: stateful.reassemble(s, "unit", "place", wait_ms=1))
 
 
@@ -56,10 +58,25 @@ _BUS_SQL = """f AS (SELECT user_id % 8 AS bus, event_id, epoch_us(ts) / 1e6 AS "
   row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS i FROM events)"""
 
 
+#: Frames of a slice at most, so that the rows a Python worker holds at once do not grow with the table.
+SLICE_ROWS = 500_000
+
+
 def _bus_slices(spark: SparkSession, sf_dir: str, n: int = 3) -> list[DataFrame]:
+    """Slices in order of event_id, ``n`` of them or as many as hold about ``SLICE_ROWS`` each; cut between ranges of event_id, which are counted."""
     f = raw_frames(spark, sf_dir).withColumn("bus", F.col("user_id") % 8).select("bus", "event_id", "timestamp", "can_id", "label")
-    low, high = f.agg(F.min("event_id"), F.max("event_id")).first()
-    cuts = [(low or 0) + ((high or 0) + 1 - (low or 0)) * k // n for k in range(n + 1)]
+    low, high, rows = f.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+    n = max(n, -(-rows // SLICE_ROWS))
+    low, high = low or 0, (high or 0) + 1
+    step = -(-(high - low) // (64 * n))  # 64 ranges a slice
+    held = f.groupBy(F.floor((F.col("event_id") - low) / step).alias("k")).agg(F.count("*").alias("c")).where("k IS NOT NULL").orderBy("k").collect()
+    cuts, size = [low], 0
+    for k, c in held:
+        if size and size + c > -(-rows // n):
+            cuts.append(low + k * step)
+            size = 0
+        size += c
+    cuts.append(high)
     return [f.where((F.col("event_id") >= a) & (F.col("event_id") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torquelake.operators import agent, blocks, retrieval, text_blocks
+from torquelake.operators import agent, blocks, inverted_index, retrieval, text_blocks
 from torquelake.plans import registry, vehicle_streams
 
 
@@ -77,6 +77,23 @@ def test_bm25_by_blocks_is_a_score_of_every_pair(spark, monkeypatch):
     assert got == {x["query"]: (x["n"], round(x["b"], 7), round(x["t"], 6)) for x in want}
 
 
+def test_stored_search_makes_no_row_for_each_query_block_and_term(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_blocks, "ROWS", 256)
+    made, stored = [], inverted_index.stored
+    monkeypatch.setattr(inverted_index, "stored", lambda df, name: made.append(stored(df, name)) or made[-1])
+    r = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{int(x)}" for x in r.zipf(1.4, n) % 50)
+    docs = spark.createDataFrame([(k, text(20 + k % 40)) for k in range(1600)], "doc_id long, text string")  # 50 blocks and more
+    asked = spark.createDataFrame([(k, text(15)) for k in range(40)], "query_id long, text string")
+    index = inverted_index.InvertedIndex.build(docs, f"file://{tmp_path}/index")
+    made.clear()
+    got = index.search(asked, 5)
+    want = retrieval.rank(retrieval.bm25_search(docs, asked), top_k=5)
+    shape = lambda d: sorted((x["query"], x["rank"], x["doc"], round(x["score"], 8)) for x in d.collect())
+    assert shape(got) == shape(want)
+    assert max(d.count() for d in made) <= 2 * 40
+
+
 def test_slices_of_a_stream_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vehicle_streams, "SLICE_ROWS", 50)
     ids = [*range(400), *range(100_000, 100_100)]  # most of them in a small part of their span

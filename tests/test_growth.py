@@ -80,7 +80,7 @@ def test_bm25_by_blocks_is_a_score_of_every_pair(spark, monkeypatch):
 def test_stored_search_makes_no_row_for_each_query_block_and_term(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text_blocks, "ROWS", 256)
     made, stored = [], inverted_index.stored
-    monkeypatch.setattr(inverted_index, "stored", lambda df, name: made.append(stored(df, name)) or made[-1])
+    monkeypatch.setattr(inverted_index, "stored", lambda df, name, **o: made.append(stored(df, name, **o)) or made[-1])
     r = np.random.default_rng(8)
     text = lambda n: " ".join(f"w{int(x)}" for x in r.zipf(1.4, n) % 50)
     docs = spark.createDataFrame([(k, text(20 + k % 40)) for k in range(1600)], "doc_id long, text string")  # 50 blocks and more
@@ -94,6 +94,16 @@ def test_stored_search_makes_no_row_for_each_query_block_and_term(spark, tmp_pat
     assert max(d.count() for d in made) <= 2 * 40
 
 
+def test_long_texts_are_indexed_by_all_tasks(spark, tmp_path, monkeypatch):
+    made, stored = {}, inverted_index.stored
+    monkeypatch.setattr(inverted_index, "stored", lambda df, name, **o: made.setdefault(name, stored(df, name, **o)))
+    docs = spark.createDataFrame([(k, "w " * (2000 if k % 10 == 0 else 20)) for k in range(1600)], "doc_id long, text string")  # a tenth of the rows has nearly all words
+    docs = docs.withColumn("text", F.concat("text", F.lit("n"), "doc_id"))
+    inverted_index.InvertedIndex.build(docs, f"file://{tmp_path}/index")
+    words = made["text-blocks"].select(F.input_file_name().alias("f"), F.explode("dl").alias("n")).groupBy("f").agg(F.sum("n").alias("n")).collect()
+    assert max(w["n"] for w in words) < sum(w["n"] for w in words) / 3
+
+
 def test_slices_of_a_stream_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vehicle_streams, "SLICE_ROWS", 50)
     ids = [*range(400), *range(100_000, 100_100)]  # most of them in a small part of their span

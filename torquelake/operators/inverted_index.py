@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from torquelake.operators import blocks, text_blocks
 from torquelake.operators.retrieval import rank, tokens
 from torquelake.operators.text_blocks import Pair, cell, numbers, query_block, rows_of
-from torquelake.session import stored
+from torquelake.session import BIG_ROWS, stored
 
 #: Documents of a block are those of a pack with the same row number divided by 2 to this power.
 BLOCK_BITS = 5
@@ -117,17 +117,17 @@ class InvertedIndex:
     def build(cls, docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text") -> InvertedIndex:
         """Index all documents (``doc`` is a key); texts are tokenised once. Null texts count as documents without a term.
 
-        Rows are sorted by text length and id in ranges, so that equal texts meet in a block. Packs are dealt out evenly,
-        whatever their terms. Negative idf is floored at a share of the mean idf, as in ``retrieval.bm25_index``.
+        Rows are dealt in ranges of (hash of the text, id) and sorted by text length, hash and id there, so that equal
+        texts meet in a block and long texts are spread over all tasks. Packs are dealt out evenly, whatever their terms. Negative idf is floored at a share of the mean idf, as in ``retrieval.bm25_index``.
         """
         spark, folder = docs.sparkSession, folder.rstrip("/")
         size = F.coalesce(F.length(text), F.lit(0))
-        rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"), size.alias("size"))
-        rows = rows.repartitionByRange(2 * spark.sparkContext.defaultParallelism, "size", "id").sortWithinPartitions("size", "id")
-        made = stored(text_blocks.packed(rows.select("id", tokens(F.col("text")).alias("w")), text_blocks.ROWS), "text-blocks")
+        rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"), size.alias("size"), F.xxhash64(text).alias("hash"))
+        rows = rows.repartitionByRange(2 * spark.sparkContext.defaultParallelism, "hash", "id").sortWithinPartitions("size", "hash", "id")
+        made = stored(text_blocks.packed(rows.select("id", tokens(F.col("text")).alias("w")), text_blocks.ROWS), "text-blocks", **BIG_ROWS)
         n, avgdl = text_blocks.corpus(made)
         text_blocks.term_weights(made, n).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
-        blocks.spread(_shared(made, avgdl)).write.parquet(f"{folder}/packs")
+        _shared(blocks.spread(made), avgdl).write.options(**BIG_ROWS).parquet(f"{folder}/packs")
         return cls(spark, folder)
 
     def _asked(self, queries: DataFrame, query: str, text: str) -> DataFrame:

@@ -29,9 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/torquelake-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df, name: str):
+#: Options of a writer for rows of megabytes: few of them are held at once, in writing and in reading.
+BIG_ROWS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df, name: str, **options: str):
     """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

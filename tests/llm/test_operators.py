@@ -572,3 +572,26 @@ def test_many_equal_rows(spark, op):
     df = spark.createDataFrame([(1, ROWS[-4][1])] * 300, SCHEMA.split(", lang")[0])
     got = op(df)
     assert got.count() == 300 and got.where("n_removed = 0").count() == 0
+
+
+def test_small_buckets_are_judged_together(spark):
+    r = np.random.default_rng(21)
+    body = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    shared = [body(500) for _ in range(40)]
+    rows = [(10 * i + j, body(149 + 10 * j) + f"{j}{s}{j}" + body(200)) for i, s in enumerate(shared) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, calls = [], []
+    for together in (0, suffix_dedup.BYTES.together):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(strings, counts, seen=seen):
+            seen.add(1)
+            return suffix_dedup.longest_previous(strings, counts)
+
+        spans = repeats.repeated_spans(docs, repeats.Units("bytes", 400, 32, together), counted)
+        held = lambda row: sorted({p for h in row["hits"] or () for p in range(h["s"], h["s"] + h["n"])})
+        got.append({row["doc_id"]: held(row) for row in spans.collect()})
+        calls.append(seen.value)
+    want = {10 * i + j: list(range(150 + 10 * j, 251 + 10 * j)) for i in range(40) for j in range(3)}
+    assert got == [want, want]
+    assert calls[1] < calls[0] / 4

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from torquelake.llm import (
+    common,
     decontamination,
     html_extraction,
     jaccard_join,
@@ -595,3 +596,18 @@ def test_small_buckets_are_judged_together(spark):
     want = {10 * i + j: list(range(150 + 10 * j, 251 + 10 * j)) for i in range(40) for j in range(3)}
     assert got == [want, want]
     assert calls[1] < calls[0] / 4
+
+
+@pytest.mark.parametrize("op", [substring_dedup.remove_repeated_windows, suffix_dedup.remove_repeated_bytes])
+def test_super_k_mers_go_before_the_strings_are_packed(docs, op, monkeypatch):
+    """What is stored at once: the cut super-k-mers and their counts are not kept beside the packed strings."""
+    left = []
+
+    def pack(cand, units, real=repeats._pack_rows):
+        left.extend(p for p in common._made if p not in before and ("-superkmers-" in p or "-minimisers-" in p))
+        return real(cand, units)
+
+    before = set(common._made)
+    monkeypatch.setattr(repeats, "_pack_rows", pack)
+    assert op(docs).count() == docs.count()
+    assert not left

@@ -611,3 +611,14 @@ def test_super_k_mers_go_before_the_strings_are_packed(docs, op, monkeypatch):
     monkeypatch.setattr(repeats, "_pack_rows", pack)
     assert op(docs).count() == docs.count()
     assert not left
+
+
+def test_jobs_of_the_jaccard_join(spark):
+    """The driver plans every job: comparing stored pairs takes few of them, as does a round of the components."""
+    edges = common.materialize(spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(100, i) for i in range(101, 120)], "a long, b long"), "edges-of-test")
+    sets = common.materialize(spark.createDataFrame([(i, bytearray(np.arange(i, i + 40, dtype=np.uint64).tobytes())) for i in range(1, 120)], "node long, shingles binary"), "sets-of-test")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert {(r.a, r.b): (r.na, r.nb, r.both) for r in jaccard_join.compare(edges, sets).collect()} == {(a, b): (40, 40, max(0, 40 - b + a)) for a, b in edges.collect()}
+    assert jobs() - before < 13
+    assert {r.node: r.comp for r in jaccard_join.connected_components(edges).collect()} == {i: 1 if i < 10 else 100 for i in [*range(1, 10), *range(100, 120)]}

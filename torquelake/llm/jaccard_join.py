@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from torquelake.llm.common import discard, materialize, tune
+from torquelake.llm.common import discard, materialize, release, tune
 from torquelake.llm.repeats import mix, rows_of, word_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -232,10 +232,11 @@ def _sets(rows: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 def _followers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Each leader a's set, then its followers' b, in parts of about PART followers: a, part, node (null for the leader), shingles."""
     pairs = materialize(pairs, "pairs")
+    few = pairs.count() <= MAX_BROADCAST_NODES  # neither table below has more rows
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     of_b = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
-    of_b = sets.join(_small(of_b), "node").select("a", "part", "node", "shingles")
-    of_a = sets.join(_small(parts), F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "shingles")
+    of_b = sets.join(F.broadcast(of_b) if few else of_b, "node").select("a", "part", "node", "shingles")
+    of_a = sets.join(F.broadcast(parts) if few else parts, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "shingles")
     return of_a.unionByName(of_b).repartition("a", "part").sortWithinPartitions("a", "part", F.col("node").asc_nulls_first())
 
 
@@ -346,16 +347,23 @@ def centred_pairs(prefixes: DataFrame, comps: DataFrame, leaders: range = range(
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, comp (its component's smallest node) of all nodes of ``edges`` (a, b): neighbours' smallest label, then a jump to the label's label."""
+    """node, comp (its component's smallest node) of all nodes of ``edges`` (a, b).
+
+    A node's label becomes the smallest of its own, its neighbours' and its label's; one aggregation a round, as the driver plans each.
+    """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    few = labels.count() <= MAX_BROADCAST_NODES
+    old = F.lit(None).cast("long").alias("old")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = materialize(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        known = F.broadcast(labels) if few else labels
+        near = both.join(known, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "comp", old)
+        jump = labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).join(known, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "comp", F.col("b").alias("old"))
+        new = near.unionByName(jump).groupBy("node").agg(F.max("old").alias("old"), F.least(F.min("comp"), F.max("old")).alias("comp"))
+        new = materialize(new, "labels")
         labels = new.select("node", "comp")
         if new.where("comp <> old").isEmpty():
+            release(edges.sparkSession)
             return labels
 
 
@@ -371,8 +379,10 @@ def _table_size(docs: DataFrame) -> int:
 
 
 def _small(nodes: DataFrame) -> DataFrame:
-    """A table of a few numbers for each node, broadcast if it has at most MAX_BROADCAST_NODES rows."""
-    return F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_NODES else nodes
+    """A stored table of a few numbers for each node, broadcast if it has at most MAX_BROADCAST_NODES rows; it is counted once."""
+    if not hasattr(nodes, "n_rows"):
+        nodes.n_rows = nodes.count()
+    return F.broadcast(nodes) if nodes.n_rows <= MAX_BROADCAST_NODES else nodes
 
 
 def _led(rows: DataFrame) -> DataFrame:
@@ -462,6 +472,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for leaders in (range(LEADERS), range(LEADERS, 2 * LEADERS), range(0)):
         pairs = centred_pairs(prefixes, comps, leaders)
         pairs = materialize((pairs if leaders else pairs.unionByName(cross)).join(known, ["a", "b"], "left_anti").distinct(), "open-pairs")
+        if pairs.isEmpty():
+            continue
         more = materialize(links(compare(pairs, sets)), "more-edges")
         known = known.unionByName(pairs)
         if not more.isEmpty():
